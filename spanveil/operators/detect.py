@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.catalog import parse_types
 from ..functions.spans import find_spans, quoted
 
 
@@ -48,15 +47,12 @@ def explode_spans(df: DataFrame, spans: dict[str, str | Column], keys=()) -> Dat
     explode keeps Spark from inferring a size filter, which would push the
     span expression below the projection and evaluate it a second time.
     """
-    tagged = [
-        F.transform(
-            s if isinstance(s, Column) else F.col(quoted(s)),
-            lambda x, c=c: F.struct(
-                F.lit(c).alias("column"), x["start"], x["end"], x["ord"], x["pii_type"], x["value"]
-            ),
-        )
-        for c, s in spans.items()
-    ]
+
+    def tag(name: str, column: Column) -> Column:
+        fields = ("start", "end", "ord", "pii_type", "value")
+        return F.transform(column, lambda x: F.struct(F.lit(name).alias("column"), *[x[f].alias(f) for f in fields]))
+
+    tagged = [tag(c, s if isinstance(s, Column) else F.col(quoted(s))) for c, s in spans.items()]
     kept = [F.col(quoted(k)) for k in keys]
     merged = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
     rows = df.select(*kept, F.explode_outer(merged).alias("found"))

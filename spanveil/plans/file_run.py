@@ -62,12 +62,14 @@ def scrub_files(
     factory=None,
     multiline: bool = True,
     check_cells: bool = False,
+    one_header: bool = False,
     stage: bool = False,
 ) -> FileScrub:
     """Scrub CSV, XLSX, text and JSON files.
 
     Files are read by kind, one scan per distinct CSV header; unknown kinds
-    are text. ``text_mode`` is ``document``, ``line`` or ``auto`` (line by line
+    are text. Headers are read one file at a time unless ``one_header`` says that
+    all CSV files share one. ``text_mode`` is ``document``, ``line`` or ``auto`` (line by line
     above ``line_mode_bytes``, decided per file by its size). A file over a quota
     or with ragged records fails alone: its report row has the error, and
     ``save_successful`` leaves it out. ``stage=True`` writes scrubbed rows once
@@ -108,8 +110,12 @@ def scrub_files(
         type_parts.append(types_of_marks(df, chosen, [FILE]))
 
     by_header: dict[tuple, list[str]] = {}
-    for path in groups.get("csv", []):
-        by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
+    csv_paths = groups.get("csv", [])
+    if one_header and csv_paths:
+        by_header[tuple(csv_header(spark, csv_paths[0]))] = csv_paths
+    else:
+        for path in csv_paths:
+            by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
     for header, members in by_header.items():
         rows = read_csv_checked(spark, members, list(header), multiline)
         done = scrubbed(rows, list(header))

@@ -42,7 +42,9 @@ def read_csv(spark: SparkSession, paths, header=None, multiline: bool = True, wi
     return df.select(*extra, *[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in names])
 
 
-def read_csv_checked(spark: SparkSession, paths, header=None, multiline: bool = True) -> DataFrame:
+def read_csv_checked(
+    spark: SparkSession, paths, header=None, multiline: bool = True, has_header: bool = True
+) -> DataFrame:
     """Like :func:`read_csv` with the file name and a flag for records of the wrong width.
 
     The flag marks records with too few or too many cells: a strict writer cannot
@@ -51,6 +53,7 @@ def read_csv_checked(spark: SparkSession, paths, header=None, multiline: bool =
     names = header or csv_header(spark, paths)
     schema = string_schema([*names, "_corrupt_record"])
     options = _CSV | {
+        "header": has_header,
         "multiLine": multiline,
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": "_corrupt_record",

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # A side is broadcast only when a count shows it holds no more rows than this.
 BROADCAST_ROWS = 200_000
 
+# Inputs between these sizes (the upper one per core) are spread over all cores.
+SPREAD_FROM = 1 << 20
+SPLIT_BYTES = 128 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
@@ -50,17 +54,12 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small table often is one file with one row group, so one task would do
     all scanning. Inputs that hold at least one full split per core are left
-    alone: they need no shuffle.
+    alone and need no shuffle; tiny ones are not worth one.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) if _plain_bytes(spark) else 128 << 20
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df.repartition(cores) if size < cores * split else df
-
-
-def _plain_bytes(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").isdigit()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if SPREAD_FROM < size < cores * SPLIT_BYTES else df
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
