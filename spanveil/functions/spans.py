@@ -91,6 +91,16 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def cells_spans_sql(columns, types) -> str:
+    """SQL text of the spans of several columns: an array of span arrays.
+
+    The span expression is stated once and mapped over the row's cells, so
+    planning and generated code do not grow with the number of columns.
+    """
+    cells = ", ".join(quoted(c) for c in columns)
+    return f"transform(array({cells}), cell -> {spans_sql('cell', types)})"
+
+
 def find_spans(column: str, types=None) -> Column:
     """Resolved pattern spans of a string column, as an array of structs.
 

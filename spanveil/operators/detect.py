@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import find_spans, quoted
+from ..functions.catalog import parse_types
+from ..functions.spans import cells_spans_sql, find_spans, quoted
 
 
 def text_columns(df: DataFrame, columns=None) -> list[str]:
@@ -62,4 +63,7 @@ def explode_spans(df: DataFrame, spans: dict[str, str | Column], keys=()) -> Dat
 def findings(df: DataFrame, columns=None, types=None, keys=()) -> DataFrame:
     """The audit table: every resolved span as a row, with the key columns."""
     names = text_columns(df, columns)
-    return explode_spans(df, {c: find_spans(c, types) for c in names}, keys)
+    if len(names) == 1:
+        return explode_spans(df, {names[0]: find_spans(names[0], types)}, keys)
+    every = df.withColumn("_cells", F.expr(cells_spans_sql(names, parse_types(types))))
+    return explode_spans(every, {c: F.col("_cells")[i] for i, c in enumerate(names)}, keys)

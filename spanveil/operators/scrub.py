@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import parse_types
-from ..functions.exprs import let, sql_str
-from ..functions.spans import quoted, spans_sql
-from ..functions.splice import scrub_text, splice, splice_sql, swap_sql
+from ..functions.exprs import let
+from ..functions.spans import cells_spans_sql, quoted
+from ..functions.splice import scrub_sql, scrub_text, splice, splice_sql, swap_sql
 from .detect import text_columns
 
 
+# Up to this many columns, each gets an expression of its own and stays prunable; wider
+# tables state the expression once and map it over the row's cells.
+SEPARATE_COLUMNS = 3
+
+
 def scrub(
     df: DataFrame, columns=None, types=None, method: str = "mask", salt: str = "", row_key: str | None = None
 ) -> DataFrame:
@@ -21,7 +26,16 @@ def scrub(
     are not scanned pass through and stay prunable.
     """
     names = text_columns(df, columns)
-    return df.withColumns({c: scrub_text(c, types, method, salt, row_key) for c in names})
+    if len(names) <= SEPARATE_COLUMNS:
+        return df.withColumns({c: scrub_text(c, types, method, salt, row_key) for c in names})
+    cells = ", ".join(quoted(c) for c in names)
+    key = quoted(row_key) if row_key else None
+    each = scrub_sql("cell", parse_types(types), method, salt, key)
+    packed = df.withColumn("_scrubbed", F.expr(f"transform(array({cells}), cell -> {each})"))
+    at = {c: i for i, c in enumerate(names)}
+    return packed.select(
+        *[F.col("_scrubbed")[at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns]
+    )
 
 
 def scrub_marked(
@@ -42,22 +56,18 @@ def scrub_marked(
     names = text_columns(df, columns)
     chosen = parse_types(types)
     key = quoted(row_key) if row_key else None
-    swap = swap_sql(chosen, method, salt, key)
-    cells = ", ".join(
-        f"named_struct('text', {quoted(c)}, 'spans', {spans_sql(quoted(c), chosen)})" for c in names
+    spliced = splice_sql("src", "hit", swap_sql(chosen, method, salt, key))
+    texts = (
+        "transform(found, (hit, n) -> if(texts[n] is null, cast(null as string), " + let("src", "texts[n]", spliced) + "))"
     )
-    texts = [
-        f"{sql_str(c)}, if(cells[{i}].text is null, cast(null as string), "
-        + let("src", f"cells[{i}].text", let("hit", f"cells[{i}].spans", splice_sql("src", "hit", swap)))
-        + ")"
-        for i, c in enumerate(names)
-    ]
-    counts = mark_sql("transform(cells, c -> c.spans)", len(chosen))
-    body = f"named_struct({', '.join(texts)}, {sql_str(mark)}, {counts})"
-    packed = df.select("*", F.expr(let("cells", f"array({cells})", body)).alias("_scrubbed"))
+    body = f"named_struct('texts', {texts}, 'mark', {mark_sql('found', len(chosen))})"
+    cells = ", ".join(quoted(c) for c in names)
+    whole = let("texts", f"array({cells})", let("found", cells_spans_sql(names, chosen), body))
+    packed = df.withColumn("_scrubbed", F.expr(whole))
+    at = {c: i for i, c in enumerate(names)}
     return packed.select(
-        *[F.col("_scrubbed")[c].alias(c) if c in names else F.col(quoted(c)) for c in df.columns],
-        F.col("_scrubbed")[mark].alias(mark),
+        *[F.col("_scrubbed")["texts"][at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns],
+        F.col("_scrubbed")["mark"].alias(mark),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import display_name, parse_types
-from ..functions.spans import quoted, spans_sql
+from ..functions.spans import cells_spans_sql
 from .detect import findings, text_columns
 from .scrub import mark_sql
 
@@ -20,14 +20,17 @@ def mark_rows(df: DataFrame, columns=None, types=None, mark: str = "pii") -> Dat
     """Add the per-row mark (found, cells, by_type) without scrubbing."""
     names = text_columns(df, columns)
     chosen = parse_types(types)
-    lists = "array(" + ", ".join(spans_sql(quoted(c), chosen) for c in names) + ")"
-    return df.withColumn(mark, F.expr(mark_sql(lists, len(chosen))))
+    return df.withColumn(mark, F.expr(mark_sql(cells_spans_sql(names, chosen), len(chosen))))
 
 
-def totals_of_marks(df: DataFrame, by=(), mark: str = "pii") -> DataFrame:
-    """pii_found, rows_processed, rows_affected, cells_affected over marked rows."""
+def totals_of_marks(df: DataFrame, by=(), mark: str = "pii", extra=()) -> DataFrame:
+    """pii_found, rows_processed, rows_affected, cells_affected over marked rows.
+
+    ``extra`` aggregates are computed in the same pass.
+    """
     m = F.col(mark)
     return df.groupBy(*by).agg(
+        *extra,
         F.coalesce(F.sum(m["found"]), F.lit(0)).alias("pii_found"),
         F.count(F.lit(1)).alias("rows_processed"),
         F.count_if(m["found"] > 0).alias("rows_affected"),

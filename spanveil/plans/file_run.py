@@ -101,12 +101,11 @@ def scrub_files(
     no_preview = F.lit(None).cast("string")
 
     def account(df: DataFrame, ragged, n_cells, preview_col=None, header_found: int = 0) -> None:
-        per_file = totals_of_marks(df, [FILE]).withColumn("pii_found", F.col("pii_found") + header_found)
-        extra = df.groupBy(FILE).agg(
-            ragged.alias("n_ragged"),
-            (F.max(preview_col) if preview_col is not None else F.max(no_preview)).alias("preview"),
-        )
-        totals.append(per_file.join(extra, FILE).withColumn("n_cells", F.col("rows_processed") * n_cells))
+        shown = F.max(preview_col if preview_col is not None else no_preview)
+        extra = [ragged.alias("n_ragged"), shown.alias("preview")]
+        per_file = totals_of_marks(df, [FILE], extra=extra)
+        per_file = per_file.withColumn("pii_found", F.col("pii_found") + header_found)
+        totals.append(per_file.withColumn("n_cells", F.col("rows_processed") * n_cells))
         type_parts.append(types_of_marks(df, chosen, [FILE]))
 
     by_header: dict[tuple, list[str]] = {}
@@ -119,7 +118,7 @@ def scrub_files(
     for header, members in by_header.items():
         rows = read_csv_checked(spark, members, list(header), multiline)
         done = scrubbed(rows, list(header))
-        account(done, F.count_if(RAGGED), len(header), header_found=_header_found(done, header, chosen))
+        account(done, F.count_if(RAGGED).cast("int"), len(header), header_found=_header_found(done, header, chosen))
         named, _ = scrub_names(done.select(*[quoted(c) for c in header]), chosen, method, salt)
         renamed = [F.col(quoted(a)).alias(b) for a, b in zip(header, named.columns, strict=True)]
         tables.append(done.select(FILE, "out_file", *renamed, "pii"))
@@ -141,7 +140,7 @@ def scrub_files(
                 F.array(*[F.sum(F.col("pii.by_type")[i]).cast("int") for i in range(len(chosen))]).alias("by_type"),
             ).alias("pii")
         )
-        account(per_row, F.lit(0), 1)
+        account(per_row, F.max(F.lit(0)), 1)
         tables.append(done.select(FILE, "out_file", "row_idx", "cell_idx", "cell", "pii"))
 
     text_paths = [p for kind in ("txt", "json") for p in groups.get(kind, [])]
@@ -151,13 +150,13 @@ def scrub_files(
         if text_mode == "auto":
             whole = whole.where((F.col("size_bytes") <= line_mode_bytes) | (file_kind(FILE) == "json"))
         texts = scrubbed(whole, ["text"])
-        account(texts, F.lit(0), 1, preview("text"))
+        account(texts, F.max(F.lit(0)), 1, preview("text"))
     if text_paths and text_mode != "document":
         split = read_lines(spark, text_paths)
         if text_mode == "auto":
             split = split.where((F.col("size_bytes") > line_mode_bytes) & (file_kind(FILE) != "json"))
         lines = scrubbed(split, ["line"])
-        account(lines, F.lit(0), 1)
+        account(lines, F.max(F.lit(0)), 1)
 
     if not totals:
         return _nothing(status)

@@ -623,13 +623,13 @@ def _predicted(spark, root) -> DataFrame:
 
 def _entity_rows(df: DataFrame, column: str = "entities", keys=("id",)) -> DataFrame:
     rows = df.select(*keys, F.explode_outer(column).alias("e")).where("e is not null")
-    return rows.select(*keys, "e.entity", "e.start", "e.end", F.round("e.confidence", 6).alias("confidence"))
+    return rows.select(*keys, "e.entity", "e.start", "e.end", "e.confidence")
 
 
 @query(
     "model_predict",
     o.with_(o.DOCS, o.stub_entities("docs"))
-    + 'select id, ent as entity, s as start, e as "end", round(conf, 6) as confidence from ents',
+    + 'select id, ent as entity, s as start, e as "end", conf as confidence from ents',
 )
 def model_predict(spark, root):
     """Batched inference with a stub predictor."""
@@ -668,7 +668,7 @@ flagged as (
 islands as (select *, sum(fresh) over (partition by id order by i) as island from flagged),
 decoded as (
   select id, any_value(ent) as entity, arg_min(s, i)::integer as s, arg_max(e, i)::integer as e,
-    round(list_reduce(list(prob order by i), lambda a, b: (a + b) / 2), 6) as confidence
+    list_reduce(list(prob order by i), lambda a, b: (a + b) / 2) as confidence
   from islands where ent is not null group by id, island having arg_max(e, i) > arg_min(s, i))"""
 
 
@@ -707,7 +707,7 @@ def length_gate(spark, root):
 @query(
     "reuse_duplicate_texts",
     o.with_("docs as (select doc_id as id, text from documents)", o.stub_entities("docs"))
-    + 'select id, ent as entity, s as start, e as "end", round(conf, 6) as confidence from ents',
+    + 'select id, ent as entity, s as start, e as "end", conf as confidence from ents',
 )
 def reuse_duplicate_texts(spark, root):
     """Each distinct text predicted once, answers joined back to every row."""
