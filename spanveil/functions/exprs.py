@@ -35,13 +35,14 @@ def running_scan(items: str, state: str, next_state: str, emit: str) -> str:
     over and over.
     """
     none = "cast(array() as array<int>)"
-    fold = (
+    step = f"(acc, x) -> named_struct('s', {next_state}, 'o', concat(acc.o, array({emit})))"
+    flat = f"aggregate(run_items, named_struct('s', {state}, 'o', {none}), {step}, done -> done.o)"
+    blocks = (
         f"aggregate(sequence(0, (size(run_items) - 1) div {BLOCK}), "
         f"named_struct('s', {state}, 'o', cast(array() as array<array<int>>)), "
         f"(total, blk) -> aggregate(slice(run_items, blk * {BLOCK} + 1, {BLOCK}), "
-        f"named_struct('s', total.s, 'o', {none}), "
-        f"(acc, x) -> named_struct('s', {next_state}, 'o', concat(acc.o, array({emit}))), "
+        f"named_struct('s', total.s, 'o', {none}), {step}, "
         "done -> named_struct('s', done.s, 'o', concat(total.o, array(done.o)))), "
         "total -> flatten(total.o))"
     )
-    return let("run_items", items, f"if(size(run_items) = 0, {none}, {fold})")
+    return let("run_items", items, f"if(size(run_items) <= {BLOCK}, {flat}, {blocks})")

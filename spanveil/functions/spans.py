@@ -23,22 +23,42 @@ _NO_RAW = f"cast(array() as array<{_RAW_TYPE}>)"
 _NO_SPANS = f"cast(array() as {SPANS_TYPE})"
 
 
-def _positions() -> str:
-    """Offsets of one type's hits (``t``): each starts after all earlier gaps and hits."""
-    gaps = "slice(split(txt, t.pat, -1), 1, size(t.hits))"
-    widths = f"zip_with({gaps}, t.hits, (gap, hit) -> named_struct('gap', length(gap), 'hit', length(hit)))"
-    starts = running_scan(widths, state="0", next_state="acc.s + x.gap + x.hit", emit="acc.s + x.gap")
-    spans = (
-        "transform(t.hits, (hit, i) -> named_struct('start', starts[i], 'ord', t.ord, "
-        "'end', starts[i] + length(hit), 'value', hit))"
+# Set around every hit so that a plain split yields gap, hit, gap, ..., gap after one
+# scan with a cached pattern. A text that holds the mark itself takes the other way.
+_MARK = "\\u0001"
+
+
+def _pieces(types: dict[str, int], marks: dict[str, str]) -> str:
+    """Per type with hits: its ord, and the text cut into gap, hit, gap, ..., gap."""
+    cut = ", ".join(
+        f"named_struct('ord', {i}, 'cut', if({marks[t]}, split(regexp_replace(txt, {sql_str(PATTERNS[t])}, "
+        f"'{_MARK}$0{_MARK}'), '{_MARK}', -1), array(txt)))"
+        for t, i in types.items()
+    )
+    listed = ", ".join(f"named_struct('ord', {i}, 'pat', {sql_str(PATTERNS[t])})" for t, i in types.items())
+    woven = (
+        "if(size(hits) = 0, array(txt), concat(flatten(zip_with(slice(gaps, 1, size(hits)), hits, "
+        "(gap, hit) -> array(gap, hit))), array(element_at(gaps, -1))))"
     )
-    return let("starts", starts, spans)
+    woven = let("hits", "regexp_extract_all(txt, p.pat, 0)", let("gaps", "split(txt, p.pat, -1)", woven))
+    marked = f"transform(array({listed}), p -> named_struct('ord', p.ord, 'cut', {woven}))"
+    return f"filter(if(contains(txt, '{_MARK}'), {marked}, array({cut})), t -> size(t.cut) > 1)"
 
 
-def _hits(type_id: str, ord_: int, gate: str) -> str:
-    pattern = sql_str(PATTERNS[type_id])
-    found = f"if({gate}, regexp_extract_all(txt, {pattern}, 0), cast(array() as array<string>))"
-    return f"named_struct('ord', {ord_}, 'pat', {pattern}, 'hits', {found})"
+def _positions() -> str:
+    """Offsets of one type's hits (``t``): a piece starts after all earlier ones."""
+    starts = running_scan(
+        "transform(t.cut, c -> length(c))", state="0", next_state="acc.s + x", emit="acc.s"
+    )
+    spans = (
+        "transform(sequence(1, size(t.cut) - 2, 2), k -> named_struct('start', starts[k], 'ord', t.ord, "
+        "'end', starts[k + 1], 'value', t.cut[k]))"
+    )
+    one = (
+        "array(named_struct('start', length(t.cut[0]), 'ord', t.ord, "
+        "'end', length(t.cut[0]) + length(t.cut[1]), 'value', t.cut[1]))"
+    )
+    return f"if(size(t.cut) = 3, {one}, {let('starts', starts, spans)})"
 
 
 def _validated(raw: str, order: dict[str, int]) -> str:
@@ -73,8 +93,7 @@ def spans_sql(text: str, types, resolve: bool = True) -> str:
     if not order:
         return _NO_SPANS
     marks = {t: "has_at" if t == "email" else "has_digit" for t in order}
-    hits = "array(" + ", ".join(_hits(t, i, marks[t]) for t, i in order.items()) + ")"
-    raw = f"flatten(transform(filter({hits}, h -> size(h.hits) > 0), t -> {_positions()}))"
+    raw = f"flatten(transform({_pieces(order, marks)}, t -> {_positions()}))"
     raw = _validated(raw, order)
     done = let("raw", raw, f"if(size(raw) < 2, raw, {_resolved('raw')})") if resolve else f"array_sort({raw})"
     gate = " or ".join(dict.fromkeys(marks.values()))
@@ -107,9 +126,9 @@ def find_spans(column: str, types=None) -> Column:
     The order of ``types`` decides ties between spans with the same start.
     NULL text has no spans.
     """
-    return F.expr(spans_sql(quoted(column), parse_types(types)))
+    return F.expr(spans_sql(quoted(column), parse_types(types))).alias(f"{column}_spans")
 
 
 def candidate_spans(column: str, types=None) -> Column:
     """Every validated match, overlaps included, sorted by start and type order."""
-    return F.expr(spans_sql(quoted(column), parse_types(types), resolve=False))
+    return F.expr(spans_sql(quoted(column), parse_types(types), resolve=False)).alias(f"{column}_spans")

@@ -57,7 +57,7 @@ def scrub_text(column: str, types=None, method: str = "mask", salt: str = "", ro
     depend on the occurrence (row and offset) as well.
     """
     key = quoted(row_key) if row_key else None
-    return F.expr(scrub_sql(quoted(column), parse_types(types), method, salt, key))
+    return F.expr(scrub_sql(quoted(column), parse_types(types), method, salt, key)).alias(column)
 
 
 def splice(
@@ -69,4 +69,4 @@ def splice(
     text, found = quoted(column), quoted(spans)
     known = f"coalesce({found}, cast(array() as array<struct<start:int,end:int,ord:int,pii_type:string,value:string>>))"
     body = let("src", text, let("found", known, body))
-    return F.expr(f"if({text} is null, cast(null as string), {body})")
+    return F.expr(f"if({text} is null, cast(null as string), {body})").alias(column)

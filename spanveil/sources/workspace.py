@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 # Inputs between these sizes (the upper one per core) are spread over all cores.
-SPREAD_FROM = 1 << 20
+SPREAD_FROM = 1 << 16
 SPLIT_BYTES = 128 << 20
 
 
