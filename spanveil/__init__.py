@@ -1,5 +1,9 @@
 """Finding and scrubbing personal data in Spark DataFrames, files and streams."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .functions.catalog import ALL_TYPES, METHODS, PATTERN_TYPES, parse_method, parse_types, type_catalog
 from .functions.registry import register
 from .functions.spans import candidate_spans, find_spans
@@ -12,6 +16,10 @@ from .operators.stats import batch_totals, profile, stats, type_counts
 from .plans.file_run import FileScrub, scrub_files
 from .streaming.scrub import running_type_counts, scrub_stream
 
+# Functions that run in Python workers travel with their task, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "ALL_TYPES", "METHODS", "PATTERN_TYPES", "LIMITED", "UNLIMITED", "FileScrub", "Quota",
     "as_text", "batch_totals", "candidate_spans", "detect", "detect_with_model", "find_spans", "findings",

@@ -10,6 +10,10 @@ from ..functions.catalog import parse_types
 from ..functions.spans import cells_spans_sql, find_spans, quoted
 
 
+# Up to this many columns, each gets an expression of its own.
+SEPARATE_COLUMNS = 3
+
+
 def text_columns(df: DataFrame, columns=None) -> list[str]:
     """The columns to scan: the named ones, or every string column."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -35,10 +39,15 @@ def as_text(df: DataFrame, columns=None) -> DataFrame:
 def detect(df: DataFrame, columns=None, types=None, suffix: str = "_spans") -> DataFrame:
     """Add one array-of-spans column per scanned column.
 
-    A narrow map: each row is scanned where it lies.
+    A narrow map: each row is scanned where it lies. Up to ``SEPARATE_COLUMNS``
+    columns get an expression each and stay prunable; wider tables state it once.
     """
     names = text_columns(df, columns)
-    return df.withColumns({f"{c}{suffix}": find_spans(c, types) for c in names})
+    if len(names) <= SEPARATE_COLUMNS:
+        return df.withColumns({f"{c}{suffix}": find_spans(c, types) for c in names})
+    every = df.withColumn("_cells", F.expr(cells_spans_sql(names, parse_types(types))))
+    spans = [F.col("_cells")[i].alias(f"{c}{suffix}") for i, c in enumerate(names)]
+    return every.select(*[F.col(quoted(c)) for c in df.columns], *spans)
 
 
 def explode_spans(df: DataFrame, spans: dict[str, str | Column], keys=()) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions.catalog import MODEL_LABELS, display_name, parse_types
 from ..functions.exprs import let, running_scan, sql_str
-from ..functions.spans import SPANS_TYPE, find_spans, quoted
-from .detect import text_columns
+from ..functions.spans import SPANS_TYPE, quoted
+from .detect import detect, text_columns
 
 ENTITY_TYPE = "struct<entity:string,start:int,end:int,confidence:double>"
 PREDICTION_TYPE = f"struct<entities:array<{ENTITY_TYPE}>,error:string>"
@@ -98,20 +98,28 @@ def predict_distinct(
     """Add model entities, running the model once per distinct text of the whole input.
 
     Rows are keyed by the text's digest plus a slot number hashed from the row's
-    other columns, and distinct (digest, slot) pairs are made before anything is
+    narrow columns, and distinct (digest, slot) pairs are made before anything is
     joined. A text that fills a third of the table is thus spread over ``slots``
     tasks in the row join, and meets at most ``slots`` pairs in the digest join.
     The slot depends on the row alone, so a retried task assigns it again.
     """
-    hashable = [F.col(quoted(f.name)) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col(quoted(column)), F.lit("")), 256)).withColumn(
-        "_slot", F.pmod(F.xxhash64(*hashable), F.lit(slots))
-    )
+    key = F.sha2(F.coalesce(F.col(quoted(column)), F.lit("")), 256)
+    slot = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in _slot_columns(df)]), F.lit(slots))
+    keyed = df.withColumns({"_key": key, "_slot": slot})
     pairs = keyed.select("_key", "_slot").distinct()
-    texts = keyed.groupBy("_key").agg(F.first(F.col(quoted(column)), ignorenulls=True).alias("_text"))
-    answers = texts.select("_key", predict("_text", factory).alias(out))
+    # distinct() on the text itself hashes map-side; grouping by digest would have to sort.
+    texts = df.select(F.col(quoted(column)).alias("_text")).where("_text is not null").distinct()
+    answers = texts.select(F.sha2("_text", 256).alias("_key"), predict("_text", factory).alias(out))
     per_slot = pairs.join(answers, "_key", "left")
-    return keyed.join(per_slot, ["_key", "_slot"], "left").drop("_key", "_slot")
+    return keyed.join(per_slot, ["_key", "_slot"], "left").select(*[quoted(c) for c in df.columns], out)
+
+
+def _slot_columns(df: DataFrame) -> list[str]:
+    """Numeric and time columns if there are any, so that making pairs reads little."""
+    narrow = (T.NumericType, T.DatetimeType)
+    fields = df.schema.fields
+    chosen = [f.name for f in fields if isinstance(f.dataType, narrow)]
+    return chosen or [f.name for f in fields if not isinstance(f.dataType, T.MapType)]
 
 
 def decode_tokens(tokens: str) -> Column:
@@ -244,7 +252,7 @@ def detect_with_model(
     names = text_columns(df, columns)
     chosen = parse_types(types)
     originals = df.columns
-    out = df.withColumns({f"{c}{suffix}": find_spans(c, chosen) for c in names})
+    out = detect(df, names, chosen, suffix)
     if not any(t in MODEL_LABELS.values() for t in chosen):
         return out
 

@@ -9,12 +9,7 @@ from ..functions.catalog import parse_types
 from ..functions.exprs import let
 from ..functions.spans import cells_spans_sql, quoted
 from ..functions.splice import scrub_sql, scrub_text, splice, splice_sql, swap_sql
-from .detect import text_columns
-
-
-# Up to this many columns, each gets an expression of its own and stays prunable; wider
-# tables state the expression once and map it over the row's cells.
-SEPARATE_COLUMNS = 3
+from .detect import SEPARATE_COLUMNS, text_columns
 
 
 def scrub(

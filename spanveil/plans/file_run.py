@@ -132,6 +132,7 @@ def scrub_files(
         cells = book.where("error is null").select(FILE, "row_idx", F.posexplode("cells").alias("cell_idx", "cell"))
         done = scrubbed(cells, ["cell"])
         # Cells of a row are counted apart; distinct rows come from (file, row) pairs.
+        head = done.where("row_idx = 0").groupBy(FILE).agg(F.sum("pii.found").alias("head_found"))
         body = done.where("row_idx > 0")
         per_row = body.groupBy(FILE, "row_idx").agg(
             F.struct(
@@ -141,6 +142,9 @@ def scrub_files(
             ).alias("pii")
         )
         account(per_row, F.max(F.lit(0)), 1)
+        with_head = totals[-1].join(head, FILE, "left")
+        total = F.col("pii_found") + F.coalesce("head_found", F.lit(0))
+        totals[-1] = with_head.withColumn("pii_found", total).drop("head_found")
         tables.append(done.select(FILE, "out_file", "row_idx", "cell_idx", "cell", "pii"))
 
     text_paths = [p for kind in ("txt", "json") for p in groups.get(kind, [])]

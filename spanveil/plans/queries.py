@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.catalog import (
     ALIASES,
@@ -18,12 +17,12 @@ from ..functions.catalog import (
     type_catalog,
     type_id_column,
 )
-from ..functions.naming import extension, file_kind, output_name, preview, reported_extension
+from ..functions.naming import file_kind, output_name, preview, reported_extension
 from ..functions.replace import replacement, replacement_by_method
 from ..functions.spans import candidate_spans, find_spans
-from ..functions.splice import scrub_text, splice
+from ..functions.splice import scrub_text
 from ..functions.validators import digits_only, is_luhn, is_ssn, is_valid
-from ..operators.detect import as_text, detect, explode_spans, findings
+from ..operators.detect import as_text, explode_spans, findings
 from ..operators.limits import Quota, batch_error, cell_error, row_error, size_error, split_by_status, type_error
 from ..operators.model import (
     cell_offsets,
@@ -37,12 +36,20 @@ from ..operators.model import (
     spans_to_cells,
 )
 from ..operators.scrub import scrub, scrub_marked
-from ..operators.stats import batch_totals, mark_rows, profile, stats, totals_of_marks, type_counts
-from ..sources.files import number_lines, read_csv, read_csv_checked, read_lines, read_texts, without_files
+from ..operators.stats import batch_totals, profile, stats, type_counts
+from ..sources.files import (
+    number_lines,
+    read_csv,
+    read_csv_checked,
+    read_lines,
+    read_texts,
+    route_units,
+    without_files,
+)
 from ..sources.sinks import failed, successful, write_csv, write_lines, write_texts
 from ..sources.workbook import parse_workbooks
 from ..sources.workspace import fresh_path, small_side, spread, table
-from ..streaming.progress import observe_batch, progress_metrics
+from ..streaming.progress import observe_batch
 from ..streaming.scrub import running_type_counts, scrub_stream, stream_lines, stream_table, write_stream
 from . import oracle as o
 from .fixtures import as_workbooks, corpus, documents, failing_model, people, people_values, stub_model
@@ -432,11 +439,8 @@ _ROUTE_BYTES = 2000
 )
 def route_by_size(spark, root):
     """Small texts as one value, large ones line by line."""
-    docs = documents(spark, root).select("id", "text")
-    large = F.octet_length("text") > _ROUTE_BYTES
-    whole = docs.where(~large).select("id", F.lit("document").alias("unit"), F.lit(0).alias("line_no"), "text")
-    lines = number_lines(docs.where(large), keys=("id",)).select("id", F.lit("line").alias("unit"), "line_no", "line")
-    return scrub(whole.union(lines), ["text"])
+    units = route_units(documents(spark, root), _ROUTE_BYTES, keys=("id",))
+    return scrub(units, ["text"])
 
 
 # ----------------------------------------------------------------- counting
@@ -599,10 +603,6 @@ def isolate_failed_files(spark, root):
     return good.select("id", "file")
 
 
-def _status_rows(spark, root):
-    return quota_file_size(spark, root)
-
-
 @query("successful_results", f"select * from ({ORACLES['quota_file_size']}) where success")
 def successful_results(spark, root):
     return successful(quota_file_size(spark, root))
@@ -716,9 +716,6 @@ def reuse_duplicate_texts(spark, root):
     return _entity_rows(answered.withColumn("entities", F.col("prediction.entities")))
 
 
-_CONV = "conv as (select conv_id, turn, role as a, text as b from conversations)"
-
-
 @query(
     "join_row_cells",
     o.with_(o.PEOPLE)

@@ -89,14 +89,30 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def lines_of(text: str | Column) -> Column:
+    """A text's lines; a final line end opens no further line, an empty text has none."""
+    t = F.col(quoted(text)) if isinstance(text, str) else text
+    lines = F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n", -1)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(lines)
+
+
 def number_lines(texts: DataFrame, text: str = "text", keys=(FILE,)) -> DataFrame:
-    """Lines of whole texts with their zero-based number: keys, line_no, line.
+    """Lines of whole texts with their zero-based number: keys, line_no, line."""
+    return texts.select(*keys, F.posexplode(lines_of(text)).alias("line_no", "line"))
+
 
-    A final line end opens no further line.
+def route_units(texts: DataFrame, max_bytes: int, text: str = "text", keys=(FILE,)) -> DataFrame:
+    """Texts up to ``max_bytes`` whole, larger ones line by line, in one scan.
+
+    Gives keys, unit (``document`` or ``line``), line_no and the text.
     """
-    body = F.regexp_replace(F.col(quoted(text)), r"\r?\n\z", "")
-    lines = F.when(F.col(quoted(text)) == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
-    return texts.select(*keys, F.posexplode(lines).alias("line_no", "line"))
+    large = F.octet_length(F.col(quoted(text))) > max_bytes
+    units = F.when(large, lines_of(text)).otherwise(F.array(F.col(quoted(text))))
+    return texts.select(
+        *keys,
+        F.when(large, F.lit("line")).otherwise(F.lit("document")).alias("unit"),
+        F.posexplode(units).alias("line_no", text),
+    )
 
 
 def kind_of(path: str) -> str:
