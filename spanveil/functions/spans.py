@@ -110,6 +110,22 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def merge_spans_sql(first: str, second: str) -> str:
+    """SQL text of two span arrays merged, sorted by start and resolved again."""
+    flags = running_scan(
+        "transform(both, r -> named_struct('start', r.start, 'end', r.end))",
+        state="0",
+        next_state="if(x.start >= acc.s, x.end, acc.s)",
+        emit="if(x.start >= acc.s, 1, 0)",
+    )
+    ordered = (
+        f"transform(array_sort(transform(concat({first}, {second}), r -> named_struct("
+        "'start', r.start, 'ord', r.ord, 'r', r))), w -> w.r)"
+    )
+    kept = let("flags", flags, "filter(both, (r, i) -> flags[i] = 1)")
+    return let("both", ordered, f"if(size(both) < 2, both, {kept})")
+
+
 def cells_spans_sql(columns, types) -> str:
     """SQL text of the spans of several columns: an array of span arrays.
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.catalog import MODEL_LABELS, display_name, parse_types
 from ..functions.exprs import let, running_scan, sql_str
-from ..functions.spans import SPANS_TYPE, quoted
+from ..functions.spans import SPANS_TYPE, merge_spans_sql, quoted
 from .detect import detect, text_columns
 
 ENTITY_TYPE = "struct<entity:string,start:int,end:int,confidence:double>"
@@ -177,21 +177,6 @@ def model_spans(column: str, entities: str, types=None, min_confidence: float =
     return F.expr(f"if({gate}, {spans}, cast(array() as {SPANS_TYPE}))")
 
 
-def merge_spans_sql(first: str, second: str) -> str:
-    flags = running_scan(
-        "transform(both, r -> named_struct('start', r.start, 'end', r.end))",
-        state="0",
-        next_state="if(x.start >= acc.s, x.end, acc.s)",
-        emit="if(x.start >= acc.s, 1, 0)",
-    )
-    ordered = (
-        f"transform(array_sort(transform(concat({first}, {second}), r -> named_struct("
-        "'start', r.start, 'ord', r.ord, 'r', r))), w -> w.r)"
-    )
-    kept = let("flags", flags, "filter(both, (r, i) -> flags[i] = 1)")
-    return let("both", ordered, f"if(size(both) < 2, both, {kept})")
-
-
 def merge_spans(first: str, second: str) -> Column:
     """Two span columns merged, sorted and resolved again.
 
@@ -219,6 +204,19 @@ def cell_offsets(columns: list[str]) -> Column:
     return F.array(*cells)
 
 
+def join_cell_array(cells: str = "cells") -> Column:
+    """:func:`join_cells` for cells held in one array column."""
+    return F.array_join(F.col(quoted(cells)), SEPARATOR, "")
+
+
+def cell_array_offsets(cells: str = "cells") -> Column:
+    """:func:`cell_offsets` for cells held in one array column."""
+    widths = f"transform({quoted(cells)}, c -> length(coalesce(c, '')))"
+    starts = running_scan("widths", state="0", next_state=f"acc.s + x + {len(SEPARATOR)}", emit="acc.s")
+    pairs = "transform(widths, (w, i) -> named_struct('start', starts[i], 'end', starts[i] + w))"
+    return F.expr(let("widths", widths, let("starts", starts, pairs)))
+
+
 def spans_to_cells(spans: str, offsets: str) -> Column:
     """Spans of the joined text, per cell and rebased.
 
@@ -233,6 +231,16 @@ def spans_to_cells(spans: str, offsets: str) -> Column:
     return F.expr(f"transform({quoted(offsets)}, o -> transform({inside}, s -> {moved}))")
 
 
+def model_cell_spans(
+    df: DataFrame, factory: Callable[[], Predictor], cells: str = "cells", types=None, out: str = "_model"
+) -> DataFrame:
+    """Model spans per cell, for rows that hold their cells in one array column."""
+    joined = df.withColumns({"_joined": join_cell_array(cells), "_offsets": cell_array_offsets(cells)})
+    joined = joined.withColumn("_p", predict("_joined", factory)).withColumn("_e", F.col("_p.entities"))
+    joined = joined.withColumn("_m", model_spans("_joined", "_e", types))
+    return joined.withColumn(out, spans_to_cells("_m", "_offsets")).select(*[quoted(c) for c in df.columns], out)
+
+
 def detect_with_model(
     df: DataFrame,
     factory: Callable[[], Predictor],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import parse_types
 from ..functions.exprs import let
-from ..functions.spans import cells_spans_sql, quoted
+from ..functions.spans import cells_spans_sql, merge_spans_sql, quoted, spans_sql
 from ..functions.splice import scrub_sql, scrub_text, splice, splice_sql, swap_sql
 from .detect import SEPARATE_COLUMNS, text_columns
 
@@ -51,14 +51,9 @@ def scrub_marked(
     names = text_columns(df, columns)
     chosen = parse_types(types)
     key = quoted(row_key) if row_key else None
-    spliced = splice_sql("src", "hit", swap_sql(chosen, method, salt, key))
-    texts = (
-        "transform(found, (hit, n) -> if(texts[n] is null, cast(null as string), " + let("src", "texts[n]", spliced) + "))"
-    )
-    body = f"named_struct('texts', {texts}, 'mark', {mark_sql('found', len(chosen))})"
     cells = ", ".join(quoted(c) for c in names)
-    whole = let("texts", f"array({cells})", let("found", cells_spans_sql(names, chosen), body))
-    packed = df.withColumn("_scrubbed", F.expr(whole))
+    found = cells_spans_sql(names, chosen)
+    packed = df.withColumn("_scrubbed", F.expr(_marked_sql(f"array({cells})", found, chosen, method, salt, key)))
     at = {c: i for i, c in enumerate(names)}
     return packed.select(
         *[F.col("_scrubbed")["texts"][at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns],
@@ -66,6 +61,39 @@ def scrub_marked(
     )
 
 
+def _marked_sql(texts: str, found: str, types, method: str, salt: str, row_key: str | None) -> str:
+    """SQL text of ``STRUCT<texts, mark>`` for an array of texts and its array of span arrays."""
+    spliced = let("src", "texts[n]", splice_sql("src", "hit", swap_sql(types, method, salt, row_key)))
+    swapped = f"transform(found, (hit, n) -> if(texts[n] is null, cast(null as string), {spliced}))"
+    # Model spans carry ords past the pattern types; they are folded back for counting.
+    folded = f"transform(found, l -> transform(l, s -> named_struct('ord', s.ord % {len(types)})))"
+    body = f"named_struct('texts', {swapped}, 'mark', {mark_sql(folded, len(types))})"
+    return let("texts", texts, let("found", found, body))
+
+
+def scrub_cells(
+    df: DataFrame,
+    cells: str = "cells",
+    types=None,
+    method: str = "mask",
+    salt: str = "",
+    model_spans: str | None = None,
+    mark: str = "pii",
+) -> DataFrame:
+    """:func:`scrub_marked` for rows that hold their cells in one array column.
+
+    ``model_spans`` names a column of per-cell span arrays to merge in.
+    """
+    chosen = parse_types(types)
+    found = spans_sql("cell", chosen)
+    if model_spans:
+        found = merge_spans_sql(found, f"{quoted(model_spans)}[n]")
+    listed = f"transform({quoted(cells)}, (cell, n) -> {found})"
+    packed = df.withColumn("_scrubbed", F.expr(_marked_sql(quoted(cells), listed, chosen, method, salt, None)))
+    kept = [F.col("_scrubbed")["texts"].alias(c) if c == cells else F.col(quoted(c)) for c in df.columns]
+    return packed.select(*kept, F.col("_scrubbed")["mark"].alias(mark))
+
+
 def mark_sql(span_lists: str, n_types: int) -> str:
     """SQL text of a row's mark from an array of span arrays."""
     per_type = (

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.catalog import TypeNotAllowed, parse_types
 from ..functions.naming import base_name, file_kind, output_name, preview
 from ..functions.spans import quoted
-from ..operators.detect import detect
 from ..operators.limits import UNLIMITED, Quota, cell_error, row_error, validate_files
-from ..operators.model import detect_with_model
-from ..operators.scrub import scrub_detected, scrub_marked, scrub_names
+from ..operators.model import detect_with_model, model_cell_spans
+from ..operators.scrub import scrub_cells, scrub_detected, scrub_marked, scrub_names
 from ..operators.stats import totals_of_marks, types_of_marks
-from ..sources.files import FILE, RAGGED, csv_header, file_name, read_csv_checked, read_lines, read_texts, split_by_kind
-from ..sources.sinks import write_csv, write_lines, write_texts
+from ..sources.files import AT, FILE, RAGGED, csv_header, file_name, read_csv_checked, read_lines, read_texts, split_by_kind
+from ..sources.sinks import csv_array_record, csv_line, csv_record, preview_records, write_csv, write_lines, write_texts
 from ..sources.workbook import read_workbooks
 from ..sources.workspace import small_side, staged
 
@@ -30,6 +29,7 @@ class FileScrub:
     """Scrubbed rows by shape, and one report row per file."""
 
     tables: list[DataFrame]
+    workbooks: DataFrame | None
     texts: DataFrame | None
     lines: DataFrame | None
     report: DataFrame
@@ -40,6 +40,9 @@ class FileScrub:
         good = small_side(self.report.where("success").select(FILE))
         for i, rows in enumerate(self.tables):
             write_csv(rows.join(good, FILE, "left_semi").drop(FILE, "pii"), f"{path}/tables{i}", partition_by=["out_file"])
+        if self.workbooks is not None:
+            rows = self.workbooks.join(good, FILE, "left_semi").withColumn("line", csv_array_record("cells"))
+            write_lines(rows, f"{path}/workbooks", partition_by=["out_file"])
         if self.texts is not None:
             write_texts(self.texts.join(good, FILE, "left_semi"), f"{path}/texts")
         if self.lines is not None:
@@ -63,7 +66,7 @@ def scrub_files(
     multiline: bool = True,
     check_cells: bool = False,
     one_header: bool = False,
-    stage: bool = False,
+    stage: bool = True,
 ) -> FileScrub:
     """Scrub CSV, XLSX, text and JSON files.
 
@@ -72,8 +75,9 @@ def scrub_files(
     all CSV files share one. ``text_mode`` is ``document``, ``line`` or ``auto`` (line by line
     above ``line_mode_bytes``, decided per file by its size). A file over a quota
     or with ragged records fails alone: its report row has the error, and
-    ``save_successful`` leaves it out. ``stage=True`` writes scrubbed rows once
-    to the shared folder, so report and output do not scrub twice.
+    ``save_successful`` leaves it out. Scrubbed rows are written once to the shared
+    folder, from which report and output are made; ``stage=False`` keeps
+    everything lazy and scrubs again for each of them.
     """
     if text_mode not in ("document", "line", "auto"):
         raise ValueError("text_mode must be document, line or auto")
@@ -96,14 +100,17 @@ def scrub_files(
         done = done.withColumn("out_file", output_name(FILE))
         return staged(done, "scrubbed") if stage else done
 
+    if quota.max_files is not None and files.count() > quota.max_files:
+        return _nothing(status)
     groups = split_by_kind(paths)
-    tables, totals, type_parts = [], [], []
+    tables, totals, type_parts, books = [], [], [], None
     no_preview = F.lit(None).cast("string")
 
-    def account(df: DataFrame, ragged, n_cells, preview_col=None, header_found: int = 0) -> None:
-        shown = F.max(preview_col if preview_col is not None else no_preview)
-        extra = [ragged.alias("n_ragged"), shown.alias("preview")]
+    def account(df: DataFrame, ragged, n_cells, shown=None, header_found: int = 0, previews=None) -> None:
+        extra = [ragged.alias("n_ragged"), F.max(no_preview if shown is None else shown).alias("preview")]
         per_file = totals_of_marks(df, [FILE], extra=extra)
+        if previews is not None:
+            per_file = per_file.drop("preview").join(previews, FILE, "left")
         per_file = per_file.withColumn("pii_found", F.col("pii_found") + header_found)
         totals.append(per_file.withColumn("n_cells", F.col("rows_processed") * n_cells))
         type_parts.append(types_of_marks(df, chosen, [FILE]))
@@ -116,10 +123,12 @@ def scrub_files(
         for path in csv_paths:
             by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
     for header, members in by_header.items():
-        rows = read_csv_checked(spark, members, list(header), multiline)
+        rows = read_csv_checked(spark, members, list(header), multiline, max_bytes=quota.max_file_bytes)
         done = scrubbed(rows, list(header))
-        account(done, F.count_if(RAGGED).cast("int"), len(header), header_found=_header_found(done, header, chosen))
-        named, _ = scrub_names(done.select(*[quoted(c) for c in header]), chosen, method, salt)
+        named, header_found = scrub_names(done.select(*[quoted(c) for c in header]), chosen, method, salt)
+        head = csv_line(named.columns)
+        shown = preview_records(done, csv_record(header), AT, FILE, head)
+        account(done, F.count_if(RAGGED).cast("int"), len(header), header_found=header_found, previews=shown)
         renamed = [F.col(quoted(a)).alias(b) for a, b in zip(header, named.columns, strict=True)]
         tables.append(done.select(FILE, "out_file", *renamed, "pii"))
 
@@ -129,38 +138,35 @@ def scrub_files(
         status = status.join(broken, FILE, "left")
         error = F.coalesce("error", "book_error")
         status = status.select(FILE, "size_bytes", error.isNull().alias("success"), error.alias("error"))
-        cells = book.where("error is null").select(FILE, "row_idx", F.posexplode("cells").alias("cell_idx", "cell"))
-        done = scrubbed(cells, ["cell"])
-        # Cells of a row are counted apart; distinct rows come from (file, row) pairs.
-        head = done.where("row_idx = 0").groupBy(FILE).agg(F.sum("pii.found").alias("head_found"))
-        body = done.where("row_idx > 0")
-        per_row = body.groupBy(FILE, "row_idx").agg(
-            F.struct(
-                F.sum("pii.found").cast("int").alias("found"),
-                F.count_if(F.col("pii.found") > 0).cast("int").alias("cells"),
-                F.array(*[F.sum(F.col("pii.by_type")[i]).cast("int") for i in range(len(chosen))]).alias("by_type"),
-            ).alias("pii")
-        )
-        account(per_row, F.max(F.lit(0)), 1)
-        with_head = totals[-1].join(head, FILE, "left")
+        rows = book.where("error is null").drop("error")
+        found = None
+        if factory is not None:
+            rows, found = model_cell_spans(rows, factory, "cells", chosen), "_model"
+        done = scrub_cells(rows, "cells", chosen, method, salt, found).withColumn("out_file", output_name(FILE))
+        books = staged(done, "scrubbed") if stage else done
+        head = books.where("row_idx = 0").select(FILE, F.col("pii.found").alias("head_found"))
+        shown = preview_records(books, csv_array_record("cells"), "row_idx", FILE)
+        account(books.where("row_idx > 0"), F.max(F.lit(0)), 1, previews=shown)
+        width = books.where("row_idx = 0").select(FILE, F.size("cells").alias("width"))
+        with_head = totals[-1].join(head, FILE, "left").join(width, FILE, "left")
         total = F.col("pii_found") + F.coalesce("head_found", F.lit(0))
-        totals[-1] = with_head.withColumn("pii_found", total).drop("head_found")
-        tables.append(done.select(FILE, "out_file", "row_idx", "cell_idx", "cell", "pii"))
+        counted = {"pii_found": total, "n_cells": F.col("rows_processed") * F.col("width")}
+        totals[-1] = with_head.withColumns(counted).drop("head_found", "width")
 
     text_paths = [p for kind in ("txt", "json") for p in groups.get(kind, [])]
     texts = lines = None
     if text_paths and text_mode != "line":
-        whole = read_texts(spark, text_paths)
+        whole = read_texts(spark, text_paths, quota.max_file_bytes)
         if text_mode == "auto":
             whole = whole.where((F.col("size_bytes") <= line_mode_bytes) | (file_kind(FILE) == "json"))
         texts = scrubbed(whole, ["text"])
-        account(texts, F.max(F.lit(0)), 1, preview("text"))
+        account(texts, F.max(F.lit(0)), 1, shown=preview("text"))
     if text_paths and text_mode != "document":
-        split = read_lines(spark, text_paths)
+        split = read_lines(spark, text_paths, quota.max_file_bytes)
         if text_mode == "auto":
             split = split.where((F.col("size_bytes") > line_mode_bytes) & (file_kind(FILE) != "json"))
         lines = scrubbed(split, ["line"])
-        account(lines, F.max(F.lit(0)), 1)
+        account(lines, F.max(F.lit(0)), 1, previews=preview_records(lines, F.col("line"), AT, FILE))
 
     if not totals:
         return _nothing(status)
@@ -184,14 +190,7 @@ def scrub_files(
         F.when(error.isNull(), F.col("preview")).alias("preview"),
         *[F.when(error.isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c) for c in counts],
     )
-    return FileScrub(tables, texts, lines, report, _union(type_parts))
-
-
-def _header_found(df: DataFrame, header, types) -> int:
-    spark = df.sparkSession
-    names = spark.createDataFrame([(h,) for h in header], "name string")
-    found = detect(names, ["name"], types).agg(F.sum(F.size("name_spans"))).first()
-    return found[0] or 0
+    return FileScrub(tables, books, texts, lines, report, _union(type_parts))
 
 
 def _nothing(status: DataFrame) -> FileScrub:
@@ -206,4 +205,4 @@ def _nothing(status: DataFrame) -> FileScrub:
         *[v.alias(k) for k, v in zero.items()],
     )
     empty = status.where("false").select(FILE, F.lit("").alias("pii_type"), F.lit(0).cast("bigint").alias("n"))
-    return FileScrub([], None, None, report, empty)
+    return FileScrub([], None, None, None, report, empty)

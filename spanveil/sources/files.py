@@ -11,6 +11,17 @@ from ..functions.spans import quoted
 
 FILE = "file"
 RAGGED = "_ragged"
+# Where a row lies in its file: start of its split, then a number rising within the split.
+AT = "_at"
+
+
+def row_position() -> Column:
+    return F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+
+
+def _within(df: DataFrame, max_bytes: int | None) -> DataFrame:
+    """Leave out files over a size; a filter on file metadata prunes them before reading."""
+    return df if max_bytes is None else df.where(F.col("_metadata.file_size") <= max_bytes)
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "enforceSchema": False}
 
@@ -43,9 +54,14 @@ def read_csv(spark: SparkSession, paths, header=None, multiline: bool = True, wi
 
 
 def read_csv_checked(
-    spark: SparkSession, paths, header=None, multiline: bool = True, has_header: bool = True
+    spark: SparkSession,
+    paths,
+    header=None,
+    multiline: bool = True,
+    has_header: bool = True,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Like :func:`read_csv` with the file name and a flag for records of the wrong width.
+    """Like :func:`read_csv` with file name, row position, and a flag for records of the wrong width.
 
     The flag marks records with too few or too many cells: a strict writer cannot
     write them back, so a file that holds one fails as a whole.
@@ -59,7 +75,7 @@ def read_csv_checked(
         "columnNameOfCorruptRecord": "_corrupt_record",
         "enforceSchema": True,
     }
-    df = spark.read.options(**options).schema(schema).csv(paths)
+    df = _within(spark.read.options(**options).schema(schema).csv(paths), max_bytes)
     # The parser judges a record's width by the columns it is asked for, so the flag
     # has to need them all even when the caller drops the rest.
     every_cell = F.length(F.concat_ws("", *[F.col(quoted(c)) for c in names])) < 0
@@ -67,25 +83,29 @@ def read_csv_checked(
         file_name().alias(FILE),
         *[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in names],
         (F.col("_corrupt_record").isNotNull() | every_cell).alias(RAGGED),
+        row_position().alias(AT),
     )
 
 
-def read_texts(spark: SparkSession, paths) -> DataFrame:
+def read_texts(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
     """One row per file: file, size_bytes, text. JSON is read this way too, unparsed."""
-    df = spark.read.text(paths, wholetext=True)
+    df = _within(spark.read.text(paths, wholetext=True), max_bytes)
     return df.select(
         file_name().alias(FILE), F.col("_metadata.file_size").alias("size_bytes"), F.col("value").alias("text")
     )
 
 
-def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """One row per line: file, size_bytes, line. Files are split between tasks.
+def read_lines(spark: SparkSession, paths, max_bytes: int | None = None) -> DataFrame:
+    """One row per line: file, size_bytes, line and its position. Files are split between tasks.
 
     Line ends are dropped; a carriage return before a line feed is part of the end.
     """
-    df = spark.read.text(paths)
+    df = _within(spark.read.text(paths), max_bytes)
     return df.select(
-        file_name().alias(FILE), F.col("_metadata.file_size").alias("size_bytes"), F.col("value").alias("line")
+        file_name().alias(FILE),
+        F.col("_metadata.file_size").alias("size_bytes"),
+        F.col("value").alias("line"),
+        row_position().alias(AT),
     )
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.naming import PREVIEW_CHARS
+from ..functions.spans import quoted
+
+# A record takes at least two characters with its line end, so this many rows fill a preview.
+PREVIEW_ROWS = PREVIEW_CHARS // 2
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partition_by=()) -> None:
     """Header plus rows, quoting only where needed, quotes doubled."""
@@ -12,6 +18,56 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partition_b
     writer.csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def csv_record(columns) -> Column:
+    """A row as one CSV record, quoted only where needed."""
+
+    record = F.concat_ws(",", *[_csv_cell(F.coalesce(F.col(quoted(c)), F.lit(""))) for c in columns])
+    return F.when(record == "", F.lit('""')).otherwise(record) if len(columns) == 1 else record
+
+
+def csv_array_record(cells: str) -> Column:
+    """An array of cells as one CSV record."""
+    record = F.array_join(F.transform(F.col(quoted(cells)), _csv_cell), ",", "")
+    return F.when(record == "", F.lit('""')).otherwise(record)
+
+
+def _csv_cell(text: Column) -> Column:
+    doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(F.rlike(text, F.lit('[",\\r\\n]')), doubled).otherwise(text)
+
+
+def csv_line(cells) -> str:
+    """Driver-side form of :func:`csv_record`, for a header."""
+    quote = ['"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in cells]
+    return ",".join(quote) if quote != [""] else '""'
+
+
+def preview_records(rows: DataFrame, record: Column, at: str, file: str = "file", header: str | None = None) -> DataFrame:
+    """Preview of files whose rows are spread over tasks: file, preview.
+
+    The first rows of each file are picked by row number, which Spark limits
+    inside every task before it shuffles, so a large file sends a bounded number
+    of cut records. The full length is a sum.
+    """
+    head = "" if header is None else header + "\n"
+    lined = rows.select(file, F.col(at).alias("_at"), record.alias("_record"))
+    total = lined.groupBy(file).agg(F.sum(F.length("_record") + 1).alias("_chars"))
+    cut = lined.select(file, "_at", F.substring("_record", 1, PREVIEW_CHARS + 1).alias("_record"))
+    first = cut.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("_at")))
+    first = first.where(F.col("_n") <= PREVIEW_ROWS)
+    listed = first.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("_n", "_record"))).alias("_records"))
+    body = F.concat(F.lit(head), F.array_join(F.transform("_records", lambda r: r["_record"]), "\n"), F.lit("\n"))
+    chars = F.col("_chars") + len(head)
+    note = F.concat(
+        F.substring(body, 1, PREVIEW_CHARS),
+        F.lit("...\n\n[Truncated - "),
+        chars.cast("string"),
+        F.lit(" total characters]"),
+    )
+    shown = F.when(chars > PREVIEW_CHARS, note).otherwise(body)
+    return listed.join(total, file).select(file, shown.alias("preview"))
+
+
 def write_lines(df: DataFrame, path: str, column: str = "line", mode: str = "errorifexists", partition_by=()) -> None:
     """One line per row, each ended by a line feed."""
     out = df.select(*partition_by, F.col(column).alias("value"))

@@ -9,7 +9,7 @@ from spanveil.functions.naming import file_kind, output_name, preview, reported_
 from spanveil.operators.limits import cell_error, split_by_status, validate_files
 from spanveil.plans.fixtures import workbook_bytes
 from spanveil.sources.files import kind_of, number_lines, read_csv, read_csv_checked, read_lines, read_texts, split_by_kind
-from spanveil.sources.sinks import write_csv
+from spanveil.sources.sinks import preview_records, write_csv
 from spanveil.sources.workbook import read_workbooks
 from spanveil.sources.workspace import shared_dir, small_side, spread, staged
 
@@ -127,14 +127,42 @@ def test_one_call(spark, batch, stage):
         "w.xlsx": (True, 2, 2, 1, 1),
     }
     assert got["t.txt"].preview == "hello ***@b.com\nsecond ***.***.***.***"
+    assert got["a.csv"].preview == 'id,***@joe.com,note\n1,"call ***-***-4567, now",x\n2,,"multi\nline ***@b.io"\n'
+    long = "l1 ***@b.com\nl2\n" * 100
+    assert len(long) < 2000 and got["big.TXT"].preview == long and got["w.xlsx"].preview == "***@x.io\n***.***.***.***\nplain\n"
     assert got["bad.csv"].error.startswith("CSV error") and got["w.xlsx"].out_file == "w_scrubbed.csv"
     by_type = {(r.file.rsplit("/", 1)[1], r.pii_type): r.n for r in run.type_report.collect()}
     assert by_type[("big.TXT", "Email Address")] == 100 and by_type[("w.xlsx", "IP Address")] == 1
     run.save_successful(str(folder / f"out{stage}"))
     written = {p.parent.name for p in (folder / f"out{stage}").rglob("part-*")}
     assert "out_file=a_scrubbed.csv" in written and "out_file=bad_scrubbed.csv" not in written
+    sheet = next((folder / f"out{stage}").rglob("out_file=w_scrubbed.csv/part-*")).read_text()
+    assert sheet == "***@x.io\n***.***.***.***\nplain\n"
     text = next((folder / f"out{stage}").rglob("out_file=a_scrubbed.csv/part-*")).read_text()
-    assert text == 'id,***@joe.com,note\n1,"call ***-***-4567, now",x\n2,,"multi\nline ***@b.io"\n'.replace("***@joe", "***@joe")
+    assert text == 'id,***@joe.com,note\n1,"call ***-***-4567, now",x\n2,,"multi\nline ***@b.io"\n'
+
+
+def test_preview_of_a_long_table(spark, tmp_path):
+    body = "id,t\n" + "".join(f"{i},line {i}\n" for i in range(5000))
+    (tmp_path / "l.csv").write_text(body)
+    got = scrub_files(spark, [str(tmp_path / "l.csv")], types=["email"]).report.first()
+    assert got.preview == body[:2000] + f"...\n\n[Truncated - {len(body)} total characters]"
+    rows = read_lines(spark, str(tmp_path / "l.csv"))
+    plan = preview_records(rows, F.col("line"), "_at")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_workbook_with_model(spark, tmp_path):
+    (tmp_path / "w.xlsx").write_bytes(workbook_bytes([["who", "where"], ["John Smith", "a@b.com"], ["plain", "Mary Jones"]]))
+
+    def names():
+        return lambda texts: [[("PER", m.start(), m.end(), 0.9) for m in re.finditer("[A-Z][a-z]+ [A-Z][a-z]+", t)] for t in texts]
+
+    run = scrub_files(spark, [str(tmp_path / "w.xlsx")], factory=names)
+    cells = [r.cells for r in run.workbooks.orderBy("row_idx").collect()]
+    assert cells == [["who", "where"], ["*" * 10, "***@b.com"], ["plain", "*" * 10]]
+    report = run.report.first()
+    assert (report.pii_found, report.rows_affected, report.cells_affected) == (3, 2, 3)
 
 
 def test_quotas_fail_files_alone(spark, batch):
