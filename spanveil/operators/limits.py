@@ -65,12 +65,11 @@ def batch_error(files: Column, quota: Quota) -> Column:
 def validate_files(files: DataFrame, quota: Quota) -> DataFrame:
     """Status of a file list ``(file, size_bytes)``: batch quota first, then sizes.
 
-    The batch count is one aggregated row, so crossing it back costs no shuffle.
+    The list is counted only when there is a batch quota; the count is one number.
     """
-    batch = files.agg(F.count(F.lit(1)).alias("n_files"))
-    joined = files.join(F.broadcast(batch))
-    error = F.coalesce(batch_error(F.col("n_files"), quota), size_error(F.col("size_bytes"), quota))
-    return joined.select("file", "size_bytes", error.isNull().alias("success"), error.alias("error"))
+    n_files = files.count() if quota.max_files is not None else 0
+    error = F.coalesce(batch_error(F.lit(n_files), quota), size_error(F.col("size_bytes"), quota))
+    return files.select("file", "size_bytes", error.isNull().alias("success"), error.alias("error"))
 
 
 def type_error(requested: Column, quota: Quota) -> Column:
