@@ -34,7 +34,15 @@ PATTERNS = {
     "bank_account": r"(?U)(?=\d{4})\b(?:\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]\d{4}|\d{16})\b",
 }
 
-# Every email holds an at-sign and every other type a decimal digit, so a row
+# Row gates. Every email holds an at-sign and every other type a decimal digit, so a row
 # with neither is passed over with one byte search and one single-class scan.
 EMAIL_MARK = "@"
 DIGIT_MARK = r"\p{Nd}"
+
+# Second gates, for rows with a digit: addresses and dates hold two digits around a
+# separator, all others a run of four digits.
+PAIR_MARK = r"\p{Nd}[-/.]\p{Nd}"
+RUN_MARK = r"\p{Nd}{4}"
+GATE_OF = dict.fromkeys(PATTERNS, "has_run") | dict.fromkeys(("ip_address", "date_of_birth"), "has_pair") | {
+    "email": "has_at"
+}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .catalog import PATTERN_TYPES, display_name, parse_types
 from .exprs import let, running_scan, sql_str
-from .patterns import DIGIT_MARK, EMAIL_MARK, PATTERNS
+from .patterns import DIGIT_MARK, EMAIL_MARK, GATE_OF, PAIR_MARK, PATTERNS, RUN_MARK
 from .validators import VALID_SQL
 
 SPAN_TYPE = "struct<start:int,end:int,ord:int,pii_type:string,value:string>"
@@ -92,15 +92,18 @@ def spans_sql(text: str, types, resolve: bool = True) -> str:
     order = {t: i for i, t in enumerate(types) if t in PATTERN_TYPES}
     if not order:
         return _NO_SPANS
-    marks = {t: "has_at" if t == "email" else "has_digit" for t in order}
+    marks = {t: GATE_OF[t] for t in order}
     raw = f"flatten(transform({_pieces(order, marks)}, t -> {_positions()}))"
     raw = _validated(raw, order)
     done = let("raw", raw, f"if(size(raw) < 2, raw, {_resolved('raw')})") if resolve else f"array_sort({raw})"
-    gate = " or ".join(dict.fromkeys(marks.values()))
-    body = f"if({gate}, {_named(done, [display_name(t) for t in types])}, {_NO_SPANS})"
-    if "has_digit" in gate:
+    gates = dict.fromkeys(marks.values())
+    body = f"if({' or '.join(gates)}, {_named(done, [display_name(t) for t in types])}, {_NO_SPANS})"
+    for gate, mark in (("has_run", RUN_MARK), ("has_pair", PAIR_MARK)):
+        if gate in gates:
+            body = let(gate, f"has_digit and txt rlike {sql_str(mark)}", body)
+    if "has_run" in gates or "has_pair" in gates:
         body = let("has_digit", f"txt rlike {sql_str(DIGIT_MARK)}", body)
-    if "has_at" in gate:
+    if "has_at" in gates:
         body = let("has_at", f"contains(txt, '{EMAIL_MARK}')", body)
     return let("txt", f"coalesce({text}, '')", body)
 

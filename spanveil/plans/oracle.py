@@ -158,10 +158,13 @@ def replaced(k: str, v: str, method: str, salt: str = "", types=ALL_TYPES) -> st
     return f"case {k} " + " ".join(f"when {lit(display_name(t))} then {make(t, v, salt)}" for t in types) + " end"
 
 
-def spliced(src: str, kept: str, method: str, salt: str = "", name: str = "scrubbed") -> str:
-    """CTE ``name(id, text)``: every row of ``src`` with the spans of ``kept`` replaced."""
+def spliced(src: str, kept: str, method: str, salt: str = "", name: str = "scrubbed", value: str = "v") -> str:
+    """CTE ``name(id, text)``: every row of ``src`` with the spans of ``kept`` replaced.
+
+    ``value`` is what the replacement is made from.
+    """
     return f"""{name}_p as (
-  select id, s, e, {replaced('k', 'v', method, salt)} as r,
+  select id, s, e, {replaced('k', value, method, salt)} as r,
     coalesce(lag(e) over (partition by id order by s), 0) as b from {kept}),
 {name}_j as (
   select p.id, string_agg(substring(t.text, p.b + 1, p.s - p.b) || p.r, '' order by p.s)

@@ -341,7 +341,15 @@ def method_dispatch(spark, root):
     )
 
 
-@query("occurrence_fakes")
+@query(
+    "occurrence_fakes",
+    o.with_(
+        o.CORPUS,
+        o.spans("corpus", ALL_TYPES),
+        o.spliced("corpus", "kept", "fake", "s1", value="(v || '|' || id || '|' || s::varchar)"),
+    )
+    + "select id, text from scrubbed",
+)
 def occurrence_fakes(spark, root):
     """Stand-ins that depend on row and offset instead of the value alone."""
     return corpus(spark, root).select("id", scrub_text("text", None, "fake", "s1", row_key="id").alias("text"))
