@@ -65,8 +65,8 @@ def explode_spans(df: DataFrame, spans: dict[str, str | Column], keys=()) -> Dat
     tagged = [tag(c, s if isinstance(s, Column) else F.col(quoted(s))) for c, s in spans.items()]
     kept = [F.col(quoted(k)) for k in keys]
     merged = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    rows = df.select(*kept, F.explode_outer(merged).alias("found"))
-    return rows.where("found.start is not null").select(*kept, "found.*")
+    rows = df.select(*kept, F.explode_outer(merged).alias("_found"))
+    return rows.where("_found.start is not null").select(*kept, "_found.*")
 
 
 def findings(df: DataFrame, columns=None, types=None, keys=()) -> DataFrame:

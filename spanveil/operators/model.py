@@ -8,6 +8,7 @@ the only Python boundary is the prediction itself and nothing is shuffled.
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -46,15 +47,16 @@ def predict(column: str, factory: Callable[[], Predictor], cache_texts: int = 40
 
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, broken = None, None
-        recent: OrderedDict[str, list] = OrderedDict()
+        recent: OrderedDict[bytes, list] = OrderedDict()  # by digest: texts may be long
         for texts in batches:
             known: dict[str, list] = {}
             errors: dict[str, str] = {}
             wanted = [t for t in texts.dropna().unique() if t.strip() and len(t.encode()) >= MIN_BYTES]
+            keys = {t: hashlib.sha256(t.encode()).digest() for t in wanted}
             for t in wanted:
-                if t in recent:
-                    recent.move_to_end(t)
-                    known[t] = recent[t]
+                if keys[t] in recent:
+                    recent.move_to_end(keys[t])
+                    known[t] = recent[keys[t]]
             todo = [t for t in wanted if t not in known]
             for at in range(0, len(todo), BATCH_TEXTS):
                 part = todo[at : at + BATCH_TEXTS]
@@ -63,16 +65,14 @@ def predict(column: str, factory: Callable[[], Predictor], cache_texts: int = 40
                         model = factory()
                     if broken is not None:
                         raise RuntimeError(broken)
-                    found = model(part)
+                    answers = dict(zip(part, model(part), strict=True))
                 except Exception as exc:  # the job goes on without this batch's entities
                     if model is None:
                         broken = str(exc)
                     errors.update(dict.fromkeys(part, str(exc)))
                     continue
-                known.update(zip(part, found, strict=True))
-            for t in todo:
-                if t in known:
-                    recent[t] = known[t]
+                known.update(answers)
+                recent.update((keys[t], found) for t, found in answers.items())
             while len(recent) > cache_texts:
                 recent.popitem(last=False)
             yield pd.DataFrame(
@@ -195,13 +195,14 @@ def join_cells(columns: list[str]) -> Column:
 
 def cell_offsets(columns: list[str]) -> Column:
     """Where each cell lies in the joined text: ``ARRAY<STRUCT<start, end>>``."""
-    start: Column = F.lit(0)
-    cells = []
-    for c in columns:
-        width = F.length(F.coalesce(F.col(quoted(c)), F.lit("")))
-        cells.append(F.struct(start.alias("start"), (start + width).alias("end")))
-        start = start + width + F.lit(len(SEPARATOR))
-    return F.array(*cells)
+    return F.expr(_offsets_sql("array(" + ", ".join(quoted(c) for c in columns) + ")"))
+
+
+def _offsets_sql(cells: str) -> str:
+    widths = f"transform({cells}, c -> length(coalesce(c, '')))"
+    starts = running_scan("widths", state="0", next_state=f"acc.s + x + {len(SEPARATOR)}", emit="acc.s")
+    pairs = "transform(widths, (w, i) -> named_struct('start', starts[i], 'end', starts[i] + w))"
+    return let("widths", widths, let("starts", starts, pairs))
 
 
 def join_cell_array(cells: str = "cells") -> Column:
@@ -211,10 +212,7 @@ def join_cell_array(cells: str = "cells") -> Column:
 
 def cell_array_offsets(cells: str = "cells") -> Column:
     """:func:`cell_offsets` for cells held in one array column."""
-    widths = f"transform({quoted(cells)}, c -> length(coalesce(c, '')))"
-    starts = running_scan("widths", state="0", next_state=f"acc.s + x + {len(SEPARATOR)}", emit="acc.s")
-    pairs = "transform(widths, (w, i) -> named_struct('start', starts[i], 'end', starts[i] + w))"
-    return F.expr(let("widths", widths, let("starts", starts, pairs)))
+    return F.expr(_offsets_sql(quoted(cells)))
 
 
 def spans_to_cells(spans: str, offsets: str) -> Column:

@@ -122,6 +122,28 @@ def test_failures_are_reported_not_raised(spark):
     assert [(r.p.entities, r.p.error) for r in got] == [([], "no weights"), ([], None), ([], None), ([], None)]
 
 
+def test_a_short_answer_is_an_error(spark):
+    rows = spark.createDataFrame([("Some Text",), ("Other Text",)], "t string").coalesce(1)
+    got = rows.select(predict("t", lambda: lambda texts: [[]]).alias("p")).collect()
+    assert all(r.p.entities == [] and "zip()" in r.p.error for r in got)
+
+
+def test_repeated_texts_in_a_task_are_remembered(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def counting():
+        def found(texts):
+            with open(log, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return [[("PER", 0, 4, 0.9)] for _ in texts]
+
+        return found
+
+    rows = spark.range(25000).select(F.concat(F.lit("text "), F.col("id") % 7).alias("t")).coalesce(1)
+    rows.select(predict("t", counting).alias("p")).agg(F.sum(F.size("p.entities"))).collect()
+    assert len(open(log).read().split("\n")[:-1]) == 7
+
+
 def test_distinct_texts_reach_the_model_once(spark, tmp_path):
     log = str(tmp_path / "calls")
 
