@@ -45,7 +45,8 @@ def _draw(digest: str, slot: int, low: int, count: int) -> str:
 
 
 def _pick(digest: str, slot: int, options) -> str:
-    listed = "array(" + ", ".join(sql_str(o) for o in options) + ")"
+    # One literal instead of an array of many: the optimizer folds the split away.
+    listed = f"split({sql_str('|'.join(options))}, '[|]')"
     return f"element_at({listed}, cast({_draw(digest, slot, 1, len(options))} as int))"
 
 
@@ -132,7 +133,7 @@ def replacement_sql(
         return hash_sql(v)
     make = _mask_sql if method == "mask" else _fake_sql
     whens = [f"when {sql_str(display_name(t))} then {make(t, v, salt, occurrence)}" for t in types]
-    return f"case {kind} {' '.join(whens)} else {v} end"
+    return f"case {kind} {' '.join(whens)} else {v} end" if whens else v
 
 
 def replacement(kind: str, value: str, method: str = "mask", salt: str = "") -> Column:

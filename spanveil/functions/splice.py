@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .catalog import ALL_TYPES, parse_types
+from .catalog import ALL_TYPES, PATTERN_TYPES, parse_types
 from .exprs import let
 from .replace import replacement_sql
 from .spans import quoted, spans_sql
@@ -40,7 +40,7 @@ def splice_sql(text: str, spans: str, replacement: str) -> str:
 
 def scrub_sql(text: str, types, method: str = "mask", salt: str = "", row_key: str | None = None) -> str:
     """SQL text that detects and replaces in one expression (pattern types)."""
-    swap = swap_sql(types, method, salt, row_key)
+    swap = swap_sql([t for t in types if t in PATTERN_TYPES], method, salt, row_key)
     body = let("found", spans_sql("src", types), splice_sql("src", "found", swap))
     return f"if({text} is null, cast(null as string), {let('src', text, body)})"
 

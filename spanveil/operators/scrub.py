@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import parse_types
+from ..functions.catalog import PATTERN_TYPES, parse_types
 from ..functions.exprs import let
 from ..functions.spans import cells_spans_sql, merge_spans_sql, quoted, spans_sql
 from ..functions.splice import scrub_sql, scrub_text, splice, splice_sql, swap_sql
@@ -61,9 +61,10 @@ def scrub_marked(
     )
 
 
-def _marked_sql(texts: str, found: str, types, method: str, salt: str, row_key: str | None) -> str:
+def _marked_sql(texts: str, found: str, types, method: str, salt: str, row_key: str | None, model=False) -> str:
     """SQL text of ``STRUCT<texts, mark>`` for an array of texts and its array of span arrays."""
-    spliced = let("src", "texts[n]", splice_sql("src", "hit", swap_sql(types, method, salt, row_key)))
+    swapped_types = [t for t in types if model or t in PATTERN_TYPES]
+    spliced = let("src", "texts[n]", splice_sql("src", "hit", swap_sql(swapped_types, method, salt, row_key)))
     swapped = f"transform(found, (hit, n) -> if(texts[n] is null, cast(null as string), {spliced}))"
     # Model spans carry ords past the pattern types; they are folded back for counting.
     folded = f"transform(found, l -> transform(l, s -> named_struct('ord', s.ord % {len(types)})))"
@@ -89,7 +90,8 @@ def scrub_cells(
     if model_spans:
         found = merge_spans_sql(found, f"{quoted(model_spans)}[n]")
     listed = f"transform({quoted(cells)}, (cell, n) -> {found})"
-    packed = df.withColumn("_scrubbed", F.expr(_marked_sql(quoted(cells), listed, chosen, method, salt, None)))
+    whole = _marked_sql(quoted(cells), listed, chosen, method, salt, None, model=model_spans is not None)
+    packed = df.withColumn("_scrubbed", F.expr(whole))
     kept = [F.col("_scrubbed")["texts"].alias(c) if c == cells else F.col(quoted(c)) for c in df.columns]
     return packed.select(*kept, F.col("_scrubbed")["mark"].alias(mark))
 
