@@ -8,7 +8,7 @@ and display names are shared.
 from __future__ import annotations
 
 from ..functions import words
-from ..functions.catalog import ALL_TYPES, ALIASES, PATTERN_TYPES, PII_TYPES, display_name
+from ..functions.catalog import ALL_TYPES, display_name
 
 # Search patterns as first defined (ASCII meaning of classes).
 PLAIN = {
