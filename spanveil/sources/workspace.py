@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +18,11 @@ SPLIT_BYTES = 128 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Taken from ``spark.checkpoint.dir``. Only a local-mode session without the
-    setting gets a temporary folder of its own; elsewhere that is an error,
-    since a machine-local folder is lost with its executor.
+    Taken from ``spark.checkpoint.dir``; without it, a folder in the session's warehouse, which
+    executors share too. Never a machine-local temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="spanveil-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
