@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bpe, packing, simhash
+from spanveil.llm import bpe, line_dedup, packing, simhash
 from spanveil.sources.workspace import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,41 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = f"""
+WITH words AS (
+  SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+        FROM documents)),
+firsts AS (
+  SELECT w, len(w) AS n, min((doc_id, line_no)) AS place FROM words WHERE len(w) > 0 GROUP BY w),
+cuts AS (
+  SELECT place, n, i, list_concat(w[1:i - 1], w[i + 1:]) AS cut
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= {line_dedup.MIN_WORDS})),
+same AS (SELECT n, i, cut, min(place) AS low FROM cuts GROUP BY ALL HAVING count(*) > 1),
+near AS (
+  SELECT c.place FROM cuts c JOIN same s ON c.n = s.n AND c.i = s.i AND c.cut = s.cut WHERE s.low < c.place
+  UNION SELECT greatest(c.place, f.place) FROM cuts c JOIN firsts f ON f.w = c.cut WHERE f.n >= {line_dedup.MIN_WORDS}),
+gone AS (
+  SELECT doc_id, line_no FROM words JOIN firsts USING (w)
+  WHERE (doc_id, line_no) > place OR place IN (SELECT place FROM near)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+        FROM documents)
+  WHERE (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM gone)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+  CAST(len(string_split(text, chr(10))) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept k USING (doc_id)
+"""
+
+
 @_query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
