@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bpe, line_dedup, near_vectors, packing, pii, simhash, topk, toxicity
-from spanveil.sources.workspace import table
+from spanveil.llm import bpe, line_dedup, near_vectors, packing, pii, simhash, token_counts, topk, toxicity
+from spanveil.sources.workspace import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,38 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load every document; recount those not in English with the multilingual tokenizer; take exact copies out.
+
+    The second batch is sent twice, as after a broken connection, and counts once.
+    """
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.TokenRollup(spark, fresh_path(spark, "token-rollup"))
+
+    def counted(some: DataFrame, version: str) -> DataFrame:
+        path = public_tokenizers.path(f"{version}.tiktoken")
+        return token_counts.count_tokens(some, path, public_tokenizers.PATTERN, version)
+
+    loaded = counted(docs, "byte_bpe_50k").withColumn("action", F.lit(token_counts.INSERT))
+    rollup.commit("load", loaded)
+    foreign = docs.where("lang <> 'en'")
+    moved = counted(foreign, "byte_bpe_multi_50k").withColumn("action", F.lit(token_counts.INSERT))
+    left = foreign.select("doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("version"), F.lit(0).alias("n_tokens"), F.lit(token_counts.DELETE).alias("action"))
+    for _ in range(2):
+        rollup.commit("recount", moved.unionByName(left))
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = hashed.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = hashed.join(first, "digest").where("doc_id > first").select("doc_id")
+    versions = F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("byte_bpe_multi_50k")))
+    empty = F.lit(None).cast("string")
+    gone = copies.select("doc_id", versions.alias("version"), empty.alias("source"), empty.alias("lang"), F.lit(0).alias("n_tokens"), F.lit(token_counts.DELETE).alias("action"))
+    rollup.commit("copies", gone)
+    return token_counts.rollup_totals(rollup.totals())
+
+
 @_query
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
