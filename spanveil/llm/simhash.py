@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 # Fingerprints aimed at in one node, and the most in one block of a node.
-NODE_SIZE = 2048
-BLOCK_SIZE = 4096
+NODE_SIZE = 8192
+BLOCK_SIZE = 16_384
 # Entries of a group on each level, and queries searched together.
 FAN = 8
 QUERIES = 256
@@ -139,54 +140,40 @@ def block_links(left: np.ndarray, right: np.ndarray, bits: int) -> list[tuple[in
 
 
 def near_links(codes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) that join all of ``codes`` (distinct fp, id) at most ``bits`` bits apart, transitively."""
+    """Links (a, b) that join all of ``codes`` (distinct fp) at most ``bits`` bits apart, transitively."""
     spark = codes.sparkSession
     total = codes.count()
     lead = min(24, max(0, round(math.log2(max(1, total) / NODE_SIZE))))
-    keyed = codes.withColumn("node", F.shiftrightunsigned("fp", 64 - lead) if lead else F.lit(0).cast("long"))
+    keyed = codes.select("fp").withColumn("node", F.shiftrightunsigned("fp", 64 - lead) if lead else F.lit(0).cast("long"))
     sizes = keyed.groupBy("node").agg(F.ceil(F.count("*") / BLOCK_SIZE).alias("blocks"))
     blocks = staged(
         keyed.join(sizes, "node")
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-        .groupBy("node", "block").agg(F.collect_list(F.struct("fp", "id")).alias("members")),
+        .groupBy("node", "block").agg(F.collect_list("fp").alias("members")),
         "gray-blocks",
     )
     # Every node meets the nodes whose leading bits differ in at most ``bits`` places, each two once.
-    masks = [m for m in range(1 << lead) if m.bit_count() <= bits] if lead <= 12 else None
-    if masks is None:
-        masks = [sum(1 << i for i in c) for k in range(bits + 1) for c in _choices(lead, k)]
-    flips = F.array(*[F.lit(m).cast("long") for m in masks])
+    masks = [sum(1 << i for i in flip) for k in range(bits + 1) for flip in combinations(range(lead), k)]
     left = (
         blocks.select("node", "block", F.col("members").alias("left"))
-        .withColumn("flip", F.explode(flips))
+        .withColumn("flip", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
         .withColumn("other", F.col("node").bitwiseXOR(F.col("flip")))
         .where("other >= node")
     )
     right = blocks.select(F.col("node").alias("other"), F.col("block").alias("other_block"), F.col("members").alias("right"))
-    met = left.join(right, "other").where("other > node or other_block >= block").select("left", "right")
-    # Block pairs are few and heavy: dealt out evenly.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = left.join(right.hint("shuffle_merge"), "other").where("other > node or other_block >= block").select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pair in range(batch.num_rows):
-                (lf, li), (rf, ri) = (_members(batch.column(c)[pair].values) for c in ("left", "right"))
-                ids = np.r_[li, ri]
-                stars = [(ids[a], ids[b]) for a, b in block_links(lf, rf, bits) if ids[a] != ids[b]]
+                left, right = (
+                    batch.column(c)[pair].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("left", "right")
+                )
+                both = np.concatenate([left, right]).view(np.int64)
+                stars = [(both[a], both[b]) for a, b in block_links(left, right, bits) if both[a] != both[b]]
                 yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return met.repartition(parts).mapInArrow(run, "a long, b long")
-
-
-def _choices(n: int, k: int):
-    from itertools import combinations
-
-    return combinations(range(n), k)
-
-
-def _members(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    fp = values.field("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-    return fp.view(np.uint64), values.field("id").to_numpy(zero_copy_only=False)
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +184,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = MAX_BITS,
     """
     rows = staged(fingerprints(docs, words, id_col, text_col), "fingerprints")
     codes = staged(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
-    labels = connected_components(near_links(codes, bits))
-    classes = codes.join(labels, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    roots = codes.join(
+        connected_components(near_links(codes, bits)).select(F.col("id").alias("fp"), F.col("component").alias("root")), "fp", "left"
+    ).withColumn("root", F.coalesce("root", "fp"))
+    lowest = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    classes = roots.join(lowest, "root").select("fp", "component_id")
     return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
