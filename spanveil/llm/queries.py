@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bpe, line_dedup, near_vectors, packing, pii, simhash, token_counts, topk, toxicity
+from spanveil.llm import bpe, line_dedup, near_vectors, packing, pii, simhash, suffix_dedup, token_counts, topk, toxicity
 from spanveil.sources.workspace import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,12 @@ FROM documents LEFT JOIN kept k USING (doc_id)
 """
 
 
+@_query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
