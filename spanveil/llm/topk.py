@@ -78,7 +78,7 @@ def _blocks(df: DataFrame, size: int, name: str, *columns: str) -> DataFrame:
 def _meet(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every query block with every candidate block."""
     names = [r["qb"] for r in queries.select("qb").collect()]  # block numbers
-    dealt = blocks.select("cb_items", F.explode(F.array(*[F.lit(n) for n in names])).alias("qb"))
+    dealt = blocks.select("cb_items", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<int>")).alias("qb"))
     return dealt.join(queries.hint("shuffle_merge"), "qb").select("qb_items", "cb_items")
 
 

@@ -176,8 +176,9 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def fit_with_cut(texts: list[str | None], grades: list[int]) -> OrdinalModel:
     """Fit on most texts, and set ``reject_at`` on the others.
 
-    The cut lies midway (in log odds) between the highest of all but a thousandth of the clean texts and the lowest of
-    all but a hundredth of the toxic ones; where these cross, it is the cut with the fewest errors.
+    The cut lies midway (in log odds) between the highest of all but a thousandth of the clean texts, or a text
+    without any feature if that is higher, and the lowest of all but a hundredth of the toxic ones; where these cross,
+    it is the cut with the fewest errors.
     """
     held = [i for i in range(len(texts)) if i % HOLD_OUT == 0]
     rest = [i for i in range(len(texts)) if i % HOLD_OUT]
@@ -186,7 +187,7 @@ def fit_with_cut(texts: list[str | None], grades: list[int]) -> OrdinalModel:
     model = fit_ordinal([texts[i] for i in rest], [grades[i] for i in rest])
     scores = np.array([sum(map(model.word_score, words_of(texts[i]))) for i in held]) - model.thresholds[0]
     bad = np.array([grades[i] > 0 for i in held])
-    clean, toxic = np.quantile(scores[~bad], 0.999), np.quantile(scores[bad], 0.01)
+    clean, toxic = max(np.quantile(scores[~bad], 0.999), -model.thresholds[0]), np.quantile(scores[bad], 0.01)
     if clean < toxic:
         cut = (clean + toxic) / 2
     else:
