@@ -193,7 +193,8 @@ def fit_with_cut(texts: list[str | None], grades: list[int]) -> OrdinalModel:
     else:
         errors = [(int(((scores >= c) != bad).sum()), abs(c)) for c in scores]
         cut = scores[int(min(range(len(errors)), key=errors.__getitem__))]
-    model.reject_at = float(_sigmoid(np.array(cut)))
+    # Without any feature a text says nothing, however common toxic ones are among the labelled.
+    model.reject_at = float(_sigmoid(np.array(max(cut, 1e-3 - model.thresholds[0]))))
     return model
 
 
