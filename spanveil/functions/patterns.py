@@ -22,7 +22,7 @@ PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[{_DOMAIN}]+\.[{_TLD}]{{2,}}",
     "phone": r"(?U)(?=[0-9+(])(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}",
     "ssn": r"(?U)(?=\d)\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b",
-    "credit_card": r"(?U)(?=[0-9]{4})\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}"
+    "credit_card": r"(?U)(?=\d{4})\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}"
     r"|6(?:011|5[0-9]{2})[0-9]{12}|(?:2131|1800|35\d{3})\d{11})\b",
     "ip_address": r"(?U)(?=[0-9])\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",

@@ -108,6 +108,14 @@ def spans_sql(text: str, types, resolve: bool = True) -> str:
     return let("txt", f"coalesce({text}, '')", body)
 
 
+def free_name(taken, base: str) -> str:
+    """``base``, lengthened until no column of ``taken`` has the name (in any case of letters)."""
+    lowered = {c.lower() for c in taken}
+    while base.lower() in lowered:
+        base += "_"
+    return base
+
+
 def quoted(column: str) -> str:
     """A column name as SQL text."""
     return "`" + column.replace("`", "``") + "`"

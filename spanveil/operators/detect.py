@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.catalog import parse_types
-from ..functions.spans import cells_spans_sql, find_spans, quoted
+from ..functions.spans import cells_spans_sql, find_spans, free_name, quoted
 
 
 # Up to this many columns, each gets an expression of its own.
@@ -45,8 +45,9 @@ def detect(df: DataFrame, columns=None, types=None, suffix: str = "_spans") -> D
     names = text_columns(df, columns)
     if len(names) <= SEPARATE_COLUMNS:
         return df.withColumns({f"{c}{suffix}": find_spans(c, types) for c in names})
-    every = df.withColumn("_cells", F.expr(cells_spans_sql(names, parse_types(types))))
-    spans = [F.col("_cells")[i].alias(f"{c}{suffix}") for i, c in enumerate(names)]
+    cells = free_name(df.columns, "_cells")
+    every = df.withColumn(cells, F.expr(cells_spans_sql(names, parse_types(types))))
+    spans = [F.col(cells)[i].alias(f"{c}{suffix}") for i, c in enumerate(names)]
     return every.select(*[F.col(quoted(c)) for c in df.columns], *spans)
 
 
@@ -74,5 +75,6 @@ def findings(df: DataFrame, columns=None, types=None, keys=()) -> DataFrame:
     names = text_columns(df, columns)
     if len(names) == 1:
         return explode_spans(df, {names[0]: find_spans(names[0], types)}, keys)
-    every = df.withColumn("_cells", F.expr(cells_spans_sql(names, parse_types(types))))
-    return explode_spans(every, {c: F.col("_cells")[i] for i, c in enumerate(names)}, keys)
+    cells = free_name(df.columns, "_cells")
+    every = df.withColumn(cells, F.expr(cells_spans_sql(names, parse_types(types))))
+    return explode_spans(every, {c: F.col(cells)[i] for i, c in enumerate(names)}, keys)

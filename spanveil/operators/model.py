@@ -13,13 +13,14 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.catalog import MODEL_LABELS, display_name, parse_types
 from ..functions.exprs import let, running_scan, sql_str
-from ..functions.spans import SPANS_TYPE, merge_spans_sql, quoted
+from ..functions.spans import SPANS_TYPE, free_name, merge_spans_sql, quoted
 from .detect import detect, text_columns
 
 ENTITY_TYPE = "struct<entity:string,start:int,end:int,confidence:double>"
@@ -36,62 +37,85 @@ SEPARATOR = " | "
 Predictor = Callable[[list], list]
 
 
+# Predictors of this Python worker by digest of their pickled factory: each is made once, whatever the number of tasks.
+_MADE: dict[str, Predictor] = {}
+
+
+def _predictor(digest: str, factory: Callable[[], Predictor]) -> Predictor:
+    if digest not in _MADE:
+        _MADE[digest] = factory()
+    return _MADE[digest]
+
+
+def _answers(factory: Callable[[], Predictor], cache_texts: int):
+    """A function from texts (with nulls and repeats) to their entities and errors, in order."""
+    digest = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+    recent: OrderedDict[bytes, list] = OrderedDict()  # by digest of the text: texts may be long
+
+    def answer(texts: list) -> tuple[list, list]:
+        from spanveil.operators import model as worker  # the module itself, not a pickled copy of its globals
+
+        known: dict[str, list] = {}
+        errors: dict[str, str] = {}
+        wanted = [t for t in dict.fromkeys(texts) if t is not None and t.strip() and len(t.encode()) >= MIN_BYTES]
+        keys = {t: hashlib.sha256(t.encode()).digest() for t in wanted}
+        for t in wanted:
+            if keys[t] in recent:
+                recent.move_to_end(keys[t])
+                known[t] = recent[keys[t]]
+        todo = [t for t in wanted if t not in known]
+        for at in range(0, len(todo), BATCH_TEXTS):
+            part = todo[at : at + BATCH_TEXTS]
+            try:
+                answers = dict(zip(part, worker._predictor(digest, factory)(part), strict=True))
+            except Exception as exc:  # the job goes on without this batch's entities, and says so
+                errors.update(dict.fromkeys(part, str(exc) or type(exc).__name__))
+                continue
+            known.update(answers)
+            recent.update((keys[t], found) for t, found in answers.items())
+        while len(recent) > cache_texts:
+            recent.popitem(last=False)
+        fields = ("entity", "start", "end", "confidence")
+        return [[dict(zip(fields, e, strict=True)) for e in known.get(t, ())] for t in texts], [errors.get(t) for t in texts]
+
+    return answer
+
+
 def predict(column: str, factory: Callable[[], Predictor], cache_texts: int = 4096) -> Column:
     """Model entities of a text column: ``STRUCT<entities, error>``.
 
-    ``factory`` is called once per Python worker process task. Texts below the
+    ``factory`` is called once per Python worker. Texts below the
     length gate and blank texts never reach the model. A failing batch gives no
     entities and its message in ``error``; other batches go on. Repeated texts
     within a task are answered from a bounded memory of recent ones.
     """
 
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model, broken = None, None
-        recent: OrderedDict[bytes, list] = OrderedDict()  # by digest: texts may be long
-        for texts in batches:
-            known: dict[str, list] = {}
-            errors: dict[str, str] = {}
-            wanted = [t for t in texts.dropna().unique() if t.strip() and len(t.encode()) >= MIN_BYTES]
-            keys = {t: hashlib.sha256(t.encode()).digest() for t in wanted}
-            for t in wanted:
-                if keys[t] in recent:
-                    recent.move_to_end(keys[t])
-                    known[t] = recent[keys[t]]
-            todo = [t for t in wanted if t not in known]
-            for at in range(0, len(todo), BATCH_TEXTS):
-                part = todo[at : at + BATCH_TEXTS]
-                try:
-                    if model is None and broken is None:
-                        model = factory()
-                    if broken is not None:
-                        raise RuntimeError(broken)
-                    answers = dict(zip(part, model(part), strict=True))
-                except Exception as exc:  # the job goes on without this batch's entities
-                    if model is None:
-                        broken = str(exc)
-                    errors.update(dict.fromkeys(part, str(exc)))
-                    continue
-                known.update(answers)
-                recent.update((keys[t], found) for t, found in answers.items())
-            while len(recent) > cache_texts:
-                recent.popitem(last=False)
-            yield pd.DataFrame(
-                {
-                    "entities": [
-                        [dict(zip(("entity", "start", "end", "confidence"), e, strict=True)) for e in known.get(t, ())]
-                        for t in texts
-                    ],
-                    "error": [errors.get(t) for t in texts],
-                }
-            )
+    answers = _answers(factory, cache_texts)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from answer(batches)
+        for texts in batches:
+            entities, errors = answers([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"entities": entities, "error": errors})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, PREDICTION_TYPE)(F.col(quoted(column)))
 
 
+def predict_cells(columns: list[str], factory: Callable[[], Predictor], cache_texts: int = 4096) -> Column:
+    """:func:`predict` for each of several text columns, as one array in their order and one Python stage."""
+    answers = _answers(factory, cache_texts)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            lists = [[t if isinstance(t, str) else None for t in row] for row in rows]
+            entities, errors = answers([t for row in lists for t in row])
+            found = iter(zip(entities, errors, strict=True))
+            yield pd.Series([[dict(zip(("entities", "error"), next(found), strict=True)) for _ in row] for row in lists])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, f"array<{PREDICTION_TYPE}>")(F.array(*[F.col(quoted(c)) for c in columns]))
+
+
 def predict_distinct(
     df: DataFrame, column: str, factory: Callable[[], Predictor], out: str = "prediction", slots: int = 64
 ) -> DataFrame:
@@ -105,6 +129,9 @@ def predict_distinct(
     """
     key = F.sha2(F.coalesce(F.col(quoted(column)), F.lit("")), 256)
     slot = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in _slot_columns(df)]), F.lit(slots))
+    clash = {"_key", "_slot", out} & set(df.columns)
+    if clash:
+        raise ValueError(f"the columns {sorted(clash)} are there already")
     keyed = df.withColumns({"_key": key, "_slot": slot})
     pairs = keyed.select("_key", "_slot").distinct()
     # distinct() on the text itself hashes map-side; grouping by digest would have to sort.
@@ -230,13 +257,18 @@ def spans_to_cells(spans: str, offsets: str) -> Column:
 
 
 def model_cell_spans(
-    df: DataFrame, factory: Callable[[], Predictor], cells: str = "cells", types=None, out: str = "_model"
+    df: DataFrame, factory: Callable[[], Predictor], cells: str = "cells", types=None, out: str = "_model", error: str | None = None
 ) -> DataFrame:
-    """Model spans per cell, for rows that hold their cells in one array column."""
-    joined = df.withColumns({"_joined": join_cell_array(cells), "_offsets": cell_array_offsets(cells)})
-    joined = joined.withColumn("_p", predict("_joined", factory)).withColumn("_e", F.col("_p.entities"))
-    joined = joined.withColumn("_m", model_spans("_joined", "_e", types))
-    return joined.withColumn(out, spans_to_cells("_m", "_offsets")).select(*[quoted(c) for c in df.columns], out)
+    """Model spans per cell, for rows that hold their cells in one array column.
+
+    ``error`` names a column for the message of a model that failed on the row (null: it didn't).
+    """
+    joined, offsets, answer, entities, spans = (free_name(df.columns, c) for c in ("_joined", "_offsets", "_p", "_e", "_m"))
+    found = df.withColumns({joined: join_cell_array(cells), offsets: cell_array_offsets(cells)})
+    found = found.withColumn(answer, predict(joined, factory)).withColumn(entities, F.col(answer)["entities"])
+    found = found.withColumn(spans, model_spans(joined, entities, types)).withColumn(out, spans_to_cells(spans, offsets))
+    failed = [F.col(answer)["error"].alias(error)] if error else []
+    return found.select(*[quoted(c) for c in df.columns], out, *failed)
 
 
 def detect_with_model(
@@ -247,6 +279,7 @@ def detect_with_model(
     unit: str = "row",
     suffix: str = "_spans",
     distinct: bool = False,
+    error: str | None = None,
 ) -> DataFrame:
     """Pattern and model spans merged, one spans column per scanned column.
 
@@ -254,28 +287,41 @@ def detect_with_model(
     predicts per cell (the form for single-column texts). The model stage is
     left out of the plan when no model type is requested. ``distinct`` predicts
     each distinct text of the whole input once, at the price of two joins.
+    ``error`` names a column for the message of a model that failed on the row
+    (null: it didn't); without it, a row on which the model failed has its pattern spans only.
     """
     names = text_columns(df, columns)
     chosen = parse_types(types)
     originals = df.columns
     out = detect(df, names, chosen, suffix)
     if not any(t in MODEL_LABELS.values() for t in chosen):
-        return out
-
-    def predicted(frame: DataFrame, column: str, name: str) -> DataFrame:
-        if distinct:
-            return predict_distinct(frame, column, factory, name)
-        return frame.withColumn(name, predict(column, factory))
-
-    if unit == "cell":
-        for i, c in enumerate(names):
-            out = predicted(out, c, f"_p{i}").withColumn(f"_e{i}", F.col(f"_p{i}.entities"))
-            out = out.withColumn(f"_m{i}", model_spans(c, f"_e{i}", chosen))
+        return out.withColumn(error, F.lit(None).cast("string")) if error else out
+    taken = [*out.columns, *([error] if error else [])]
+    joined, offsets, answer, entities, spans, cells = (free_name(taken, c) for c in ("_joined", "_offsets", "_p", "_e", "_m", "_cells"))
+    per_column = [(free_name(taken, f"_e{i}"), free_name(taken, f"_m{i}")) for i in range(len(names))]
+
+    if unit == "cell" and not distinct:
+        out = out.withColumn(answer, predict_cells(names, factory))
+        out = out.withColumns({e: F.col(answer)[i]["entities"] for i, (e, _) in enumerate(per_column)})
+        out = out.withColumns({m: model_spans(c, e, chosen) for c, (e, m) in zip(names, per_column, strict=True)})
+        failed = F.element_at(F.filter(F.transform(answer, lambda p: p["error"]), lambda m: m.isNotNull()), 1) if names else F.lit(None)
+        failed = F.when(F.exists(answer, lambda p: p["error"].isNotNull()), failed)
+    elif unit == "cell":
+        messages = []
+        for i, (c, (e, m)) in enumerate(zip(names, per_column, strict=True)):
+            one = free_name(taken, f"_p{i}")
+            out = predict_distinct(out, c, factory, one).withColumn(e, F.col(one)["entities"])
+            out = out.withColumn(m, model_spans(c, e, chosen))
+            messages.append(F.col(one)["error"])
+        failed = F.coalesce(*messages)
     else:
-        out = out.withColumn("_joined", join_cells(names)).withColumn("_offsets", cell_offsets(names))
-        out = predicted(out, "_joined", "_p").withColumn("_e", F.col("_p.entities"))
-        out = out.withColumn("_m", model_spans("_joined", "_e", chosen))
-        out = out.withColumn("_cells", spans_to_cells("_m", "_offsets"))
-        out = out.withColumns({f"_m{i}": F.col("_cells")[i] for i in range(len(names))})
-    merged = {f"{c}{suffix}": merge_spans(f"{c}{suffix}", f"_m{i}") for i, c in enumerate(names)}
-    return out.withColumns(merged).select(*[quoted(c) for c in originals], *[quoted(f"{c}{suffix}") for c in names])
+        out = out.withColumn(joined, join_cells(names)).withColumn(offsets, cell_offsets(names))
+        out = predict_distinct(out, joined, factory, answer) if distinct else out.withColumn(answer, predict(joined, factory))
+        out = out.withColumn(entities, F.col(answer)["entities"]).withColumn(spans, model_spans(joined, entities, chosen))
+        out = out.withColumn(cells, spans_to_cells(spans, offsets))
+        out = out.withColumns({m: F.col(cells)[i] for i, (_, m) in enumerate(per_column)})
+        failed = F.col(answer)["error"]
+    merged = {f"{c}{suffix}": merge_spans(f"{c}{suffix}", m) for c, (_, m) in zip(names, per_column, strict=True)}
+    if error:
+        merged[error] = failed.cast("string")
+    return out.withColumns(merged).select(*[quoted(c) for c in originals], *[quoted(f"{c}{suffix}") for c in names], *([error] if error else []))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import PATTERN_TYPES, parse_types
 from ..functions.exprs import let
-from ..functions.spans import cells_spans_sql, merge_spans_sql, quoted, spans_sql
+from ..functions.spans import cells_spans_sql, free_name, merge_spans_sql, quoted, spans_sql
 from ..functions.splice import scrub_sql, scrub_text, splice, splice_sql, swap_sql
 from .detect import SEPARATE_COLUMNS, text_columns
 
@@ -26,10 +26,11 @@ def scrub(
     cells = ", ".join(quoted(c) for c in names)
     key = quoted(row_key) if row_key else None
     each = scrub_sql("cell", parse_types(types), method, salt, key)
-    packed = df.withColumn("_scrubbed", F.expr(f"transform(array({cells}), cell -> {each})"))
+    done = free_name(df.columns, "_scrubbed")
+    packed = df.withColumn(done, F.expr(f"transform(array({cells}), cell -> {each})"))
     at = {c: i for i, c in enumerate(names)}
     return packed.select(
-        *[F.col("_scrubbed")[at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns]
+        *[F.col(done)[at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns]
     )
 
 
@@ -53,11 +54,12 @@ def scrub_marked(
     key = quoted(row_key) if row_key else None
     cells = ", ".join(quoted(c) for c in names)
     found = cells_spans_sql(names, chosen)
-    packed = df.withColumn("_scrubbed", F.expr(_marked_sql(f"array({cells})", found, chosen, method, salt, key)))
+    done = free_name(df.columns, "_scrubbed")
+    packed = df.withColumn(done, F.expr(_marked_sql(f"array({cells})", found, chosen, method, salt, key)))
     at = {c: i for i, c in enumerate(names)}
     return packed.select(
-        *[F.col("_scrubbed")["texts"][at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns],
-        F.col("_scrubbed")["mark"].alias(mark),
+        *[F.col(done)["texts"][at[c]].alias(c) if c in at else F.col(quoted(c)) for c in df.columns],
+        F.col(done)["mark"].alias(mark),
     )
 
 
@@ -91,9 +93,10 @@ def scrub_cells(
         found = merge_spans_sql(found, f"{quoted(model_spans)}[n]")
     listed = f"transform({quoted(cells)}, (cell, n) -> {found})"
     whole = _marked_sql(quoted(cells), listed, chosen, method, salt, None, model=model_spans is not None)
-    packed = df.withColumn("_scrubbed", F.expr(whole))
-    kept = [F.col("_scrubbed")["texts"].alias(c) if c == cells else F.col(quoted(c)) for c in df.columns]
-    return packed.select(*kept, F.col("_scrubbed")["mark"].alias(mark))
+    done = free_name(df.columns, "_scrubbed")
+    packed = df.withColumn(done, F.expr(whole))
+    kept = [F.col(done)["texts"].alias(c) if c == cells else F.col(quoted(c)) for c in df.columns]
+    return packed.select(*kept, F.col(done)["mark"].alias(mark))
 
 
 def mark_sql(span_lists: str, n_types: int) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import TypeNotAllowed, parse_types
@@ -14,14 +14,14 @@ from ..functions.spans import quoted
 from ..operators.limits import UNLIMITED, Quota, cell_error, row_error, validate_files
 from ..operators.model import detect_with_model, model_cell_spans
 from ..operators.scrub import scrub_cells, scrub_detected, scrub_marked, scrub_names
-from ..operators.stats import totals_of_marks, types_of_marks
+from ..operators.stats import totals_of_marks, type_counts, types_of_marks
 from ..sources.files import AT, FILE, RAGGED, csv_header, file_name, read_csv_checked, read_lines, read_texts, split_by_kind
-from ..sources.sinks import csv_array_record, csv_line, csv_record, preview_records, write_csv, write_lines, write_texts
+from ..sources.sinks import csv_array_record, csv_line, csv_record, preview_records, write_csv, write_lines
 from ..sources.workbook import read_workbooks
 from ..sources.workspace import small_side, staged
 
-# Fixed value: texts above this many bytes are handled line by line.
-LINE_MODE_BYTES = 10 * 1024 * 1024
+# Column of a row's model failure on its way to the report.
+MODEL_ERROR = "_model_error"
 
 
 @dataclass
@@ -36,17 +36,34 @@ class FileScrub:
     type_report: DataFrame
 
     def save_successful(self, path: str) -> None:
-        """Write the files that succeeded, one folder per output name."""
+        """Write the files that succeeded, one folder per output file; its parts, by name, are in file order.
+
+        ``of`` tells files of equal names in different folders apart.
+        """
         good = small_side(self.report.where("success").select(FILE))
+        kept = lambda rows: rows.join(good, FILE, "left_semi").withColumn("of", _folder_tag(FILE))
         for i, rows in enumerate(self.tables):
-            write_csv(rows.join(good, FILE, "left_semi").drop(FILE, "pii"), f"{path}/tables{i}", partition_by=["out_file"])
+            ordered = _in_order(kept(rows), AT).drop(FILE, AT, "pii")
+            write_csv(ordered, f"{path}/tables{i}", partition_by=["of", "out_file"])
         if self.workbooks is not None:
-            rows = self.workbooks.join(good, FILE, "left_semi").withColumn("line", csv_array_record("cells"))
-            write_lines(rows, f"{path}/workbooks", partition_by=["out_file"])
+            rows = _in_order(kept(self.workbooks), "row_idx").withColumn("line", csv_array_record("cells"))
+            write_lines(rows, f"{path}/workbooks", partition_by=["of", "out_file"])
         if self.texts is not None:
-            write_texts(self.texts.join(good, FILE, "left_semi"), f"{path}/texts")
+            write_lines(kept(self.texts), f"{path}/texts", "text", partition_by=["of", "out_file"])
         if self.lines is not None:
-            write_lines(self.lines.join(good, FILE, "left_semi"), f"{path}/lines", partition_by=["out_file"])
+            write_lines(_in_order(kept(self.lines), AT), f"{path}/lines", partition_by=["of", "out_file"])
+
+
+def _folder_tag(file: str) -> Column:
+    return F.substring(F.sha2(F.regexp_replace(file, "[^/]*$", ""), 256), 1, 8)
+
+
+def _in_order(rows: DataFrame, at: str) -> DataFrame:
+    """Rows dealt out by ranges of file and position, and sorted, so that parts follow one another.
+
+    No number of parts is given, so that adaptive execution joins small neighbours.
+    """
+    return rows.repartitionByRange("of", "out_file", at).sortWithinPartitions("of", "out_file", at)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -60,9 +77,9 @@ def scrub_files(
     method: str = "mask",
     salt: str = "",
     quota: Quota = UNLIMITED,
-    text_mode: str = "auto",
-    line_mode_bytes: int = LINE_MODE_BYTES,
+    text_mode: str = "document",
     factory=None,
+    model_errors: str = "fail",
     multiline: bool = True,
     check_cells: bool = False,
     one_header: bool = False,
@@ -72,18 +89,23 @@ def scrub_files(
 
     Files are read by kind, one scan per distinct CSV header; unknown kinds
     are text. Headers are read one file at a time unless ``one_header`` says that
-    all CSV files share one. ``text_mode`` is ``document``, ``line`` or ``auto`` (line by line
-    above ``line_mode_bytes``, decided per file by its size). A file over a quota
-    or with ragged records fails alone: its report row has the error, and
+    all CSV files share one. ``text_mode`` says whether text and JSON files are scrubbed whole (``document``) or line
+    by line (``line``); it holds for every file of the run, whatever its size. A model that fails on a row of a file fails
+    the file; with ``model_errors="warn"`` the file counts as successful and its ``warning`` says so. A file over a quota,
+    of a kind that cannot be read (``xls``) or with ragged records fails alone: its report row has the error, and
     ``save_successful`` leaves it out. Scrubbed rows are written once to the shared
     folder, from which report and output are made; ``stage=False`` keeps
     everything lazy and scrubs again for each of them.
     """
-    if text_mode not in ("document", "line", "auto"):
-        raise ValueError("text_mode must be document, line or auto")
+    if text_mode not in ("document", "line"):
+        raise ValueError("text_mode must be document or line")
+    if model_errors not in ("fail", "warn"):
+        raise ValueError("model_errors must be fail or warn")
     listing = spark.read.format("binaryFile").load(paths)
     files = listing.select(file_name(F.col("path")).alias(FILE), F.col("length").alias("size_bytes"))
     status = validate_files(files, quota)
+    unreadable = F.when(file_kind(FILE) == "xls", F.lit("Legacy XLS workbooks cannot be read; save the file as XLSX"))
+    status = status.withColumn("error", F.coalesce("error", unreadable)).withColumn("success", F.col("error").isNull())
     try:
         chosen = parse_types(types, quota.allowed_types)
     except TypeNotAllowed as exc:
@@ -92,10 +114,10 @@ def scrub_files(
 
     def scrubbed(df: DataFrame, columns: list[str]) -> DataFrame:
         if factory is None:
-            done = scrub_marked(df, columns, chosen, method, salt)
+            done = scrub_marked(df, columns, chosen, method, salt).withColumn(MODEL_ERROR, F.lit(None).cast("string"))
         else:
             unit = "cell" if len(columns) == 1 else "row"
-            found = detect_with_model(df, factory, columns, chosen, unit)
+            found = detect_with_model(df, factory, columns, chosen, unit, error=MODEL_ERROR)
             done = scrub_detected(found, columns, chosen, method, salt)
         done = done.withColumn("out_file", output_name(FILE))
         return staged(done, "scrubbed") if stage else done
@@ -106,14 +128,17 @@ def scrub_files(
     tables, totals, type_parts, books = [], [], [], None
     no_preview = F.lit(None).cast("string")
 
-    def account(df: DataFrame, ragged, n_cells, shown=None, header_found: int = 0, previews=None) -> None:
-        extra = [ragged.alias("n_ragged"), F.max(no_preview if shown is None else shown).alias("preview")]
+    def account(df: DataFrame, ragged, n_cells, shown=None, header_found: int = 0, previews=None, head_types=()) -> None:
+        extra = [ragged.alias("n_ragged"), F.min(MODEL_ERROR).alias("model_error"), F.max(no_preview if shown is None else shown).alias("preview")]
         per_file = totals_of_marks(df, [FILE], extra=extra)
         if previews is not None:
             per_file = per_file.drop("preview").join(previews, FILE, "left")
         per_file = per_file.withColumn("pii_found", F.col("pii_found") + header_found)
         totals.append(per_file.withColumn("n_cells", F.col("rows_processed") * n_cells))
         type_parts.append(types_of_marks(df, chosen, [FILE]))
+        if head_types:
+            pairs = F.array(*[F.struct(F.lit(t).alias("pii_type"), F.lit(n).cast("bigint").alias("n")) for t, n in head_types])
+            type_parts.append(df.select(FILE).distinct().select(FILE, F.inline(pairs)))
 
     by_header: dict[tuple, list[str]] = {}
     csv_paths = groups.get("csv", [])
@@ -128,9 +153,11 @@ def scrub_files(
         named, header_found = scrub_names(done.select(*[quoted(c) for c in header]), chosen, method, salt)
         head = csv_line(named.columns)
         shown = preview_records(done, csv_record(header), AT, FILE, head)
-        account(done, F.count_if(RAGGED).cast("int"), len(header), header_found=header_found, previews=shown)
+        names = spark.createDataFrame([(n,) for n in header], "name string")
+        head_types = [tuple(r) for r in type_counts(names, ["name"], chosen).collect()] if header_found else ()
+        account(done, F.count_if(RAGGED).cast("int"), len(header), header_found=header_found, previews=shown, head_types=head_types)
         renamed = [F.col(quoted(a)).alias(b) for a, b in zip(header, named.columns, strict=True)]
-        tables.append(done.select(FILE, "out_file", *renamed, "pii"))
+        tables.append(done.select(FILE, AT, "out_file", *renamed, "pii"))
 
     if groups.get("xlsx"):
         book = read_workbooks(spark, groups["xlsx"])
@@ -141,7 +168,9 @@ def scrub_files(
         rows = book.where("error is null").drop("error")
         found = None
         if factory is not None:
-            rows, found = model_cell_spans(rows, factory, "cells", chosen), "_model"
+            rows, found = model_cell_spans(rows, factory, "cells", chosen, error=MODEL_ERROR), "_model"
+        else:
+            rows = rows.withColumn(MODEL_ERROR, F.lit(None).cast("string"))
         done = scrub_cells(rows, "cells", chosen, method, salt, found).withColumn("out_file", output_name(FILE))
         books = staged(done, "scrubbed") if stage else done
         head = books.where("row_idx = 0").select(FILE, F.col("pii.found").alias("head_found"))
@@ -152,19 +181,16 @@ def scrub_files(
         total = F.col("pii_found") + F.coalesce("head_found", F.lit(0))
         counted = {"pii_found": total, "n_cells": F.col("rows_processed") * F.col("width")}
         totals[-1] = with_head.withColumns(counted).drop("head_found", "width")
+        type_parts.append(types_of_marks(books.where("row_idx = 0"), chosen, [FILE]))
 
     text_paths = [p for kind in ("txt", "json") for p in groups.get(kind, [])]
     texts = lines = None
-    if text_paths and text_mode != "line":
+    if text_paths and text_mode == "document":
         whole = read_texts(spark, text_paths, quota.max_file_bytes)
-        if text_mode == "auto":
-            whole = whole.where((F.col("size_bytes") <= line_mode_bytes) | (file_kind(FILE) == "json"))
         texts = scrubbed(whole, ["text"])
         account(texts, F.max(F.lit(0)), 1, shown=preview("text"))
-    if text_paths and text_mode != "document":
+    if text_paths and text_mode == "line":
         split = read_lines(spark, text_paths, quota.max_file_bytes)
-        if text_mode == "auto":
-            split = split.where((F.col("size_bytes") > line_mode_bytes) & (file_kind(FILE) != "json"))
         lines = scrubbed(split, ["line"])
         account(lines, F.max(F.lit(0)), 1, previews=preview_records(lines, F.col("line"), AT, FILE))
 
@@ -177,6 +203,10 @@ def scrub_files(
         F.when(F.col("n_ragged") > 0, F.format_string("CSV error: %d records of unequal length", "n_ragged")),
         row_error(F.col("rows_processed"), quota),
     ]
+    warning = F.format_string("The model failed: %s", "model_error")
+    warning = F.when(F.col("model_error").isNotNull(), warning)
+    if model_errors == "fail":
+        checks.append(warning)
     if check_cells:
         checks.append(cell_error(F.col("n_cells"), quota))
     error = F.coalesce(*checks)
@@ -187,10 +217,13 @@ def scrub_files(
         file_kind(FILE).alias("file_type"),
         error.isNull().alias("success"),
         error.alias("error"),
+        warning.alias("warning"),
         F.when(error.isNull(), F.col("preview")).alias("preview"),
         *[F.when(error.isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c) for c in counts],
     )
-    return FileScrub(tables, books, texts, lines, report, _union(type_parts))
+    good = report.where("success").select(FILE)
+    by_type = _union(type_parts).join(good, FILE, "left_semi").groupBy(FILE, "pii_type").agg(F.sum("n").alias("n"))
+    return FileScrub(tables, books, texts, lines, report, by_type)
 
 
 def _nothing(status: DataFrame) -> FileScrub:
@@ -201,6 +234,7 @@ def _nothing(status: DataFrame) -> FileScrub:
         file_kind(FILE).alias("file_type"),
         "success",
         "error",
+        F.lit(None).cast("string").alias("warning"),
         F.lit(None).cast("string").alias("preview"),
         *[v.alias(k) for k, v in zero.items()],
     )

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workspace import spread, table
+from ..sources.workspace import table
 from .oracle import PEOPLE_COLUMNS, STUB
 
 
@@ -24,7 +24,7 @@ def people(spark: SparkSession, root: str) -> DataFrame:
     def padded(expr: str, width: int) -> str:
         return f"lpad(cast({expr} as string), {width}, '0')"
 
-    return spread(table(spark, root, "customer")).selectExpr(
+    return table(spark, root, "customer").selectExpr(
         "c_custkey as id",
         f"concat('user', {key}, '@mail', cast(c_custkey % 9 as string), '.example.com') as email",
         f"concat('(', {padded('200 + c_custkey % 700', 3)}, ') 555-', {padded('c_custkey % 10000', 4)}) as phone",
@@ -42,7 +42,7 @@ def people(spark: SparkSession, root: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    return spread(table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text", "source"))
+    return table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text", "source")
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -50,7 +50,7 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
     persons = people(spark, root).select(
         F.concat(F.lit("c"), "id").alias("id"), F.concat_ws(" | ", *PEOPLE_COLUMNS).alias("text")
     )
-    pages = spread(table(spark, root, "pages")).select(
+    pages = table(spark, root, "pages").select(
         F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text")
     )
     docs = documents(spark, root).select(F.concat(F.lit("d"), "id").alias("id"), "text")

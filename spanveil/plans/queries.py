@@ -48,7 +48,7 @@ from ..sources.files import (
 )
 from ..sources.sinks import failed, successful, write_csv, write_lines, write_texts
 from ..sources.workbook import parse_workbooks
-from ..sources.workspace import fresh_path, small_side, spread, table
+from ..sources.workspace import fresh_path, small_side, table
 from ..streaming.progress import observe_batch
 from ..streaming.scrub import running_type_counts, scrub_stream, stream_lines, stream_table, write_stream
 from . import oracle as o
@@ -146,7 +146,7 @@ def column_selection(spark, root):
     orders = table(spark, root, "orders").select(
         "o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority"
     )
-    texts = as_text(spread(orders)).withColumn("key", F.col("o_orderkey"))
+    texts = as_text(orders).withColumn("key", F.col("o_orderkey"))
     columns = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"]
     return findings(texts, columns, keys=["key"])
 
@@ -705,7 +705,7 @@ def confident_entities(spark, root):
 )
 def length_gate(spark, root):
     """Words the model would see, by the same byte-length gate."""
-    words = spread(table(spark, root, "documents")).select(
+    words = table(spark, root, "documents").select(
         F.col("lang").alias("id"), F.explode(F.split("text", " ", -1)).alias("w")
     )
     long = F.octet_length("w") >= 3
@@ -756,7 +756,7 @@ offs as (
 
 
 def _row_texts(spark, root) -> DataFrame:
-    return spread(table(spark, root, "customer")).selectExpr(
+    return table(spark, root, "customer").selectExpr(
         "c_custkey as id",
         "c_name as a",
         "concat('Dr', substring(lower(c_mktsegment), 1, 3), ' Ann') as b",
@@ -905,7 +905,7 @@ def json_as_text(spark, root):
     path = fresh_path(spark, "json")
     events = table(spark, root, "events").selectExpr(f"{_EVENT_JSON} as line")
     write_lines(events, path)
-    return scrub(spread(read_lines(spark, path).select("line")), ["line"])
+    return scrub(read_lines(spark, path).select("line"), ["line"])
 
 
 @query(
@@ -915,7 +915,7 @@ def json_as_text(spark, root):
 def workbook_rows(spark, root):
     """Rows packed into workbooks and parsed back; the first row of each is its header."""
     rows = table(spark, root, "customer").selectExpr("cast(c_custkey as string) id", "c_name name", "c_mktsegment segment")
-    books = as_workbooks(spread(rows))
+    books = as_workbooks(rows)
     cells = parse_workbooks(books).where("row_idx > 0 and error is null")
     return cells.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(("id", "name", "segment"))])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.naming import KINDS
-from ..functions.spans import quoted
+from ..functions.spans import free_name, quoted
 
 FILE = "file"
 RAGGED = "_ragged"
@@ -43,14 +43,19 @@ def string_schema(names) -> T.StructType:
 def read_csv(spark: SparkSession, paths, header=None, multiline: bool = True, with_file: bool = False) -> DataFrame:
     """All cells as strings, blank cells as the empty string, header from the first record.
 
-    The files of one call share a header; one that differs is an error.
+    The files of one call share a header; one that differs is an error, and so is a record of another width.
     ``multiline=False`` lets Spark split a single large file between tasks and
     is right whenever no quoted cell holds a line break.
     """
     names = header or csv_header(spark, paths)
-    df = spark.read.options(**(_CSV | {"multiLine": multiline})).schema(string_schema(names)).csv(paths)
+    corrupt = free_name(names, "_corrupt_record")
+    options = _CSV | {"multiLine": multiline, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    df = spark.read.options(**options).schema(string_schema([*names, corrupt])).csv(paths)
+    # The width of a record is judged by the columns asked for, so the check has to need them all.
+    every_cell = F.length(F.concat_ws("", *[F.col(quoted(c)) for c in names])) >= 0
+    sound = F.assert_true(F.col(quoted(corrupt)).isNull() & every_cell, F.lit("a CSV record differs in width from the header"))
     extra = [file_name().alias(FILE)] if with_file else []
-    return df.select(*extra, *[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in names])
+    return df.where(sound.isNull()).select(*extra, *[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in names])
 
 
 def read_csv_checked(

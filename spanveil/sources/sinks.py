@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.naming import PREVIEW_CHARS
 from ..functions.spans import quoted
 
-# A record takes at least two characters with its line end, so this many rows fill a preview.
-PREVIEW_ROWS = PREVIEW_CHARS // 2
+# A record takes at least one character with its line end, so this many rows and one more fill a preview.
+PREVIEW_ROWS = PREVIEW_CHARS + 1
+# A file's rows are first picked in so many parts by hash, each up to PART_ROWS, which Spark limits before it
+# shuffles (it does so up to 1000). The first PREVIEW_ROWS rows put about 30 in a part.
+PREVIEW_PARTS, PART_ROWS = 64, 1000
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partition_by=()) -> None:
@@ -45,15 +48,18 @@ def csv_line(cells) -> str:
 def preview_records(rows: DataFrame, record: Column, at: str, file: str = "file", header: str | None = None) -> DataFrame:
     """Preview of files whose rows are spread over tasks: file, preview.
 
-    The first rows of each file are picked by row number, which Spark limits
-    inside every task before it shuffles, so a large file sends a bounded number
-    of cut records. The full length is a sum.
+    The first rows of each file are picked by row number, by parts of the file and then
+    among all its parts. Spark limits the first pick inside every task before it shuffles, so
+    a large file sends a bounded number of cut records. The full length is a sum.
     """
     head = "" if header is None else header + "\n"
     lined = rows.select(file, F.col(at).alias("_at"), record.alias("_record"))
     total = lined.groupBy(file).agg(F.sum(F.length("_record") + 1).alias("_chars"))
     cut = lined.select(file, "_at", F.substring("_record", 1, PREVIEW_CHARS + 1).alias("_record"))
-    first = cut.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("_at")))
+    cut = cut.withColumn("_part", F.pmod(F.xxhash64("_at"), F.lit(PREVIEW_PARTS)))
+    few = cut.withColumn("_n", F.row_number().over(Window.partitionBy(file, "_part").orderBy("_at")))
+    few = few.where(F.col("_n") <= PART_ROWS).drop("_part")
+    first = few.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("_at")))
     first = first.where(F.col("_n") <= PREVIEW_ROWS)
     listed = first.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("_n", "_record"))).alias("_records"))
     body = F.concat(F.lit(head), F.array_join(F.transform("_records", lambda r: r["_record"]), "\n"), F.lit("\n"))

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 # A side is broadcast only when a count shows it holds no more rows than this.
 BROADCAST_ROWS = 200_000
 
-# Inputs between these sizes (the upper one per core) are spread over all cores.
-SPREAD_FROM = 1 << 16
-SPLIT_BYTES = 128 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
@@ -41,19 +37,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has too few splits for it.
-
-    A small table often is one file with one row group, so one task would do
-    all scanning. Inputs that hold at least one full split per core are left
-    alone and need no shuffle; tiny ones are not worth one.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if SPREAD_FROM < size < cores * SPLIT_BYTES else df
-
-
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast if a bounded count proves it small; otherwise leave the join to AQE."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
