@@ -3,10 +3,10 @@
 The components are split into ``LISTS`` parts; each part gives every candidate a partial score, which is one list.
 
 1. Each block of candidates names the best entries of each list. Their exact scores bound the k-th best from below.
-2. That bound, divided by the number of lists, is the cutoff. A candidate below it in every list cannot reach the
-   bound, so each block sends just the entries at or above the cutoff.
-3. Entries whose known parts, and the cutoff for each unknown part, cannot reach the bound are left out; the
-   scores of the rest are resolved exactly.
+2. That bound, divided by the number of lists, is the cutoff, which goes to every block. A candidate below it in every
+   list cannot reach the bound, so each block gathers just the candidates with an entry at or above the cutoff.
+3. The scores of those are resolved exactly where their other parts lie, in their block; it sends the ones that reach
+   the bound.
 
 Equal vectors are folded first, with their k + 1 smallest ids: more of them never enter an answer. Queries meet
 candidates in blocks; what a task holds is bounded by the block sizes.
@@ -28,6 +28,8 @@ LISTS = 4
 BLOCK = 8192
 QUERY_BLOCK = 1024
 SALTS = 16
+# Components of larger magnitude, once scaled, could overflow the long score of 64 of them.
+LARGEST_BITS = 28
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -35,8 +37,7 @@ def quantised(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id",
 
     Empty vectors count as valid and score 0. Repeated rows of one id and vector count once.
     """
-    # Beyond 2^25 products of 64 components would no longer be exact in double precision.
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**25 / scale))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**LARGEST_BITS / scale))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
@@ -95,10 +96,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             qm, cm = _matrix(q.field("q")), _matrix(c.field("q"))
             width = max(qm.shape[1], cm.shape[1])
             qm, cm = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (qm, cm))
-            reps = c.field("rep").to_numpy(zero_copy_only=False)
+            reps, parts = c.field("rep").to_numpy(zero_copy_only=False), _parts(width)
+            if np.abs(qm).max(initial=0) * np.abs(cm).max(initial=0) * width >= 2.0**53:
+                qm, cm = qm.astype(np.int64), cm.astype(np.int64)  # slower, but exact beyond doubles
             for at in range(0, len(qm), 128):
                 some = q.slice(at, 128)
-                scores = [qm[at : at + 128, p] @ cm[:, p].T for p in _parts(width)]
+                scores = [qm[at : at + 128, p] @ cm[:, p].T for p in parts]
                 yield some, reps, scores
 
 
@@ -118,13 +121,18 @@ def _local_best(k: int):
     return run
 
 
-def _over_cutoff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates with an entry at or above the cutoff, resolved, if they reach the bound (all, if there is none)."""
     for some, reps, scores in _pairs(batches):
         queries = some.field("rep").to_numpy(zero_copy_only=False)
-        bound = some.field("bound").to_numpy(zero_copy_only=False).astype(np.float64)  # NaN: no bound
-        for s in scores:
-            row, col = np.nonzero(~(s * LISTS < bound[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(queries[row]), pa.array(reps[col]), pa.array(s[row, col].astype(np.int64))], names=["query", "rep", "partial"])
+        bounds = some.field("bound")
+        unbound = np.asarray(bounds.is_null())[:, None]
+        bound = bounds.fill_null(0).to_numpy(zero_copy_only=False)[:, None]
+        cutoff = -(-bound // LISTS)
+        row, col = np.nonzero(unbound | np.any([s >= cutoff for s in scores], axis=0))
+        total = np.sum([s[row, col].astype(np.int64) for s in scores], axis=0)
+        reach = unbound[row, 0] | (total >= bound[row, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(queries[row[reach]]), pa.array(reps[col[reach]]), pa.array(total[reach])], names=["query", "rep", "score"])
 
 
 def _exact(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -160,18 +168,7 @@ def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0, id_col:
     bounds = known.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == most).select(F.col("query").alias("rep"), F.col("score").alias("bound"))
 
     cut = staged(_blocks(queries.join(bounds, "rep", "left"), QUERY_BLOCK, "qb", "bound"), "bounds")
-    bound_of = cut.select(F.explode("qb_items").alias("x")).select(F.col("x.rep").alias("query"), F.col("x.bound").alias("bound"))
-    sent = (
-        _meet(cut, blocks).mapInArrow(_over_cutoff, "query long, rep long, partial long")
-        .groupBy("query", "rep").agg(F.sum("partial").alias("sum"), F.count("*").alias("lists"))
-    )
-    # An unknown part is below bound / LISTS, so at most the next whole number down.
-    most_unknown = F.ceil(F.col("bound") / LISTS) - 1
-    able = (
-        sent.join(bound_of, "query")
-        .where(F.col("bound").isNull() | (F.col("sum") + (LISTS - F.col("lists")) * most_unknown >= F.col("bound"))).select("query", "rep", "bound")
-    )
-    scored = _exact(able.select("query", "rep"), reps).join(bound_of, "query").where(F.col("bound").isNull() | (F.col("score") >= F.col("bound")))
+    scored = _meet(cut, blocks).mapInArrow(_resolved, "query long, rep long, score long")
     answers = scored.join(reps.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     shortlist = answers.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("query", "score", "vec_id")
