@@ -9,6 +9,7 @@ The model is fitted on a bounded sample of labelled rows; scoring covers every d
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -74,16 +75,18 @@ def fit_ordinal(texts: Iterable[str | None], grades: Iterable[int]) -> OrdinalMo
     Features whose share differs by LEAST_Z standard deviations between grade 0 and the others enter; a
     proximal gradient with an L1 penalty sets their weights.
     """
-    counts, y = [_count(t) for t in texts], np.array(list(grades), int)
+    texts, y = list(texts), np.array(list(grades), int)
     top = int(y.max(initial=0))
     if top < 1 or len(np.unique(y)) != top + 1:
         raise ValueError("grades must run from 0 to at least 1 without a gap")
     bad, good = int((y > 0).sum()), int((y == 0).sum())
     df_bad, df_all = Counter(), Counter()
-    for c, g in zip(counts, y, strict=True):
-        df_all.update(c.keys())
+    # Counts are made twice, not kept: those of all texts would take far more memory than the texts.
+    for t, g in zip(texts, y, strict=True):
+        found = _count(t).keys()
+        df_all.update(found)
         if g:
-            df_bad.update(c.keys())
+            df_bad.update(found)
     names = []
     for f, n in df_all.items():
         share = n / len(y)
@@ -91,13 +94,14 @@ def fit_ordinal(texts: Iterable[str | None], grades: Iterable[int]) -> OrdinalMo
         if n >= LEAST_DOCS and abs(gap) >= LEAST_Z * np.sqrt(share * (1 - share) * (1 / bad + 1 / good)):
             names.append(f)
     names.sort()
+    del df_all, df_bad
     place = {f: i for i, f in enumerate(names)}
-    rows, cols, values = [], [], []
-    for i, c in enumerate(counts):
-        for f, n in c.items():
+    rows, cols, values = array("i"), array("i"), array("d")
+    for i, t in enumerate(texts):
+        for f, n in _count(t).items():
             if f in place:
                 rows.append(i), cols.append(place[f]), values.append(float(n))
-    rows, cols, values = np.array(rows, int), np.array(cols, int), np.array(values)
+    rows, cols, values = np.array(rows), np.array(cols), np.array(values)
     weights, theta = np.zeros(len(names)), _start(y, top)
     sum_w, sum_t = np.full(len(names), 1e-8), np.full(top, 1e-8)
     for _ in range(ROUNDS):
