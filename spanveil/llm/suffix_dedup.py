@@ -13,7 +13,9 @@ sorts (rank, document) pairs, twice, at growing lengths:
    a position whose pair is in an earlier document is repeated.
 
 Sorted rows stream through a task with a state of a few values, so a name that a third of all documents hold
-needs no memory; rows of one task that repeat each other are folded before they are sent.
+needs no memory; rows of one task that repeat each other are folded before they are sent. Rows of a task for the same
+partition are sent as packed columns and unpacked before the sort: random ranks fill the disk, so they travel without
+row headers and with sorted ranks as differences.
 """
 
 from __future__ import annotations
@@ -127,9 +129,46 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """(name, rest, doc_id) of every run in every text; runs that a task finds again are sent once, from the smallest id,
-    and the others come with the name 0 as already known to be repeated."""
+_PACKED = "bucket int, n int, packed binary"
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def _packed(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket: its rows sorted by the first column, which is sent as differences, byte by byte."""
+    order = np.lexsort((columns[0], bucket))
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, int)
+    codec, chunks = _codec(), []
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        sent = np.stack([c[start:end] for c in columns])
+        sent[0, 1:] -= columns[0][start : end - 1]
+        chunks.append(codec.compress(sent.view(np.uint8).reshape(len(columns), end - start, 8).transpose(0, 2, 1).tobytes(), asbytes=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(np.diff(edges).astype(np.int32)), pa.array(chunks, pa.binary())], names=["bucket", "n", "packed"]
+    )
+
+
+def _sorted(sent: DataFrame, parts: int, columns: list[str], order: list) -> DataFrame:
+    """Packed rows dealt out by bucket, unpacked into long columns, sorted within each partition."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec()
+        for batch in batches:
+            for n, packed in zip(batch.column("n").to_pylist(), batch.column("packed"), strict=True):
+                raw = np.frombuffer(codec.decompress(packed.as_buffer(), n * 8 * len(columns), asbytes=True), np.uint8)
+                rows = raw.reshape(len(columns), 8, n).transpose(0, 2, 1).copy().view(np.uint64)[:, :, 0]
+                rows[0] = np.cumsum(rows[0])
+                yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)) for r in rows], names=columns)
+
+    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(unpack, ", ".join(f"{c} long" for c in columns)).sortWithinPartitions(*order)
+
+
+def _runs(docs: DataFrame, parts: int) -> DataFrame:
+    """(head, rest, doc_id) of every run in every text, packed; runs that a task finds again are sent once, from the
+    smallest id, and the others come with the name 0 as already known to be repeated, dealt out by what else they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +183,10 @@ def _runs(docs: DataFrame) -> DataFrame:
             top = np.where(doc > low, np.uint64(0), np.maximum(top, np.uint64(1)))
             head = top << np.uint64(16) | count.astype(np.uint64) << np.uint64(_TAG_BITS) | tags[text].astype(np.uint64)
             rest = (longer >> np.uint64(31)) << np.uint64(_FIRST_BITS) | first.astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(doc)], names=["head", "rest", "doc_id"])
+            dealt = _mix(np.where(top == 0, rest, top) * _A) % np.uint64(parts)
+            yield _packed(dealt, [head, rest, doc.astype(np.int64).view(np.uint64)])
 
-    return docs.mapInArrow(run, "head long, rest long, doc_id long")
+    return docs.mapInArrow(run, _PACKED)
 
 
 _OUT = "doc_id long, tag int, first int, n int, known boolean"
@@ -203,28 +243,57 @@ def _with_texts(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return docs.join(lists, ["doc_id", "tag"], "left")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, doc_id, tag, first): ranks at 25 of the asked positions and of those 25 bytes on."""
+# Positions folded and sent together.
+_PAIRS = 1 << 20
+
+
+def _asked_ranks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, doc_id, place) of the positions asked for, some at a time: ranks at 25 there and 25 bytes on."""
     half = LENGTH // 2
-    for batch in batches:
-        for i in range(batch.num_rows):
-            asked = batch.column("asked")[i].values
-            data = np.frombuffer(_bytes(batch.column("text").slice(i, 1))[0], np.uint8)
-            first, n = (asked.field(c).to_numpy().astype(np.int64) for c in ("first", "n"))
-            stops = np.cumsum(n)
-            at = np.repeat(first - (stops - n), n) + np.arange(stops[-1])
-            out = [[], []]
-            for some in np.array_split(at, -(-len(at) // 65536)):
-                window = data[some[:, None] + np.arange(LENGTH)]
-                ranks = _row_ranks(window)
-                for side, offset in zip(out, (0, half), strict=True):
-                    side.append(_mix(ranks[16][:, offset] * _A + ranks[16][:, offset + half - 16]))
-            a, b = (np.concatenate(x).view(np.int64) for x in out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), pa.array(np.full(len(at), batch.column("doc_id")[i].as_py(), np.int64)),
-                 pa.array(np.full(len(at), batch.column("tag")[i].as_py(), np.int32)), pa.array(at.astype(np.int32))],
-                names=["a", "b", "doc_id", "tag", "first"],
-            )
+    for i in range(batch.num_rows):
+        if not batch.column("asked")[i].is_valid:
+            continue
+        asked = batch.column("asked")[i].values
+        data = np.frombuffer(_bytes(batch.column("text").slice(i, 1))[0], np.uint8)
+        doc, tag = batch.column("doc_id")[i].as_py(), batch.column("tag")[i].as_py()
+        first, n = (asked.field(c).to_numpy().astype(np.int64) for c in ("first", "n"))
+        stops = np.cumsum(n)
+        at = np.repeat(first - (stops - n), n) + np.arange(stops[-1])
+        for some in np.array_split(at, -(-len(at) // 65536)):
+            ranks = _row_ranks(data[some[:, None] + np.arange(LENGTH)])
+            a, b = (_mix(ranks[16][:, offset] * _A + ranks[16][:, offset + half - 16]) for offset in (0, half))
+            yield a, b, np.full(len(some), doc, np.int64), some.astype(np.uint64) << np.uint64(_TAG_BITS) | np.uint64(tag)
+
+
+def _folded_pairs(pieces: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    """Pairs packed for the shuffle; a pair met again in a later document is known to be repeated and comes as 0, 0."""
+    a, b, doc, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    order = np.lexsort((doc, b, a))
+    a, b, doc, place = a[order], b[order], doc[order], place[order]
+    a, b = np.maximum(a, np.uint64(1)), b >> np.uint64(24)  # 0, 0 is for pairs known to be repeated; 104 bits tell pairs apart
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    a[again] = b[again] = np.uint64(0)
+    dealt = _mix(np.where(again, doc.view(np.uint64) * _B + place, a + b * _B) * _A) % np.uint64(parts)
+    return _packed(dealt, [a, b, doc.view(np.uint64), place])
+
+
+def _pairs(docs: DataFrame, parts: int) -> DataFrame:
+    """(a, b, doc_id, place) of every position asked for, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held = [], 0
+        for batch in batches:
+            for piece in _asked_ranks(batch):
+                pieces.append(piece)
+                held += len(piece[0])
+                if held >= _PAIRS:
+                    yield _folded_pairs(pieces, parts)
+                    pieces, held = [], 0
+        if pieces:
+            yield _folded_pairs(pieces, parts)
+
+    return docs.mapInArrow(run, _PACKED)
 
 
 def _row_ranks(window: np.ndarray) -> dict[int, np.ndarray]:
@@ -241,15 +310,15 @@ def _judge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b, doc, tag, first = (batch.column(c).to_numpy() for c in ("a", "b", "doc_id", "tag", "first"))
+        a, b, doc, place = (batch.column(c).to_numpy() for c in ("a", "b", "doc_id", "place"))
         new = np.r_[last is None or last[:2] != (a[0], b[0]), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         low = doc[np.flatnonzero(new)] if new[0] else np.r_[last[2], doc[np.flatnonzero(new)]]
         low = low[np.cumsum(new) - (1 if new[0] else 0)]
         last = (a[-1], b[-1], low[-1])
-        found = doc > low
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[found]), pa.array(tag[found]), pa.array(first[found]), pa.array(np.ones(int(found.sum()), np.int32))], names=["doc_id", "tag", "first", "n"]
-        )
+        found = (doc > low) | (a == 0)
+        doc, place = doc[found], place[found]
+        tag, first = (place & ((1 << _TAG_BITS) - 1)).astype(np.int32), (place >> _TAG_BITS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(first), pa.array(np.ones(len(doc), np.int32))], names=["doc_id", "tag", "first", "n"])
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -263,16 +332,14 @@ def _parts_of(docs: DataFrame) -> int:
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, first, n): runs of n strings from byte ``first`` that start in an earlier document too."""
-    known = docs.where("doc_id is not null")
     parts = _parts_of(docs)
-    name = F.shiftright("head", 16)
-    # Runs already known to be repeated have the name 0 and are dealt out by what else they have.
-    dealt = F.when(name == 0, F.col("rest")).otherwise(name)
-    sorted_runs = _runs(known).repartition(parts, dealt).sortWithinPartitions(name, F.shiftright("rest", _FIRST_BITS), "doc_id")
-    judged = staged(sorted_runs.mapInArrow(_judge_runs, _OUT), "repeated-runs")
-    lists = judged.where("not known").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "n")).alias("asked"))
-    pairs = known.join(lists, ["doc_id", "tag"]).mapInArrow(_pairs, "a long, b long, doc_id long, tag int, first int")
-    more = pairs.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_judge_pairs, "doc_id long, tag int, first int, n int")
+    sent = _runs(docs.where("doc_id is not null"), parts)
+    runs = _sorted(sent, parts, ["head", "rest", "doc_id"], [F.shiftright("head", 16), F.shiftright("rest", _FIRST_BITS), "doc_id"])
+    judged = staged(runs.mapInArrow(_judge_runs, _OUT), "repeated-runs")
+    # Outer, and rows without anything asked skipped in the task, so that this shuffle of the texts is the final one's too.
+    asked = _with_texts(docs, judged.where("not known"), "asked")
+    pairs = _sorted(_pairs(asked, parts), parts, ["a", "b", "doc_id", "place"], ["a", "b", "doc_id"])
+    more = pairs.mapInArrow(_judge_pairs, "doc_id long, tag int, first int, n int")
     return judged.where("known").select("doc_id", "tag", "first", "n").union(more)
 
 
