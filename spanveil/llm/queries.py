@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their DuckDB statements where SQL can say the same."""
+"""Registered queries of the training-data operators, and their DuckDB statements where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bpe, line_dedup, near_vectors, packing, pii, simhash, suffix_dedup, token_counts, topk, toxicity
+from spanveil.llm import (
+    bpe, clustering, divergence, line_dedup, near_vectors, packing, pii, quality, simhash, suffix_dedup, token_counts, topk, toxicity,
+)
 from spanveil.sources.workspace import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +148,84 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, most_terms=10)
+
+
+ORACLES["op11_source_divergence"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+words AS (SELECT n, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT n) >= 10),
+used AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+every AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.c, 0) AS c
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)),
+shares AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER s + 2 * count(*) OVER s) AS p
+  FROM every WINDOW s AS (PARTITION BY lang, source)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER s + 2 * count(*) OVER s) AS q
+  FROM (SELECT lang, term, sum(c) AS c FROM every GROUP BY lang, term) WINDOW s AS (PARTITION BY lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, (p - q) * (p - q) // (p + q)
+  FROM shares s JOIN whole w USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@_query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, width=64, seed="3:")
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT n, vec_id, v, cluster, d FROM (
+    SELECT n, vec_id, x.v, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS d
+    FROM kept x CROSS JOIN c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT cluster, list((s - ((s % size) + size) % size) // size ORDER BY i) AS v
+  FROM (SELECT cluster, i, sum(x) AS s, count(*) AS size FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i)
+  GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (cluster))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})),
+{",".join(steps)}
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _clustering_sql(8, 10)
+
+
+@_query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
