@@ -8,8 +8,9 @@ The components are split into ``LISTS`` parts; each part gives every candidate a
 3. The scores of those are resolved exactly where their other parts lie, in their block; it sends the ones that reach
    the bound.
 
-Equal vectors are folded first, with their k + 1 smallest ids: more of them never enter an answer. Queries meet
-candidates in blocks; what a task holds is bounded by the block sizes.
+Equal vectors are folded first, with their k + 1 smallest ids, each as often as it can enter an answer. Queries meet
+candidates in blocks; what a task holds is bounded by the block sizes. Products are taken in doubles while those are
+exact, and in whole numbers of any size otherwise.
 """
 
 from __future__ import annotations
@@ -28,35 +29,41 @@ LISTS = 4
 BLOCK = 8192
 QUERY_BLOCK = 1024
 SALTS = 16
-# Components of larger magnitude, once scaled, could overflow the long score of 64 of them.
-LARGEST_BITS = 28
+_LARGEST = 1.7976931348623157e308
+_ENDS = -(1 << 63), (1 << 63) - 1  # of a long
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, q): floor(scale * x) of each component, for rows with an id and only finite components.
 
-    Empty vectors count as valid and score 0. Repeated rows of one id and vector count once.
+    The whole numbers are doubles, which hold them exactly. Empty vectors count as valid and score 0. Components that
+    no double holds once scaled count as the largest double.
     """
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**LARGEST_BITS / scale))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # Beyond 2**53 a double is whole already; floor goes through a long and would not hold it.
+    scaled = F.transform("v", lambda x: F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), x * scale)))
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x) + F.lit(0.0))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).cast("array<long>").alias("q")).distinct()
+        .select("vec_id", whole.alias("q"))
     )
 
 
-def _folded(rows: DataFrame, most: int) -> DataFrame:
-    """(q, ids): different vectors with their ``most`` smallest ids; a vector's rows are dealt over salts first."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+def _folded(rows: DataFrame, k: int) -> DataFrame:
+    """(q, ids): different vectors with their k + 1 smallest ids, each up to k times; rows are dealt over salts first."""
+    each = rows.groupBy("q", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     first = Window.partitionBy("q", "salt").orderBy("vec_id")
-    few = salted.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most)
-    return few.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, most).alias("ids"))
+    few = salted.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "times"))), 1, k + 1)
+    return few.groupBy("q").agg(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
 
 
 def _matrix(values: pa.ListArray) -> np.ndarray:
     """Vectors of one block; shorter ones are filled up with zeros."""
     sizes = np.diff(values.offsets.to_numpy())
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = values.flatten().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == sizes[0]).all():
         return flat.reshape(len(sizes), sizes[0])
     out = np.zeros((len(sizes), int(sizes.max(initial=0))))
@@ -97,24 +104,45 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             width = max(qm.shape[1], cm.shape[1])
             qm, cm = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (qm, cm))
             reps, parts = c.field("rep").to_numpy(zero_copy_only=False), _parts(width)
-            if np.abs(qm).max(initial=0) * np.abs(cm).max(initial=0) * width >= 2.0**53:
-                qm, cm = qm.astype(np.int64), cm.astype(np.int64)  # slower, but exact beyond doubles
+            qm, cm = _exact_kind(qm, cm)
             for at in range(0, len(qm), 128):
                 some = q.slice(at, 128)
                 scores = [qm[at : at + 128, p] @ cm[:, p].T for p in parts]
                 yield some, reps, scores
 
 
+def _exact_kind(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices as doubles, longs or Python integers: the fastest whose products and sums are exact."""
+    width = max(a.shape[-1], 1)
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * width
+    if most < 1 << 53:
+        return a, b
+    if most < 1 << 63:
+        return a.astype(np.int64), b.astype(np.int64)
+    return tuple(np.array([int(x) for x in m.ravel().tolist()], dtype=object).reshape(m.shape) for m in (a, b))
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    """Whole numbers as longs; what no long holds counts as its nearest end."""
+    if values.dtype == object:
+        return pa.array([min(max(int(x), _ENDS[0]), _ENDS[1]) for x in values.tolist()], pa.int64())
+    return pa.array(values.astype(np.int64))
+
+
+def _partitioned(few: int):
+    return lambda scores, axis: np.argpartition(scores, few - 1, axis=axis)
+
+
 def _local_best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, reps, scores in _pairs(batches):
             queries = some.field("rep").to_numpy(zero_copy_only=False)
             few = min(k, len(reps))
             for part, s in enumerate(scores):
-                best = np.argpartition(-s, few - 1, axis=1)[:, :few]
+                best = (np.argsort if s.dtype == object else _partitioned(few))(-s, axis=1)[:, :few]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(queries, few)), pa.array(np.full(best.size, part, np.int32)), pa.array(reps[best.ravel()]),
-                     pa.array(np.take_along_axis(s, best, axis=1).ravel().astype(np.int64))],
+                     _longs(np.take_along_axis(s, best, axis=1).ravel())],
                     names=["query", "part", "rep", "partial"],
                 )
 
@@ -126,35 +154,45 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some, reps, scores in _pairs(batches):
         queries = some.field("rep").to_numpy(zero_copy_only=False)
         bounds = some.field("bound")
-        unbound = np.asarray(bounds.is_null())[:, None]
-        bound = bounds.fill_null(0).to_numpy(zero_copy_only=False)[:, None]
-        cutoff = -(-bound // LISTS)
-        row, col = np.nonzero(unbound | np.any([s >= cutoff for s in scores], axis=0))
-        total = np.sum([s[row, col].astype(np.int64) for s in scores], axis=0)
+        bound = bounds.fill_null(_ENDS[0]).to_numpy(zero_copy_only=False)[:, None]
+        unbound = bound == _ENDS[0]
+        cutoff = bound // LISTS + (bound % LISTS > 0)
+        row, col = np.nonzero(unbound | np.any([(s >= cutoff).astype(bool) for s in scores], axis=0))
+        total = _longs(sum(s[row, col] for s in scores)).to_numpy()
         reach = unbound[row, 0] | (total >= bound[row, 0])
         yield pa.RecordBatch.from_arrays([pa.array(queries[row[reach]]), pa.array(reps[col[reach]]), pa.array(total[reach])], names=["query", "rep", "score"])
 
 
+def _whole_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = _matrix(batch.column("query_q")), _matrix(batch.column("q"))
+        width = max(x.shape[1], y.shape[1]) if batch.num_rows else 0
+        x, y = _exact_kind(*(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y)))
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("rep"), _longs((x * y).sum(axis=1))], names=["query", "rep", "score"])
+
+
 def _exact(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(query, rep, score) with whole inner products."""
     own = reps.select(F.col("rep").alias("query"), F.col("q").alias("query_q"))
-    product = F.aggregate(F.zip_with("query_q", "q", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.join(own, "query").join(reps.select("rep", "q"), "rep").select("query", "rep", product.alias("score"))
+    both = pairs.join(own, "query").join(reps.select("rep", "q"), "rep").select("query", "rep", "query_q", "q")
+    return both.mapInArrow(_whole_products, "query long, rep long, score long")
 
 
 def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by ``every``.
 
     Ties go to the smaller id; a query has fewer rows if there are fewer others. Rows without an id or with a null
-    vector, a null or a non-finite component take no part. An id with several different vectors counts as several rows,
-    of which none answers another.
+    vector, a null or a non-finite component take no part. A repeated row is a candidate as often as it is there; a
+    repeated query has its candidates as often as it is there. An id with several different vectors counts as several
+    rows, of which none answers another. A score that no long holds counts as the nearest end of a long.
     """
     rows = staged(quantised(vectors, scale, id_col, vec_col), "quantised")
-    most = k + 1  # a query's own row may be among the best
-    reps = staged(_folded(rows, most).select(F.col("ids")[0].alias("rep"), "q", "ids", F.xxhash64("q").alias("h")), "reps")
+    most = k + 1  # a query's own vector may be among the best
+    reps = staged(_folded(rows, k).select(F.col("ids")[0].alias("rep"), "q", "ids", F.xxhash64("q").alias("h")), "reps")
     asked = staged(
-        rows.where(F.col("vec_id") % every == 0).withColumn("h", F.xxhash64("q")).join(reps.select("h", "q", "rep"), ["h", "q"])
-        .select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")),
+        rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "q").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+        .withColumn("h", F.xxhash64("q")).join(reps.select("h", "q", "rep"), ["h", "q"])
+        .select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"), "times"),
         "asked",
     )
     queries = asked.select(F.col("query").alias("rep")).distinct().join(reps.select("rep", "q"), "rep")
@@ -171,10 +209,11 @@ def top_k(vectors: DataFrame, k: int, every: int, scale: float = 256.0, id_col:
     scored = _meet(cut, blocks).mapInArrow(_resolved, "query long, rep long, score long")
     answers = scored.join(reps.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    shortlist = answers.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("query", "score", "vec_id")
+    shortlist = answers.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most).select("query", "score", "vec_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        asked.join(shortlist, "query").where("vec_id <> query_id")
+        asked.select("query_id", "query", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("time"))
+        .join(shortlist, "query").where("vec_id <> query_id")
         .withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
