@@ -1,7 +1,7 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the principal axes is learnt on a bounded sample, so that the signs of the rotated components make
-balanced codes that keep angles. A code is cut into ``TABLES`` parts. Codes that differ in at most
+A rotation of the principal axes is learnt on a bounded sample for each length of vector, so that the signs of the
+rotated components make balanced codes that keep angles. A code is cut into ``TABLES`` parts. Codes that differ in at most
 ``2 * TABLES - 1`` bits agree in one part up to one bit, so each vector probes every table with its part and
 all its one-bit changes. What is found is reranked with the original vectors in double precision.
 
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanveil.llm.components import connected_components
 from spanveil.sources.workspace import staged
@@ -23,15 +24,27 @@ from spanveil.sources.workspace import staged
 COSINE = 0.93
 BITS = 64
 TABLES = 6
+# Vectors that fit the rotations: all lengths share FIT_ROWS, each has at least LEAST_FIT_ROWS if there are as many.
 FIT_ROWS = 20_000
+LEAST_FIT_ROWS = 256
+LEAST_PER_BIT = 4
 ROUNDS = 50
 
 
 class Rotation:
-    """Centre and projection whose signs are the code."""
+    """Centre and projection whose signs are the code.
+
+    Fewer than ``LEAST_PER_BIT`` vectors for each bit say nothing about the others: then the rotation is a random one
+    about the origin, whose signs keep angles too.
+    """
 
     def __init__(self, sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 11):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        size = sample.shape[1]
+        if len(sample) < LEAST_PER_BIT * min(bits, size):
+            self.centre = np.zeros(size)
+            self.projection = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))[0][:, : min(bits, size)]
+            return
         self.centre = unit.mean(axis=0)
         moved = unit - self.centre
         _, vectors = np.linalg.eigh(moved.T @ moved)
@@ -62,7 +75,7 @@ def _parts(bits: int) -> list[tuple[int, int]]:
 
 
 def _probes(coded: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(label, table, part) rows of the index, and of the probes: the part and its one-bit changes."""
+    """(label, width, table, part) rows of the index, and of the probes: the part and its one-bit changes."""
     def part(start: int, width: int) -> Column:
         return F.shiftrightunsigned("code", start).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -74,14 +87,14 @@ def _probes(coded: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
             for flip in [0, *(1 << i for i in range(w))]
         ]
     )
-    rows = [coded.withColumn("at", F.explode(keys)).select("label", "at.table", "at.part", "rep", "code") for keys in (exact, near)]
+    rows = [coded.withColumn("at", F.explode(keys)).select("label", "width", "at.table", "at.part", "rep", "code") for keys in (exact, near)]
     return rows[0], rows[1]
 
 
 def candidate_pairs(coded: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b), a < b: codes of one label that some table brings together and that differ in few enough bits."""
+    """(a, b), a < b: codes of one label and length that some table brings together and that differ in few enough bits."""
     index, probes = _probes(coded, bits)
-    met = probes.withColumnsRenamed({"rep": "a", "code": "code_a"}).join(index.withColumnsRenamed({"rep": "b", "code": "code_b"}), ["label", "table", "part"])
+    met = probes.withColumnsRenamed({"rep": "a", "code": "code_a"}).join(index.withColumnsRenamed({"rep": "b", "code": "code_b"}), ["label", "width", "table", "part"])
     near = met.where("a < b").where(F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= 2 * TABLES - 1)
     return near.select("a", "b").distinct()
 
@@ -103,9 +116,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     rows = staged(rows.withColumn("ok", F.coalesce(_valid("label", "v") & F.col("vec_id").isNotNull(), F.lit(False))), "vectors")
     valid = rows.where("ok").withColumn("h", F.xxhash64("label", "v"))
     reps = staged(valid.groupBy("h", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("rows")), "vector-reps")
-    # At most FIT_ROWS vectors of the commonest length fit the rotation; others have no code of their own length.
-    widths = reps.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    links = _links(reps, widths["width"], cosine) if widths else None
+    links = _links(reps, cosine)
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = staged(links, "vector-links")
@@ -123,21 +134,41 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     return found.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(reps: DataFrame, width: int, cosine: float) -> DataFrame:
-    """(a, b) of different vectors of one label with the cosine, found through the tables."""
-    same_width = reps.where(F.size("v") == width)
-    sample = same_width.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("v").toPandas()["v"]
-    rotation = Rotation(np.stack(sample.to_numpy()))
-    bits = rotation.projection.shape[1]
+def rotations(reps: DataFrame) -> dict[int, Rotation]:
+    """A rotation for each length of vector, fitted on the vectors of that length with the smallest hashes."""
+    widths = reps.select(F.size("v").alias("width")).distinct().count()
+    each = max(LEAST_FIT_ROWS, FIT_ROWS // max(1, widths))
+    by_hash = Window.partitionBy("width").orderBy("h", "rep")
+    sample = reps.select(F.size("v").alias("width"), "h", "rep", "v").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each)
+    rows: dict[int, list] = {}
+    for r in sample.select("width", "v").collect():  # at most FIT_ROWS, or LEAST_FIT_ROWS of each length
+        rows.setdefault(r["width"], []).append(r["v"])
+    return {width: Rotation(np.array(some)) for width, some in rows.items()}
+
+
+def _links(reps: DataFrame, cosine: float) -> DataFrame | None:
+    """(a, b) of different vectors of one label and length with the cosine, found through the tables."""
+    turned = rotations(reps)
+    if not turned:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.array(rotation.codes(v))], names=["rep", "label", "code"])
-
-    coded = staged(same_width.select("rep", "label", "v").mapInArrow(run, "rep long, label string, code long"), "codes")
-    pairs = candidate_pairs(coded, bits)
+            widths = np.diff(batch.column("v").offsets.to_numpy())
+            for width in np.unique(widths).tolist():
+                some = batch.filter(pa.array(widths == width))
+                v = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, width)
+                columns = [some.column("rep"), some.column("label"), pa.array(np.full(some.num_rows, width, np.int32)), pa.array(turned[width].codes(v))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "label", "width", "code"])
+
+    coded = staged(reps.select("rep", "label", "v").mapInArrow(run, "rep long, label string, width int, code long"), "codes")
+    sizes: dict[int, list[int]] = {}
+    for width, rotation in turned.items():
+        sizes.setdefault(rotation.projection.shape[1], []).append(width)
+    pairs = None
+    for bits, widths in sorted(sizes.items()):  # lengths of BITS and more are one case, shorter ones a case each
+        found = candidate_pairs(coded.where(F.col("width").isin(widths)), bits)
+        pairs = found if pairs is None else pairs.union(found)
     whole = reps.select("rep", "v")
     return (
         pairs.join(whole.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a")

@@ -1,6 +1,7 @@
 """Operators on vectors against brute force."""
 
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -60,3 +61,42 @@ def test_near_vectors_by_brute_force(shared, rows):
     assert all(r.n_links == 0 and r.kept for r in found if r.vec_id not in ok)
     assert all(r.kept == (r.vec_id == r.component_id) for r in found if r.vec_id is not None)
     assert near_vectors.near_vectors(shared.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_top_k_of_huge_components_and_repeated_rows(shared):
+    rows = [(0, [1.0, 1, 1, 1]), (1, [2000000.0, 0, 0, 0]), (2, [1e12, -1e12, 5.5, 0]), (3, [1e17, 0, 0, 1]), (4, [3.0, 0, 0, 0]), (5, [-1e300, 0, 0, 0])]
+    rows += [(4, [3.0, 0, 0, 0])] * 2 + [(7, [0.5, 0, 0, 0])] * 20 + [(50, [1.0, 0, 0, 0])] * 9
+    frame = shared.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    low, high = -(1 << 63), (1 << 63) - 1
+
+    def whole(x):
+        return int(x) * 256 if abs(x) > 2**53 else math.floor(256 * x)
+
+    want = collections.Counter()
+    for query in {i for i, _ in rows if i % 50 == 0}:
+        scored = []
+        for i, v in rows:
+            for j, w in rows:
+                if i == query and j != i:
+                    scored.append((-min(max(sum(whole(a) * whole(b) for a, b in zip(v, w)), low), high), j))
+        want.update((query, rank, j, -s) for rank, (s, j) in enumerate(sorted(scored)[:5], 1))
+    assert collections.Counter(tuple(r) for r in topk.top_k(frame, 5, 50).collect()) == want
+
+
+@pytest.mark.parametrize("size", [64, 128])
+def test_recall_at_the_threshold(shared, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for i in range(400):
+        a, b = rng.normal(size=(2, size))
+        b -= a * (a @ b) / (a @ a)
+        a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (0.935 * a + math.sqrt(1 - 0.935**2) * b).tolist(), 1)]
+    found = near_vectors.near_vectors(shared.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert found.where("n_links > 0").count() >= 0.95 * len(rows)
+
+
+def test_links_at_every_length(shared):
+    rows = [(i, [1.0, 0.01 * i] + [0.5] * 40, 1) for i in range(5)] + [(10, [1.0, 0.5, 0.2], 1), (11, [1.0, 0.51, 0.2], 1), (12, [1.0, 0.5, 0.2], 2), (13, [2.0], 1), (14, [3.0], 1)]
+    found = {r.vec_id: r for r in near_vectors.near_vectors(shared.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [found[i].n_links for i in (0, 4, 10, 11, 12, 13, 14)] == [4, 4, 1, 1, 0, 1, 1] and found[11].component_id == 10
