@@ -121,7 +121,8 @@ def named_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-# A sent run is three longs: (name, number of strings, tag of the text), (longer rank, first string), document.
+# A sent run is four longs: (name, number of strings, tag of the text), (top of the longer rank, first string), document,
+# rest of the longer rank.
 _TAG_BITS, _COUNT_BITS, _FIRST_BITS = 10, 6, 31
 
 
@@ -167,7 +168,7 @@ def _sorted(sent: DataFrame, parts: int, columns: list[str], order: list) -> Dat
 
 
 def _runs(docs: DataFrame, parts: int) -> DataFrame:
-    """(head, rest, doc_id) of every run in every text, packed; runs that a task finds again are sent once, from the
+    """(head, rest, doc_id, more) of every run in every text, packed; runs that a task finds again are sent once, from the
     smallest id, and the others come with the name 0 as already known to be repeated, dealt out by what else they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +183,10 @@ def _runs(docs: DataFrame, parts: int) -> DataFrame:
             top = name >> np.uint64(64 - 48)
             top = np.where(doc > low, np.uint64(0), np.maximum(top, np.uint64(1)))
             head = top << np.uint64(16) | count.astype(np.uint64) << np.uint64(_TAG_BITS) | tags[text].astype(np.uint64)
+            dealt = _mix(np.where(top == 0, longer, top) * _A) % np.uint64(parts)
+            longer = np.where(top == 0, np.uint64(0), longer)  # known runs need none, and zeros take no room
             rest = (longer >> np.uint64(31)) << np.uint64(_FIRST_BITS) | first.astype(np.uint64)
-            dealt = _mix(np.where(top == 0, rest, top) * _A) % np.uint64(parts)
-            yield _packed(dealt, [head, rest, doc.astype(np.int64).view(np.uint64)])
+            yield _packed(dealt, [head, rest, doc.astype(np.int64).view(np.uint64), longer & np.uint64((1 << 31) - 1)])
 
     return docs.mapInArrow(run, _PACKED)
 
@@ -210,7 +212,7 @@ def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         head, rest, doc = (batch.column(c).to_numpy() for c in ("head", "rest", "doc_id"))
-        name, longer = head >> 16, rest >> _FIRST_BITS
+        name, longer = head >> 16, (rest >> _FIRST_BITS << _FIRST_BITS) | batch.column("more").to_numpy()
         new_name = np.r_[last is None or last[0] != name[0], name[1:] != name[:-1]]
         new_rank = new_name | np.r_[last is None or last[1] != longer[0], longer[1:] != longer[:-1]]
         starts = np.flatnonzero(new_rank)
@@ -334,7 +336,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, first, n): runs of n strings from byte ``first`` that start in an earlier document too."""
     parts = _parts_of(docs)
     sent = _runs(docs.where("doc_id is not null"), parts)
-    runs = _sorted(sent, parts, ["head", "rest", "doc_id"], [F.shiftright("head", 16), F.shiftright("rest", _FIRST_BITS), "doc_id"])
+    runs = _sorted(sent, parts, ["head", "rest", "doc_id", "more"], [F.shiftright("head", 16), F.shiftright("rest", _FIRST_BITS), "more", "doc_id"])
     judged = staged(runs.mapInArrow(_judge_runs, _OUT), "repeated-runs")
     # Outer, and rows without anything asked skipped in the task, so that this shuffle of the texts is the final one's too.
     asked = _with_texts(docs, judged.where("not known"), "asked")
