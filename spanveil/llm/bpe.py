@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-# Words kept with their ids, and the longest word kept.
-MEMO_WORDS = 700_000
+# Plain words kept with their ids, other chunks and pieces kept with theirs, and the longest one kept.
+MEMO_WORDS = 300_000
+MEMO_PIECES = 50_000
 MEMO_LENGTH = 64
 
 # Ids that the decoder turns into text at a time.
@@ -38,13 +39,16 @@ DECODE_BLOCK = 1 << 16
 # Characters for which composing and lower-casing are one to one and white space is plain.
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ž]")
 
+# Where a long text may be cut: added tokens hold no such blank.
+_BLANK = re.compile("[ \n](?=[0-9A-Za-z])")
+
 _NONE = 1 << 62
 
 # Multiplier that spreads pair keys over the slots of a lookup table.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-# Characters of plain text encoded together.
-BLOCK_CHARS = 4_000_000
+# Characters of plain text encoded together; longer texts are cut at blanks.
+BLOCK_CHARS = 1 << 19
 
 # Classes of characters.
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -206,6 +210,7 @@ class Encoder:
         self._inner = [self.vocab[c] for c in letters]
         self._final = [self.vocab[c + self.suffix] for c in letters]
         self._known = _KnownWords(self.merges, self._inner, self._final, self._bytes, memo_words)
+        memo_pieces = min(memo_words, MEMO_PIECES)
         self._byte = {c: b for b, c in enumerate(letters)}
         tokenizer = Tokenizer.from_file(path)
         self._normalizer, self._splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
@@ -215,8 +220,8 @@ class Encoder:
         self._added = {c: i.to_bytes(4, "little") for c, i in added.items()}
         self._cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._pattern = self._word_pattern(spec)
-        self._words = _Memo(self._chunk, memo_words)
-        self._pieces = _Memo(self._piece, memo_words)
+        self._words = _Memo(self._chunk, memo_pieces)
+        self._pieces = _Memo(self._piece, memo_pieces)
         self.texts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
 
     @staticmethod
@@ -235,11 +240,16 @@ class Encoder:
             return self._plain(text)
         return b"".join(self._added.get(part) or self._plain(part) for part in self._cut.split(text) if part)
 
-    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """``encode`` of each text, plain texts together in blocks of bounded size."""
         block: list[str | None] = []
         held = 0
         for text in texts:
+            if text and len(text) > BLOCK_CHARS:
+                yield from self._block(block)
+                block, held = [], 0
+                yield b"".join(self.encode_parts(text))
+                continue
             block.append(text)
             held += len(text or "")
             if held >= BLOCK_CHARS:
@@ -247,6 +257,25 @@ class Encoder:
                 block, held = [], 0
         yield from self._block(block)
 
+    def encode_parts(self, text: str) -> Iterator[bytes]:
+        """``encode`` of a text, a bounded part at a time; no word is cut, and none crosses a blank."""
+        for part in self._cuts(text):
+            yield from self._block([part])
+
+    def _cuts(self, text: str) -> Iterator[str]:
+        """The text in parts of about ``BLOCK_CHARS``, cut before a blank that an ASCII letter or digit follows."""
+        if self._pattern is None:
+            yield text  # words of this tokenizer may cross blanks
+            return
+        at = 0
+        while len(text) - at > BLOCK_CHARS:
+            end = _BLANK.search(text, at + BLOCK_CHARS)
+            if end is None:
+                break
+            yield text[at : end.start()]
+            at = end.start()
+        yield text[at:]
+
     def _block(self, block: list[str | None]) -> Iterator[bytes]:
         plain = [
             self._pattern is not None and bool(t) and not (self._cut and self._cut.search(t)) and not _ODD.search(t)
@@ -301,16 +330,14 @@ class Encoder:
 class _KnownWords:
     """Encodes blocks of plain lower-case texts with array operations.
 
-    Words of a block are found by character class, told apart by a 64-bit hash, and looked up among the words met
-    so far; only new ones are merged. The known words are forgotten when there are more than ``most``.
+    Words of a block are found by character class and told apart by their bytes; each different one is looked up among
+    the words met so far, and only new ones are merged. Words above ``MEMO_LENGTH`` are forgotten after their block, and
+    all of them when there are more than ``most``.
     """
 
     def __init__(self, merges: Merges, inner: list[int], final: list[int], long_word, most: int):
         self._merges, self._long_word, self._most = merges, long_word, most
         self._inner, self._final = np.array(inner, np.int64), np.array(final, np.int64)
-        noise = np.random.default_rng(7)
-        self._noise = noise.integers(1, 1 << 62, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self._powers = self._inverses = np.ones(1, np.uint64)
         self._one = np.full(256, _OTHER, np.uint8)
         self._one[[9, 10, 13, 32]] = _SPACE
         self._one[48:58] = _DIGIT
@@ -322,8 +349,9 @@ class _KnownWords:
         self._forget()
 
     def _forget(self) -> None:
-        self._hashes = np.zeros(0, np.uint64)
-        self._starts, self._counts, self._ids = (np.zeros(0, np.int64) for _ in range(3))
+        self._at: dict[bytes, int] = {}
+        self._starts, self._counts = _Numbers(), _Numbers()
+        self._ids = _Numbers()
 
     def _words(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word: letters, one digit, other marks, or an apostrophe ending."""
@@ -357,51 +385,48 @@ class _KnownWords:
         begins[at + 1] = False
         begins[at + 1 + size] = True
 
-    def _hash(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A polynomial hash modulo 2^64 of each word, the same wherever the word stands."""
-        if len(self._powers) <= len(text):
-            self._powers = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(len(text) + BLOCK_CHARS, _SPREAD)])
-            back = np.uint64(pow(int(_SPREAD), -1, 1 << 64))
-            self._inverses = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(len(text) + BLOCK_CHARS, back)])
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(self._noise[text] * self._powers[: len(text)], out=sums[1:])
-        value = (sums[ends] - sums[starts]) * self._inverses[starts]
-        return value ^ (value >> np.uint64(29)) ^ (ends - starts).astype(np.uint64) * _SPREAD
-
     def encode(self, texts: list[bytes]) -> tuple[bytes, list[int]]:
         """Ids of the texts end to end as bytes, and where each text's ids end."""
         joined = b"\n".join([*texts, b"\n\n"])
         text = np.frombuffer(joined, np.uint8)
         starts, ends = self._words(text)
-        hashes, first, which = np.unique(self._hash(text, starts, ends), return_index=True, return_inverse=True)
-        at = self._find(hashes, text, starts[first], ends[first])[which]
-        counts = self._counts[at]
-        stops = np.cumsum(counts)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self._ids[np.repeat(self._starts[at] - (stops - counts), counts) + np.arange(total)]
         edges = np.cumsum([len(t) + 1 for t in texts])
         words_before = np.searchsorted(starts, edges, "left")
+        if not len(starts):
+            return b"", [0] * len(texts)
+        at, which = self._find(text, starts, ends)
+        counts, begins = self._counts.array()[at][which], self._starts.array()[at][which]
+        stops = np.cumsum(counts)
+        ids = self._ids.array()[np.repeat(begins - (stops - counts), counts) + np.arange(stops[-1])]
+        if len(self._at) > self._most or len(self._ids.array()) > 8 * self._most:
+            self._forget()
         sums = np.r_[0, stops]
         return ids.astype("<u4").tobytes(), (sums[words_before] * 4).tolist()
 
-    def _find(self, hashes: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The index of each word among the known ones, new ones added."""
-        if len(self._hashes) + len(hashes) > self._most:
-            self._forget()
-        at = np.searchsorted(self._hashes, hashes)
-        there = at < len(self._hashes)
-        there[there] = self._hashes[at[there]] == hashes[there]
-        new = np.flatnonzero(~there)
+    def _find(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each different word among the known ones, new ones added, and which one each word is."""
+        sizes = ends - starts
+        offsets = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        inside = np.zeros(len(text) + 1, np.int8)
+        inside[starts] = 1
+        inside[ends] -= 1
+        data = text[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        get, least = self._at.get, len(self._counts.array())
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
         if len(new):
-            ids, counts = self._merge(text, starts[new], ends[new])
-            self._starts = np.r_[self._starts, len(self._ids) + np.cumsum(counts) - counts]
-            self._counts = np.r_[self._counts, counts]
-            self._ids = np.r_[self._ids, ids]
-            all_hashes = np.r_[self._hashes, hashes[new]]
-            order = np.argsort(all_hashes, kind="stable")
-            self._hashes, self._starts, self._counts = all_hashes[order], self._starts[order], self._counts[order]
-            at = np.searchsorted(self._hashes, hashes)
-        return at
+            first = np.zeros(len(words), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            ids, counts = self._merge(text, starts[first[new]], ends[first[new]])
+            self._starts.add(len(self._ids.array()) + np.cumsum(counts) - counts)
+            self._counts.add(counts)
+            self._ids.add(ids)
+            at[new] = least + np.arange(len(new))
+            self._at.update((words[i], n) for n, i in enumerate(new.tolist(), least) if len(words[i]) <= MEMO_LENGTH)
+        return at, which
 
     def _merge(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = ends - starts
@@ -420,6 +445,23 @@ class _KnownWords:
         return ids, counts
 
 
+class _Numbers:
+    """An array of 32-bit numbers that grows at its end."""
+
+    def __init__(self):
+        self._held, self._size = np.zeros(1024, np.int32), 0
+
+    def add(self, more: np.ndarray) -> None:
+        size = self._size + len(more)
+        if size > len(self._held):
+            self._held = np.concatenate([self._held[: self._size], np.zeros(max(size, 2 * self._size) - self._size, np.int32)])
+        self._held[self._size : size] = more
+        self._size = size
+
+    def array(self) -> np.ndarray:
+        return self._held[: self._size]
+
+
 class _Memo(dict):
     """Results by key; emptied when it holds too many, so its size is bounded."""
 
@@ -509,6 +551,25 @@ def decode_column(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "
     return rows.mapInArrow(run, schema)
 
 
+def _by_parts(enc: Encoder, texts: pa.Array) -> Iterator[Iterable[bytes]]:
+    """The ids of each text, in one part; those of a long text in parts, made one at a time."""
+    short: list[str | None] = []
+    held = 0
+    for text in texts:
+        text = text.as_py()
+        if text and len(text) > BLOCK_CHARS:
+            yield from ([raw] for raw in enc.encode_many(short))
+            short, held = [], 0
+            yield enc.encode_parts(text)
+            continue
+        short.append(text)
+        held += len(text or "")
+        if held >= BLOCK_CHARS:
+            yield from ([raw] for raw in enc.encode_many(short))
+            short, held = [], 0
+    yield from ([raw] for raw in enc.encode_many(short))
+
+
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each whole text: id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -522,13 +583,16 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         decoder = Decoder(enc.texts)
         for batch in batches:
             counts, coded, decoded = [], [], []
-            for raw in enc.encode_many(batch.column("text").to_pylist()):
-                counts.append(len(raw) // 4)
-                coded.append(hashlib.sha256(raw).hexdigest())
-                digest = hashlib.sha256()
-                for at in range(0, len(raw), 4 * DECODE_BLOCK):
-                    digest.update(decoder.feed(array("I", raw[at : at + 4 * DECODE_BLOCK])).encode())
+            for parts in _by_parts(enc, batch.column("text")):
+                size, ids, digest = 0, hashlib.sha256(), hashlib.sha256()
+                for raw in parts:
+                    size += len(raw) // 4
+                    ids.update(raw)
+                    for at in range(0, len(raw), 4 * DECODE_BLOCK):
+                        digest.update(decoder.feed(array("I", raw[at : at + 4 * DECODE_BLOCK])).encode())
                 digest.update(decoder.finish().encode())
+                counts.append(size)
+                coded.append(ids.hexdigest())
                 decoded.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], names=names)
 
