@@ -21,16 +21,18 @@ from pyspark.sql.window import Window
 
 from spanveil.sources.workspace import staged
 
-# Shorter lines are repeats only if they are equal: one word is too large a part of them.
+# Lines of fewer words are repeats only if they are equal: the edit bound is 0 below so many words and 1 from there on.
 MIN_WORDS = 8
 
+_BLANKS = "[\\t\\x0B\\f\\r]"  # other blanks than a space
 _GAPS = "[ \\t\\x0B\\f\\r]+"
 _LINES = 1 << 31  # more than any text has lines
 _MASK = (1 << 48) - 1  # a line's sum of so small hashes does not overflow
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _GAPS), lambda w: w != "")
+    """The words of a line; only one that holds other blanks than spaces takes the slower split."""
+    return F.filter(F.when(line.rlike(_BLANKS), F.split(line, _GAPS)).otherwise(F.split(line, " ")), lambda w: w != "")
 
 
 def _place(doc: str, line: str) -> Column:
@@ -49,28 +51,29 @@ def _half_keys(words: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h1, h2, n, words) for each line with words."""
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, line, h1, h2, n, halves) for each line with words; halves are null below ``min_words``."""
+    halves = F.when(F.col("n") >= min_words, _half_keys(F.col("words"), F.col("n")))
     return (
         docs.where("doc_id is not null")
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text"))
-        .select("doc_id", "line", _words(F.col("line_text")).alias("words"))
+        # split inside the generator: the filter below would split once more
+        .select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), _words)).alias("line", "words"))
         .where(F.size("words") > 0)
         .select("doc_id", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("n"), "words")
+        .select("doc_id", "line", "h1", "h2", "n", halves.alias("halves"))
     )
 
 
-def _distinct_lines(docs: DataFrame) -> DataFrame:
+def _distinct_lines(rows: DataFrame) -> DataFrame:
     """One row for each different line: its hashes, earliest place, size and half keys."""
-    halves = F.when(F.col("n") >= MIN_WORDS, _half_keys(F.col("words"), F.col("n")))
-    rows = _lines(docs).select("h1", "h2", "n", _place("doc_id", "line").alias("place"), halves.alias("halves"))
+    placed = rows.select("h1", "h2", "n", _place("doc_id", "line").alias("place"), "halves")
     parts = [F.first(F.col("halves")[i]).alias(f"half{i}") for i in range(4)]
-    return rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("n").alias("n"), *parts)
+    return placed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("n").alias("n"), *parts)
 
 
-def _close_candidates(lines: DataFrame) -> DataFrame:
+def _close_candidates(lines: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, line, place) of the lines that share a half with another line."""
-    halves = lines.where(f"n >= {MIN_WORDS}").select("place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
+    halves = lines.where(F.col("n") >= min_words).select("place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     line = F.pmod(F.col("place"), F.lit(_LINES).cast("decimal(38,0)"))
     return (
@@ -82,10 +85,15 @@ def _close_candidates(lines: DataFrame) -> DataFrame:
 def _with_words(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(place, words) of the given lines, cut out of their documents."""
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "place")).alias("wanted"))
+
+    def cut(lines: Column) -> Column:
+        # inside the generator, so a text is split once and not once for each of its lines
+        return F.transform("wanted", lambda w: F.struct(w["place"].alias("place"), lines[w["line"]].alias("line_text")))
+
     return (
         docs.join(wanted, "doc_id")
-        .select(F.split("text", "\n", -1).alias("all_lines"), F.explode("wanted").alias("one"))
-        .select(F.col("one.place").alias("place"), _words(F.col("all_lines")[F.col("one.line")]).alias("words"))
+        .select(F.explode(F.transform(F.array(F.split("text", "\n", -1)), cut)[0]).alias("one"))
+        .select(F.col("one.place").alias("place"), _words(F.col("one.line_text")).alias("words"))
     )
 
 
@@ -150,9 +158,9 @@ def _one_edit(a: str, b: str) -> Column:
     )
 
 
-def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def near_repeats(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Places of different lines (of ``lines``) that are within one edit of an earlier one."""
-    close = staged(_with_words(docs, _close_candidates(lines)), "close-lines")
+    close = staged(_with_words(docs, _close_candidates(lines, min_words)), "close-lines")
     partners = _partners(staged(_variants(close), "variants"))
     texts = close.groupBy("place").agg(F.first("words").alias("words"))
     return (
@@ -162,42 +170,44 @@ def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_nos): the lines, counted from 0, of which an earlier one is equal or within one word.
 
     Earlier means a smaller document id or, in the same document, a smaller line number; both lines are judged
-    as they are in the input. Blank lines, null texts and rows without an id have no repeated lines. Rows that
+    as they are in the input. The word may differ if both lines have ``min_words`` words or more; shorter lines are
+    repeats only if all their words are equal. Blank lines, null texts and rows without an id have no repeated lines. Rows that
     repeat a document id count as one document and lose the same lines.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(_distinct_lines(slim), "lines")
-    near = staged(near_repeats(slim, lines), "near-lines").withColumn("near", F.lit(True))
+    rows = staged(_lines(slim, min_words), "all-lines")
+    lines = staged(_distinct_lines(rows), "lines")
+    near = staged(near_repeats(slim, lines, min_words), "near-lines").withColumn("near", F.lit(True))
     marks = (
         lines.join(near, "place", "left").where("times > 1 or near")
         .select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     )
     return (
-        _lines(slim).select("doc_id", "line", "h1", "h2").join(marks, ["h1", "h2"])
+        rows.select("doc_id", "line", "h1", "h2").join(marks, ["h1", "h2"])
         .where(F.col("near") | (F.col("first") < _place("doc_id", "line")))
         .groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("line_nos"))
     )
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and columns n_lines and n_removed; all rows stay.
 
-    A text all of whose lines go becomes empty; a null text stays null, with no lines.
+    A text all of whose lines go becomes empty; a null text stays null, with no lines. Columns of the input named
+    n_lines or n_removed give way to the new ones.
     """
-    taken = {"n_lines", "n_removed"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"the columns {sorted(taken)} are there already")
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_gone_id"), F.col("line_nos").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)))
-    columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(
-        *columns,
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("gone_id"), "line_nos")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("gone_id"))
+    text = F.col("row").getField(text_col)
+    lines = F.split(text.cast("string"), "\n", -1)
+    kept = F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains("line_nos", i)))
+    new = {text_col: F.when(F.col("line_nos").isNull(), text).otherwise(kept)}
+    new["n_lines"] = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    new["n_removed"] = F.coalesce(F.size("line_nos"), F.lit(0)).cast("long")
+    columns = [c for c in docs.columns if c not in new or c == text_col]
+    return whole.join(gone, "gone_id", "left").select(
+        *[new.get(c, F.col("row").getField(c)).alias(c) for c in columns], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed")
     )

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -445,3 +446,54 @@ def test_counts_of_whole_texts(docs, nothing):
     library.encode_special_tokens = True
     assert collections.Counter((r.doc_id, r.n_tokens) for r in rows) == collections.Counter((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in ROWS)
     assert token_counts.count_tokens(nothing, path, public_tokenizers.PATTERN, "v").count() == 0
+
+
+# Contracts on inputs that once broke them
+
+
+def test_words_that_only_bytes_tell_apart(enc, library):
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    for texts in ([word, other], [other, word]):
+        fresh = bpe.Encoder(PATH)
+        got = [np.frombuffer(raw, "<u4").tolist() for raw in fresh.encode_many(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_in_parts_are_the_whole(library, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    enc = bpe.Encoder(PATH, memo_words=20)
+    rng = random.Random(6)
+    words = ["the", "é", "don't", "1½", "ΣΑΣ", "x̂", "<|endoftext|>", "日本", "a" * 70, "\n", "\t", "  ", "ee're"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 200))) for _ in range(40)] + ["", None, "x" * 300]
+    for text, raw in zip(texts, enc.encode_many(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+        assert b"".join(enc.encode_parts(text or "")) == raw
+
+
+def test_many_strings_round_one_phrase(shared):
+    rng = np.random.default_rng(0)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    raw = letters[rng.integers(0, 26, (400_000, 50))]
+    raw[:, 15:35] = np.frombuffer(b"mbwlmkiawjluycjtkrfj", np.uint8)
+    rows = pa.table({"doc_id": pa.array(np.arange(len(raw))), "text": pa.array([r.tobytes().decode() for r in raw])})
+    found = suffix_dedup.repeated_spans(shared.createDataFrame(rows.to_pandas()))
+    assert len({r.tobytes() for r in raw}) == len(raw) and found.where("n_removed > 0").count() == 0
+
+
+def test_line_dedup_beside_clashing_columns(docs):
+    frame = docs.selectExpr("*", "'a' as _gone", "'b' as _gone_id", "array(7) as line_nos", "1 as gone_id", "'c' as n_lines", "'d' as n_removed", "2 as row")
+    plain = line_dedup.drop_repeated_lines(docs)
+    rich = line_dedup.drop_repeated_lines(frame)
+    assert set(rich.columns) == set(frame.columns) and rich.schema["n_lines"].dataType.simpleString() == "bigint"
+    columns = ["doc_id", "text", "n_lines", "n_removed"]
+    assert sorted(map(str, rich.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    assert {r._gone for r in rich.collect()} == {"a"}
+
+
+def test_min_words_of_line_dedup(shared):
+    frame = shared.createDataFrame([(1, "one two three four"), (2, "one two three five")], "doc_id long, text string")
+    removed = {m: [r.n_removed for r in line_dedup.drop_repeated_lines(frame, min_words=m).orderBy("doc_id").collect()] for m in (4, 5)}
+    assert removed == {4: [0, 1], 5: [0, 0]}
