@@ -38,6 +38,21 @@ def totals_of_marks(df: DataFrame, by=(), mark: str = "pii", extra=()) -> DataFr
     )
 
 
+def totals_of_tables(df: DataFrame, head: str, by=(), mark: str = "pii", extra=()) -> DataFrame:
+    """:func:`totals_of_marks` for tables whose header is a row, marked by the column ``head``.
+
+    A header's findings count as found; it is no processed or affected row. A table of a header alone has a row too.
+    """
+    m, body = F.col(mark), ~F.col(head)
+    return df.groupBy(*by).agg(
+        *extra,
+        F.coalesce(F.sum(m["found"]), F.lit(0)).alias("pii_found"),
+        F.count_if(body).alias("rows_processed"),
+        F.count_if(body & (m["found"] > 0)).alias("rows_affected"),
+        F.coalesce(F.sum(F.when(body, m["cells"])), F.lit(0)).alias("cells_affected"),
+    )
+
+
 def types_of_marks(df: DataFrame, types=None, by=(), mark: str = "pii") -> DataFrame:
     """Spans per type over marked rows, in long form (``by``, pii_type, n > 0)."""
     chosen = parse_types(types)

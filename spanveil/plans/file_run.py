@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import TypeNotAllowed, parse_types
 from ..functions.naming import base_name, file_kind, output_name, preview
-from ..functions.spans import quoted
 from ..operators.limits import UNLIMITED, Quota, cell_error, row_error, validate_files
 from ..operators.model import detect_with_model, model_cell_spans
-from ..operators.scrub import scrub_cells, scrub_detected, scrub_marked, scrub_names
-from ..operators.stats import totals_of_marks, type_counts, types_of_marks
-from ..sources.files import AT, FILE, RAGGED, csv_header, file_name, read_csv_checked, read_lines, read_texts, split_by_kind
-from ..sources.sinks import csv_array_record, csv_line, csv_record, preview_records, write_csv, write_lines
+from ..operators.scrub import scrub_cells, scrub_detected, scrub_marked
+from ..operators.stats import totals_of_marks, totals_of_tables, types_of_marks
+from ..sources.files import AT, FILE, list_files, read_csv_records, read_lines, read_texts
+from ..sources.sinks import csv_array_record, preview_records, write_lines
 from ..sources.workbook import read_workbooks
 from ..sources.workspace import small_side, staged
 
@@ -26,9 +25,12 @@ MODEL_ERROR = "_model_error"
 
 @dataclass
 class FileScrub:
-    """Scrubbed rows by shape, and one report row per file."""
+    """Scrubbed rows by shape, and one report row per file.
 
-    tables: list[DataFrame]
+    ``tables`` and ``workbooks`` hold each record in ``cells``, headers included.
+    """
+
+    tables: DataFrame | None
     workbooks: DataFrame | None
     texts: DataFrame | None
     lines: DataFrame | None
@@ -42,9 +44,9 @@ class FileScrub:
         """
         good = small_side(self.report.where("success").select(FILE))
         kept = lambda rows: rows.join(good, FILE, "left_semi").withColumn("of", _folder_tag(FILE))
-        for i, rows in enumerate(self.tables):
-            ordered = _in_order(kept(rows), AT).drop(FILE, AT, "pii")
-            write_csv(ordered, f"{path}/tables{i}", partition_by=["of", "out_file"])
+        if self.tables is not None:
+            rows = _in_order(kept(self.tables), AT).withColumn("line", csv_array_record("cells"))
+            write_lines(rows, f"{path}/tables", partition_by=["of", "out_file"])
         if self.workbooks is not None:
             rows = _in_order(kept(self.workbooks), "row_idx").withColumn("line", csv_array_record("cells"))
             write_lines(rows, f"{path}/workbooks", partition_by=["of", "out_file"])
@@ -82,28 +84,26 @@ def scrub_files(
     model_errors: str = "fail",
     multiline: bool = True,
     check_cells: bool = False,
-    one_header: bool = False,
     stage: bool = True,
 ) -> FileScrub:
-    """Scrub CSV, XLSX, text and JSON files.
-
-    Files are read by kind, one scan per distinct CSV header; unknown kinds
-    are text. Headers are read one file at a time unless ``one_header`` says that
-    all CSV files share one. ``text_mode`` says whether text and JSON files are scrubbed whole (``document``) or line
-    by line (``line``); it holds for every file of the run, whatever its size. A model that fails on a row of a file fails
-    the file; with ``model_errors="warn"`` the file counts as successful and its ``warning`` says so. A file over a quota,
-    of a kind that cannot be read (``xls``) or with ragged records fails alone: its report row has the error, and
-    ``save_successful`` leaves it out. Scrubbed rows are written once to the shared
-    folder, from which report and output are made; ``stage=False`` keeps
-    everything lazy and scrubs again for each of them.
+    """Scrub the CSV, XLSX, text and JSON files among ``paths``: files, folders at any depth, globs.
+
+    The listing decides: each file found is read by its own kind (unknown kinds are text) and has one report row. All
+    CSV files are one scan, whatever their headers; a header is scrubbed and counted like its file's other records, by
+    the model too, and written first, so a file of a header alone is found and written. ``text_mode`` says whether text
+    and JSON files are scrubbed whole (``document``) or line by line (``line``); it holds for every file of the run,
+    whatever its size. A model that fails on a row of a file fails the file; with ``model_errors="warn"`` the file
+    counts as successful and its ``warning`` says so. A file over a quota, of a kind that cannot be read (``xls``) or
+    with records of another width than its header fails alone: its report row has the error, and ``save_successful``
+    leaves it out. Scrubbed rows are written once to the shared folder, from which report and output are made;
+    ``stage=False`` keeps everything lazy and scrubs again for each of them.
     """
     if text_mode not in ("document", "line"):
         raise ValueError("text_mode must be document or line")
     if model_errors not in ("fail", "warn"):
         raise ValueError("model_errors must be fail or warn")
-    listing = spark.read.format("binaryFile").load(paths)
-    files = listing.select(file_name(F.col("path")).alias(FILE), F.col("length").alias("size_bytes"))
-    status = validate_files(files, quota)
+    files = list_files(spark, paths)
+    status = validate_files(files.drop("kind"), quota)
     unreadable = F.when(file_kind(FILE) == "xls", F.lit("Legacy XLS workbooks cannot be read; save the file as XLSX"))
     status = status.withColumn("error", F.coalesce("error", unreadable)).withColumn("success", F.col("error").isNull())
     try:
@@ -124,75 +124,56 @@ def scrub_files(
 
     if quota.max_files is not None and files.count() > quota.max_files:
         return _nothing(status)
-    groups = split_by_kind(paths)
-    tables, totals, type_parts, books = [], [], [], None
+    kinds = {r["kind"] for r in files.select("kind").distinct().collect()}  # five at most
+    tables = books = texts = lines = None
+    totals, type_parts = [], []
     no_preview = F.lit(None).cast("string")
 
-    def account(df: DataFrame, ragged, n_cells, shown=None, header_found: int = 0, previews=None, head_types=()) -> None:
-        extra = [ragged.alias("n_ragged"), F.min(MODEL_ERROR).alias("model_error"), F.max(no_preview if shown is None else shown).alias("preview")]
-        per_file = totals_of_marks(df, [FILE], extra=extra)
-        if previews is not None:
-            per_file = per_file.drop("preview").join(previews, FILE, "left")
-        per_file = per_file.withColumn("pii_found", F.col("pii_found") + header_found)
-        totals.append(per_file.withColumn("n_cells", F.col("rows_processed") * n_cells))
-        type_parts.append(types_of_marks(df, chosen, [FILE]))
-        if head_types:
-            pairs = F.array(*[F.struct(F.lit(t).alias("pii_type"), F.lit(n).cast("bigint").alias("n")) for t, n in head_types])
-            type_parts.append(df.select(FILE).distinct().select(FILE, F.inline(pairs)))
-
-    by_header: dict[tuple, list[str]] = {}
-    csv_paths = groups.get("csv", [])
-    if one_header and csv_paths:
-        by_header[tuple(csv_header(spark, csv_paths[0]))] = csv_paths
-    else:
-        for path in csv_paths:
-            by_header.setdefault(tuple(csv_header(spark, path)), []).append(path)
-    for header, members in by_header.items():
-        rows = read_csv_checked(spark, members, list(header), multiline, max_bytes=quota.max_file_bytes)
-        done = scrubbed(rows, list(header))
-        named, header_found = scrub_names(done.select(*[quoted(c) for c in header]), chosen, method, salt)
-        head = csv_line(named.columns)
-        shown = preview_records(done, csv_record(header), AT, FILE, head)
-        names = spark.createDataFrame([(n,) for n in header], "name string")
-        head_types = [tuple(r) for r in type_counts(names, ["name"], chosen).collect()] if header_found else ()
-        account(done, F.count_if(RAGGED).cast("int"), len(header), header_found=header_found, previews=shown, head_types=head_types)
-        renamed = [F.col(quoted(a)).alias(b) for a, b in zip(header, named.columns, strict=True)]
-        tables.append(done.select(FILE, AT, "out_file", *renamed, "pii"))
-
-    if groups.get("xlsx"):
-        book = read_workbooks(spark, groups["xlsx"])
-        broken = book.where("error is not null").select(FILE, F.col("error").alias("book_error"))
-        status = status.join(broken, FILE, "left")
-        error = F.coalesce("error", "book_error")
-        status = status.select(FILE, "size_bytes", error.isNull().alias("success"), error.alias("error"))
-        rows = book.where("error is null").drop("error")
+    def account(per_file: DataFrame, rows: DataFrame, previews: DataFrame | None = None) -> None:
+        totals.append(per_file if previews is None else per_file.drop("preview").join(previews, FILE, "left"))
+        type_parts.append(types_of_marks(rows, chosen, [FILE]))
+
+    def cells_scrubbed(rows: DataFrame) -> DataFrame:
         found = None
         if factory is not None:
             rows, found = model_cell_spans(rows, factory, "cells", chosen, error=MODEL_ERROR), "_model"
         else:
             rows = rows.withColumn(MODEL_ERROR, F.lit(None).cast("string"))
         done = scrub_cells(rows, "cells", chosen, method, salt, found).withColumn("out_file", output_name(FILE))
-        books = staged(done, "scrubbed") if stage else done
-        head = books.where("row_idx = 0").select(FILE, F.col("pii.found").alias("head_found"))
-        shown = preview_records(books, csv_array_record("cells"), "row_idx", FILE)
-        account(books.where("row_idx > 0"), F.max(F.lit(0)), 1, previews=shown)
-        width = books.where("row_idx = 0").select(FILE, F.size("cells").alias("width"))
-        with_head = totals[-1].join(head, FILE, "left").join(width, FILE, "left")
-        total = F.col("pii_found") + F.coalesce("head_found", F.lit(0))
-        counted = {"pii_found": total, "n_cells": F.col("rows_processed") * F.col("width")}
-        totals[-1] = with_head.withColumns(counted).drop("head_found", "width")
-        type_parts.append(types_of_marks(books.where("row_idx = 0"), chosen, [FILE]))
-
-    text_paths = [p for kind in ("txt", "json") for p in groups.get(kind, [])]
-    texts = lines = None
-    if text_paths and text_mode == "document":
-        whole = read_texts(spark, text_paths, quota.max_file_bytes)
-        texts = scrubbed(whole, ["text"])
-        account(texts, F.max(F.lit(0)), 1, shown=preview("text"))
-    if text_paths and text_mode == "line":
-        split = read_lines(spark, text_paths, quota.max_file_bytes)
-        lines = scrubbed(split, ["line"])
-        account(lines, F.max(F.lit(0)), 1, previews=preview_records(lines, F.col("line"), AT, FILE))
+        return staged(done, "scrubbed") if stage else done
+
+    def table_account(rows: DataFrame, at: str, ragged: bool) -> None:
+        """Totals of tables whose first record is the header; the headers are one row for each file."""
+        heads = rows.groupBy(FILE).agg(F.min(at).alias("_first"), F.min_by(F.size("cells"), at).alias("_width"))
+        marked = rows.join(small_side(heads), FILE).withColumn("_head", F.col(at) == F.col("_first"))
+        uneven = F.count_if(F.size("cells") != F.col("_width")) if ragged else F.lit(0)
+        extra = [uneven.cast("int").alias("n_ragged"), F.min(MODEL_ERROR).alias("model_error"), F.max("_width").alias("_width")]
+        per_file = totals_of_tables(marked, "_head", [FILE], extra=extra).withColumn("n_cells", F.col("rows_processed") * F.col("_width"))
+        account(per_file.drop("_width").withColumn("preview", no_preview), rows, preview_records(rows, csv_array_record("cells"), at, FILE))
+
+    if "csv" in kinds:
+        tables = cells_scrubbed(read_csv_records(spark, paths, multiline, quota.max_file_bytes))
+        table_account(tables, AT, ragged=True)
+    if "xlsx" in kinds:
+        book = read_workbooks(spark, paths)
+        broken = book.where("error is not null").select(FILE, F.col("error").alias("book_error"))
+        status = status.join(broken, FILE, "left")
+        error = F.coalesce("error", "book_error")
+        status = status.select(FILE, "size_bytes", error.isNull().alias("success"), error.alias("error"))
+        books = cells_scrubbed(book.where("error is null").drop("error"))
+        table_account(books, "row_idx", ragged=False)
+
+    def text_totals(rows: DataFrame, shown=no_preview) -> DataFrame:
+        extra = [F.lit(0).alias("n_ragged"), F.min(MODEL_ERROR).alias("model_error"), F.max(shown).alias("preview")]
+        return totals_of_marks(rows, [FILE], extra=extra).withColumn("n_cells", F.col("rows_processed"))
+
+    plain = sorted(kinds & {"txt", "json"})
+    if plain and text_mode == "document":
+        texts = scrubbed(read_texts(spark, paths, quota.max_file_bytes, plain), ["text"])
+        account(text_totals(texts, preview("text")), texts)
+    if plain and text_mode == "line":
+        lines = scrubbed(read_lines(spark, paths, quota.max_file_bytes, plain), ["line"])
+        account(text_totals(lines), lines, preview_records(lines, F.col("line"), AT, FILE))
 
     if not totals:
         return _nothing(status)
@@ -239,4 +220,4 @@ def _nothing(status: DataFrame) -> FileScrub:
         *[v.alias(k) for k, v in zero.items()],
     )
     empty = status.where("false").select(FILE, F.lit("").alias("pii_type"), F.lit(0).cast("bigint").alias("n"))
-    return FileScrub([], None, None, None, report, empty)
+    return FileScrub(None, None, None, None, report, empty)

@@ -38,10 +38,12 @@ from ..operators.model import (
 from ..operators.scrub import scrub, scrub_marked
 from ..operators.stats import batch_totals, profile, stats, type_counts
 from ..sources.files import (
+    named_cells,
     number_lines,
     read_csv,
     read_csv_checked,
     read_lines,
+    read_numbered_lines,
     read_texts,
     route_units,
     without_files,
@@ -52,7 +54,7 @@ from ..sources.workspace import fresh_path, small_side, table
 from ..streaming.progress import observe_batch
 from ..streaming.scrub import running_type_counts, scrub_stream, stream_lines, stream_table, write_stream
 from . import oracle as o
-from .fixtures import as_workbooks, corpus, documents, failing_model, people, people_values, stub_model
+from .fixtures import as_workbooks, corpus, documents, failing_model, naming_model, people, people_values, stub_model
 from .file_run import scrub_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,15 +601,26 @@ def quota_types(spark, root):
     return parse_type_names(spark, root).withColumn("error", type_error(F.col("type_id"), limited))
 
 
-@query(
-    "isolate_failed_files",
-    "select doc_id as id, source as file from documents where source in "
-    "(select source from documents group by source having count(*) <= 50)",
+# Files of the median size and below pass, at any scale.
+_MEDIAN_SOURCES = (
+    "(select source from documents group by source having count(*) <= "
+    "(select quantile_disc(n, 0.5) from (select count(*) as n from documents group by source)))"
 )
+
+
+def _within_median(spark, root) -> DataFrame:
+    """Status of sources against a row quota of their median size."""
+    counted = table(spark, root, "documents").groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    median = counted.agg(F.expr("percentile_disc(0.5) within group (order by n_rows)").alias("m")).first()["m"]
+    error = row_error(F.col("n_rows"), Quota(max_rows_per_file=int(median)))
+    return counted.select("file", "n_rows", error.isNull().alias("success"), error.alias("error"))
+
+
+@query("isolate_failed_files", f"select doc_id as id, source as file from documents where source in {_MEDIAN_SOURCES}")
 def isolate_failed_files(spark, root):
     """Rows of files within the row quota; failing files drop out as a whole."""
     rows = table(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
-    good, _ = split_by_status(rows, quota_rows(spark, root))
+    good, _ = split_by_status(rows, _within_median(spark, root))
     return good.select("id", "file")
 
 
@@ -700,16 +713,15 @@ def confident_entities(spark, root):
 
 @query(
     "length_gate",
-    "select lang as id, count(*)::bigint as n, count(*) filter (strlen(w) >= 3)::bigint as n_long from "
-    "(select lang, unnest(string_split(text, ' ')) as w from documents) group by lang",
+    "select role as id, count(*)::bigint as n, "
+    "count(*) filter (strlen(w) >= 3 and trim(w, ' ' || chr(10) || chr(13) || chr(9)) <> '')::bigint as n_long from "
+    "(select role, unnest(string_split(text, ' ')) as w from conversations) group by role",
 )
 def length_gate(spark, root):
-    """Words the model would see, by the same byte-length gate."""
-    words = table(spark, root, "documents").select(
-        F.col("lang").alias("id"), F.explode(F.split("text", " ", -1)).alias("w")
-    )
-    long = F.octet_length("w") >= 3
-    return words.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("n_long"))
+    """Words that reach the model: one that takes any text for a name shows which."""
+    words = table(spark, root, "conversations").select(F.col("role").alias("id"), F.explode(F.split("text", " ", -1)).alias("w"))
+    seen = words.withColumn("n_found", F.size(predict("w", naming_model)["entities"]))
+    return seen.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_found") > 0).alias("n_long"))
 
 
 @query(
@@ -747,7 +759,7 @@ def join_row_cells(spark, root):
 
 _ROW_TEXT = """rowtext as (
   select c_custkey as id, c_name as a, concat('Dr', substr(lower(c_mktsegment), 1, 3), ' Ann') as b,
-    concat('Lee', ' ', upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) as c from customer),
+    concat('Leopoldina', ' ', upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) as c from customer),
 joined as (select id, concat_ws(' | ', a, b, c) as text, length(a) as la, length(b) as lb, length(c) as lc from rowtext),
 offs as (
   select id, 'a' as col, 0 as cs, la as ce from joined union all
@@ -760,7 +772,7 @@ def _row_texts(spark, root) -> DataFrame:
         "c_custkey as id",
         "c_name as a",
         "concat('Dr', substring(lower(c_mktsegment), 1, 3), ' Ann') as b",
-        "concat('Lee', ' ', upper(substring(c_mktsegment, 1, 1)), lower(substring(c_mktsegment, 2))) as c",
+        "concat('Leopoldina', ' ', upper(substring(c_mktsegment, 1, 1)), lower(substring(c_mktsegment, 2))) as c",
     )
 
 
@@ -781,10 +793,19 @@ def row_spans_to_cells(spark, root):
     return explode_spans(cells, {c: F.col("cells")[i] for i, c in enumerate(names)}, ["id"])
 
 
+# Documents, and for each customer a name that runs into an address: the model's span overlaps the pattern's.
+_CROSSING = "concat('Maximiliane Anna', lower(c_mktsegment), '@mail', cast(c_custkey as varchar(20)), '.example.com')"
+
+
+def _crossing_texts(spark, root) -> DataFrame:
+    persons = table(spark, root, "customer").selectExpr("-c_custkey as id", f"{_CROSSING} as text")
+    return documents(spark, root).select("id", "text").union(persons)
+
+
 @query(
     "merge_span_sources",
     o.with_(
-        o.DOCS,
+        f"docs as (select doc_id as id, text from documents union all select -c_custkey, {_CROSSING} from customer)",
         o.spans("docs", ALL_TYPES),
         o.stub_entities("docs"),
         o.model_spans("ents"),
@@ -795,15 +816,14 @@ def row_spans_to_cells(spark, root):
 )
 def merge_span_sources(spark, root):
     """Resolved pattern spans and model spans, merged and resolved again."""
-    rows = _predicted(spark, root).withColumns({"a": find_spans("text"), "b": model_spans("text", "entities")})
-    return span_rows(rows, merge_spans("a", "b"))
+    rows = _crossing_texts(spark, root).withColumn("p", predict("text", stub_model)).withColumn("entities", F.col("p.entities"))
+    return span_rows(rows.withColumns({"a": find_spans("text"), "b": model_spans("text", "entities")}), merge_spans("a", "b"))
 
 
 @query("general_detect", ORACLES["merge_span_sources"])
 def general_detect(spark, root):
     """Pattern and model detection in one call."""
-    docs = documents(spark, root).select("id", "text")
-    return span_rows(detect_with_model(docs, stub_model, ["text"], unit="cell"), F.col("text_spans"))
+    return span_rows(detect_with_model(_crossing_texts(spark, root), stub_model, ["text"], unit="cell"), F.col("text_spans"))
 
 
 @query(
@@ -1016,14 +1036,13 @@ def preview_texts(spark, root):
 
 @query(
     "save_successful",
-    "select source as file, count(*)::bigint as n_rows from documents where source in "
-    "(select source from documents group by source having count(*) <= 50) group by source",
+    f"select source as file, count(*)::bigint as n_rows from documents where source in {_MEDIAN_SOURCES} group by source",
 )
 def save_successful(spark, root):
     """Only the files that passed are written."""
     path = fresh_path(spark, "saved")
     docs = table(spark, root, "documents").select(F.col("source").alias("file"), "doc_id", "lang")
-    ok = successful(quota_rows(spark, root)).select("file")
+    ok = successful(_within_median(spark, root)).select("file")
     write_csv(docs.join(small_side(ok), "file", "left_semi"), path, partition_by=["file"])
     back = read_csv(spark, f"{path}/file=*/*.csv", ["doc_id", "lang"], with_file=True)
     named = back.withColumn("file", F.regexp_extract("file", "file=([^/]+)", 1))
@@ -1048,8 +1067,7 @@ def file_report(spark, root):
     rows = people(spark, root).join(nations, "id")
     # A nation's rows go to a few tasks, never to one: bounded file counts without a hot task.
     write_csv(rows.repartition("c_nationkey", F.col("id") % 4), path, partition_by=["c_nationkey"])
-    listed = spark.read.format("binaryFile").load(f"{path}/c_nationkey=*/*.csv")
-    run = scrub_files(spark, listed.inputFiles(), multiline=False, one_header=True)
+    run = scrub_files(spark, [path], multiline=False)
     report = run.report.withColumn("file", F.regexp_extract("file", "c_nationkey=([^/]+)", 1))
     sums = ("pii_found", "rows_processed", "rows_affected", "cells_affected")
     return report.groupBy("file").agg(
@@ -1057,6 +1075,66 @@ def file_report(spark, root):
     )
 
 
+@query(
+    "mixed_folder_report",
+    "select 'plain' as folder, 'csv' as file_type, count(*)::bigint as pii_found, count(*)::bigint as rows_processed, "
+    "count(*)::bigint as rows_affected, count(*)::bigint as cells_affected, true as success from customer where c_custkey % 2 = 0 "
+    "union all select 'swapped', 'csv', count(*), count(*), count(*), count(*), true from customer where c_custkey % 2 = 1 "
+    "union all select 'headers', 'csv', 1, 0, 0, 0, true "
+    "union all select 'notes', 'log', count(*), count(*), count(*), count(*), true from supplier",
+)
+def mixed_folder_report(spark, root):
+    """One folder, one call: tables with their columns in either order, a table of a header alone, and logs."""
+    path = fresh_path(spark, "mixed")
+    rows = table(spark, root, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("user"), "c_custkey", F.lit("@mail.example.com")).alias("mail")
+    )
+    write_csv(rows.where("id % 2 = 0"), f"{path}/plain")
+    write_csv(rows.where("id % 2 = 1").select("mail", "id"), f"{path}/deep/swapped")
+    write_csv(rows.where("false").select(F.col("mail").alias("ann.lee@mail.example.com"), F.col("id").alias("n")), f"{path}/headers")
+    notes = table(spark, root, "supplier").select(F.concat(F.lit("mail to s"), "s_suppkey", F.lit("@mail.example.com")).alias("value"))
+    notes.write.option("compression", "none").text(f"{path}/notes")
+    run = scrub_files(spark, [path], types=["email"], multiline=False, text_mode="line")
+    folder = F.regexp_extract("file", "/([^/]+)/[^/]+$", 1)
+    kind = F.when(F.col("file_type") == "txt", F.lit("log")).otherwise(F.col("file_type"))
+    sums = ("pii_found", "rows_processed", "rows_affected", "cells_affected")
+    written = run.report.where(~F.element_at(F.split("file", "/"), -1).startswith("_"))
+    return written.groupBy(folder.alias("folder"), kind.alias("file_type")).agg(
+        *[F.sum(c).alias(c) for c in sums], F.bool_and("success").alias("success")
+    )
+
+
+@query(
+    "csv_columns_by_file",
+    "select c_custkey as id, 'u***@mail.example.com' as mail from customer",
+)
+def csv_columns_by_file(spark, root):
+    """Files with columns in either order, scrubbed in one scan; each file's own header says which cell is which."""
+    path = fresh_path(spark, "orders")
+    rows = table(spark, root, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("user"), "c_custkey", F.lit("@mail.example.com")).alias("mail")
+    )
+    write_csv(rows.where("id % 2 = 0"), f"{path}/plain")
+    write_csv(rows.where("id % 2 = 1").select("mail", "id"), f"{path}/swapped")
+    run = scrub_files(spark, [path], types=["email"], multiline=False)
+    named = named_cells(run.tables, ["id", "mail"])
+    return named.select(F.col("id").cast("long").alias("id"), "mail")
+
+
+@query(
+    "file_line_numbers",
+    "select item_id as id, (generate_subscripts(l, 1) - 1)::bigint as line_no, unnest(l) as line from "
+    "(select item_id, string_split(replace(text, ' ', chr(10)), chr(10)) as l from benchmark)",
+)
+def file_line_numbers(spark, root):
+    """Lines with their number in their file, though files may be split between tasks."""
+    path = fresh_path(spark, "numbered")
+    words = F.replace("text", F.lit(" "), F.lit("\n"))
+    write_texts(table(spark, root, "benchmark").select(F.col("item_id").cast("string").alias("out_file"), words.alias("text")), path)
+    rows = read_numbered_lines(spark, f"{path}/out_file=*/*")
+    return rows.select(F.regexp_extract("file", "out_file=([^/]+)", 1).cast("long").alias("id"), "line_no", "line")
+
+
 @query("scrub_csv_files", ORACLES["csv_write"].replace("cast(c.pid as varchar) as id", "cast(c.pid as varchar) as id"))
 def scrub_csv_files(spark, root):
     """A CSV table of any size: read by splits, scrubbed in place."""

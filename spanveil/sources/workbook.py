@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.naming import file_kind
 from .files import file_name
 
 SHEET_SCHEMA = "file string, sheet string, row_idx long, cells array<string>, error string"
@@ -112,5 +113,7 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
 
 
 def read_workbooks(spark: SparkSession, paths) -> DataFrame:
-    binary = spark.read.format("binaryFile").load(paths)
+    """Rows of every workbook under files, folders (at any depth) and globs."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    binary = found.where(file_kind("path") == "xlsx")
     return parse_workbooks(binary.select(file_name(F.col("path")).alias("file"), "content"))

@@ -8,7 +8,9 @@ from spanveil.functions.catalog import TypeNotAllowed, parse_method, parse_types
 from spanveil.functions.naming import file_kind, output_name, preview, reported_extension
 from spanveil.operators.limits import cell_error, split_by_status, validate_files
 from spanveil.plans.fixtures import workbook_bytes
-from spanveil.sources.files import kind_of, number_lines, read_csv, read_csv_checked, read_lines, read_texts, split_by_kind
+from spanveil.sources.files import (
+    csv_cells, kind_of, number_lines, read_csv, read_csv_checked, read_lines, read_numbered_lines, read_texts, split_by_kind,
+)
 from spanveil.sources.sinks import preview_records, write_csv
 from spanveil.sources.workbook import read_workbooks
 from spanveil.sources.workspace import shared_dir, small_side, staged
@@ -203,3 +205,79 @@ def test_workspace(spark, tmp_path):
     small = small_side(frame, 5)._jdf.queryExecution().logical().toString()
     assert "hint" not in small.lower() and "hint" in small_side(frame)._jdf.queryExecution().logical().toString().lower()
     assert split_by_kind(["a.csv", "b.TXT", "c"]) == {"csv": ["a.csv"], "txt": ["b.TXT", "c"]}
+
+
+def test_mixed_folder_by_its_listing(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    files = {
+        "a.csv": "id,m\n1,x@y.io\n2,plain\n",
+        "deep/b.CSV": "m,id\nq@w.org,7\n",
+        "deep/head.csv": "a@b.com,c\n",
+        "names.csv": 'id,,id,"a ""b"", c"\n1,2,3,"5 ""6"""\n',
+        "one.csv": "only\nv@x.io\n\"v,2\"\n",
+        "none.csv": "",
+        "deep/t.log": "call 10.0.0.1",
+        "old.xls": "x",
+    }
+    for name, body in files.items():
+        (tmp_path / "in" / name).write_text(body)
+    (tmp_path / "in" / "w.xlsx").write_bytes(workbook_bytes([["h@x.io"]]))
+    for multiline in (True, False):
+        run = scrub_files(spark, [str(tmp_path / "in")], multiline=multiline)
+        got = {r.file.rsplit("/", 1)[1]: r for r in run.report.collect()}
+        assert {k: (r.file_type, r.success, r.pii_found, r.rows_processed, r.rows_affected, r.cells_affected) for k, r in got.items()} == {
+            "a.csv": ("csv", True, 1, 2, 1, 1),
+            "b.CSV": ("csv", True, 1, 1, 1, 1),
+            "head.csv": ("csv", True, 1, 0, 0, 0),
+            "names.csv": ("csv", True, 0, 1, 0, 0),
+            "one.csv": ("csv", True, 1, 2, 1, 1),
+            "none.csv": ("csv", True, 0, 0, 0, 0),
+            "t.log": ("txt", True, 1, 1, 1, 1),
+            "old.xls": ("xls", False, 0, 0, 0, 0),
+            "w.xlsx": ("xlsx", True, 1, 0, 0, 0),
+        }
+        assert got["head.csv"].preview == "***@b.com,c\n" and got["b.CSV"].preview == "m,id\n***@w.org,7\n"
+        run.save_successful(str(tmp_path / f"out{multiline}"))
+        written = {p.parent.name: p.read_text() for p in (tmp_path / f"out{multiline}").rglob("part-*")}
+        assert written["out_file=a_scrubbed.csv"] == "id,m\n1,***@y.io\n2,plain\n"
+        assert written["out_file=head_scrubbed.csv"] == "***@b.com,c\n" and written["out_file=names_scrubbed.csv"] == files["names.csv"]
+        assert {(r.file.rsplit("/", 1)[1], r.pii_type): r.n for r in run.type_report.collect()}[("head.csv", "Email Address")] == 1
+
+
+def test_the_model_sees_headers(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("John Smith,id\nplain,1\n")
+
+    def names():
+        return lambda texts: [[("PER", m.start(), m.end(), 0.9) for m in re.finditer("[A-Z][a-z]+ [A-Z][a-z]+", t)] for t in texts]
+
+    run = scrub_files(spark, [str(tmp_path)], factory=names)
+    assert run.report.first().pii_found == 1 and run.report.first().preview == "**********,id\nplain,1\n"
+
+
+@pytest.mark.parametrize("record", ['a,b', '"a,b",c', '"a ""b"", c",', ',', '""', '"x\ny",z', 'a"b,c', '\x01,\x02,"q,\x01,\x02"', ',"",""""', '"' + 'x""' * 5000 + '",y'])
+def test_cells_of_a_record(spark, record):
+    import csv
+    import io
+
+    if 'a"b' not in record:
+        want = next(csv.reader(io.StringIO(record, newline="")))
+    else:
+        want = ['a"b,c']
+    got = spark.createDataFrame([(record,)], "r string").select(csv_cells(F.col("r")).alias("c")).first().c
+    assert got == want
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    bodies = {"a.txt": "".join(f"line {i} {'x' * (i % 90)}\n" for i in range(900)), "b.txt": "one\r\n\nthree", "c.txt": "", "d.txt": "\n\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = read_numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(name, i, line) for name, body in bodies.items() for i, line in enumerate(re.split("\r?\n", body)) if body and (i < len(re.split("\r?\n", body)) - 1 or line)]
+    assert got == sorted(want)
