@@ -429,28 +429,24 @@ def scrub_document_lines(spark, root):
     return scrub(number_lines(documents(spark, root), keys=("id",)), ["line"])
 
 
-# Fixed value of these two queries: texts above this many bytes go line by line.
-_ROUTE_BYTES = 2000
-
-
 @query(
-    "route_by_size",
+    "route_by_kind",
     o.with_(
         _DOC_LINES,
-        f"""routed as (
+        """routed as (
   select concat('d', cast(doc_id as varchar(20))) as id, doc_id, 'document' as unit, 0 as line_no, text
-  from documents where strlen(text) <= {_ROUTE_BYTES}
+  from documents where lang = 'en'
   union all select n.id, n.doc_id, 'line', n.line_no, n.text from numbered n join documents d using (doc_id)
-  where strlen(d.text) > {_ROUTE_BYTES})""",
+  where lang <> 'en')""",
         o.spans("routed", ALL_TYPES),
         o.spliced("routed", "kept", "mask"),
     )
     + "select r.doc_id as id, r.unit, r.line_no::integer as line_no, s.text from scrubbed s join routed r using (id)",
 )
-def route_by_size(spark, root):
-    """Small texts as one value, large ones line by line."""
-    units = route_units(documents(spark, root), _ROUTE_BYTES, keys=("id",))
-    return scrub(units, ["text"])
+def route_by_kind(spark, root):
+    """Texts of one kind as one value each, all others line by line."""
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return scrub(route_units(docs, F.col("lang") != "en", keys=("id",)), ["text"])
 
 
 # ----------------------------------------------------------------- counting

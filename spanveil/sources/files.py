@@ -212,16 +212,17 @@ def number_lines(texts: DataFrame, text: str = "text", keys=(FILE,)) -> DataFram
     return texts.select(*keys, F.posexplode(lines_of(text)).alias("line_no", "line"))
 
 
-def route_units(texts: DataFrame, max_bytes: int, text: str = "text", keys=(FILE,)) -> DataFrame:
-    """Texts up to ``max_bytes`` whole, larger ones line by line, in one scan.
+def route_units(texts: DataFrame, by_line: Column, text: str = "text", keys=(FILE,)) -> DataFrame:
+    """Texts whole, or line by line where ``by_line`` says so, in one scan: keys, unit, line_no and the text.
 
-    Gives keys, unit (``document`` or ``line``), line_no and the text.
+    The caller says which texts are lines, by their kind for example. Size plays no part: a value across a line end
+    would be found in a short text and missed in a long one.
     """
-    large = F.octet_length(F.col(quoted(text))) > max_bytes
-    units = F.when(large, lines_of(text)).otherwise(F.array(F.col(quoted(text))))
+    lines = F.coalesce(by_line, F.lit(False))
+    units = F.when(lines, lines_of(text)).otherwise(F.array(F.col(quoted(text))))
     return texts.select(
         *keys,
-        F.when(large, F.lit("line")).otherwise(F.lit("document")).alias("unit"),
+        F.when(lines, F.lit("line")).otherwise(F.lit("document")).alias("unit"),
         F.posexplode(units).alias("line_no", text),
     )
 
