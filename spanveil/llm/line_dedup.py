@@ -32,7 +32,7 @@ _MASK = (1 << 48) - 1  # a line's sum of so small hashes does not overflow
 
 def _words(line: Column) -> Column:
     """The words of a line; only one that holds other blanks than spaces takes the slower split."""
-    return F.filter(F.when(line.rlike(_BLANKS), F.split(line, _GAPS)).otherwise(F.split(line, " ")), lambda w: w != "")
+    return F.array_remove(F.when(line.rlike(_BLANKS), F.split(line, _GAPS)).otherwise(F.split(line, " ")), "")
 
 
 def _place(doc: str, line: str) -> Column:
