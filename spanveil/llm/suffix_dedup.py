@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from spanveil.sources.workspace import staged
 LENGTH = 50
 NAME = 20
 WINDOWS = LENGTH - NAME + 1
+# Bytes of text whose runs are folded and sent together.
+FOLD_BYTES = 12 << 20
 # Bytes ranked together; positions in a block must fit 24 bits, so longer documents are ranked in overlapping parts.
 BLOCK_BYTES = 1 << 20
 
@@ -130,6 +133,18 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most FOLD_BYTES of text, or of one text."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + FOLD_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 _PACKED = "bucket int, n int, packed binary"
 
 
@@ -172,7 +187,7 @@ def _runs(docs: DataFrame, parts: int) -> DataFrame:
     smallest id, and the others come with the name 0 as already known to be repeated, dealt out by what else they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             name, longer, text, first, count = named_runs(_bytes(batch.column("text")))
             doc = ids[text]
