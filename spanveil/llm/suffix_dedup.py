@@ -35,7 +35,7 @@ LENGTH = 50
 NAME = 20
 WINDOWS = LENGTH - NAME + 1
 # Bytes of text whose runs are folded and sent together.
-FOLD_BYTES = 12 << 20
+FOLD_BYTES = 6 << 20
 # Bytes ranked together; positions in a block must fit 24 bits, so longer documents are ranked in overlapping parts.
 BLOCK_BYTES = 1 << 20
 
