@@ -35,6 +35,7 @@ from ..operators.model import (
     predict_distinct,
     spans_to_cells,
 )
+from ..operators.pieces import findings_in_files, findings_in_pieces, scrub_in_pieces
 from ..operators.scrub import scrub, scrub_marked
 from ..operators.stats import batch_totals, profile, stats, type_counts
 from ..sources.files import (
@@ -1142,6 +1143,39 @@ def scrub_csv_files(spark, root):
 # ----------------------------------------------------------------- streaming
 
 
+# Documents above this many characters are cut into pieces that many tasks scan.
+_LONG = 2000
+
+
+@query(
+    "piece_findings",
+    o.with_(o.DOCS, o.spans("docs", ALL_TYPES))
+    + 'select k.id, k.s as start, k.e as "end", k.o as ord, k.k as pii_type, k.v as value from kept k',
+)
+def piece_findings(spark, root):
+    """Findings of documents, the long ones cut where no match can lie across; the rows are those of whole texts."""
+    return findings_in_pieces(documents(spark, root), "text", keys=["id"], piece_chars=_LONG).drop("column")
+
+
+@query("piece_scrub", ORACLES["scrub_documents"])
+def piece_scrub(spark, root):
+    """Documents scrubbed, the long ones piece by piece in many tasks."""
+    return scrub_in_pieces(documents(spark, root).select("id", "text"), "text", ["id"], piece_chars=_LONG)
+
+
+@query(
+    "huge_file_findings",
+    o.with_(o.DOCS, o.spans("docs", ALL_TYPES))
+    + "select k as pii_type, v as value, count(*)::bigint as n from kept group by k, v",
+)
+def huge_file_findings(spark, root):
+    """Files of many documents each, split between tasks, with values that cross lines found as in a whole text."""
+    path = fresh_path(spark, "huge")
+    ended = F.concat(F.coalesce("text", F.lit("")), F.lit("\n##"))
+    write_lines(documents(spark, root).select(ended.alias("line")), path)
+    return findings_in_files(spark, path).groupBy("pii_type", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "stream_lines",
     ORACLES["text_write"].replace("'#' || sha256(v)[1:12]", "'[' || upper(k) || ' REMOVED]'"),
