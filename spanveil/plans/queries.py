@@ -52,6 +52,7 @@ from ..sources.files import (
 from ..sources.sinks import failed, successful, write_csv, write_lines, write_texts
 from ..sources.workbook import parse_workbooks
 from ..sources.workspace import fresh_path, small_side, table
+from ..streaming.batches import batch_rows, dead_letters, running_totals, running_types, scrub_batches, stream_files
 from ..streaming.progress import observe_batch
 from ..streaming.scrub import running_type_counts, scrub_stream, stream_lines, stream_table, write_stream
 from . import oracle as o
@@ -1234,3 +1235,66 @@ def progress_totals(spark, root):
     got = seen.get
     names = ("rows_processed", "rows_affected", "pii_found", "cells_affected")
     return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+def _customer_batches(spark, root) -> str:
+    """Customers as CSV files by nation, every seventh record broken, scrubbed as a stream; gives its folder."""
+    source, out, mark = (fresh_path(spark, n) for n in ("in", "out", "ckpt"))
+    mail = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("to user"), "c_custkey", F.lit("@mail.example.com from 10.0.0.1")))
+    record = F.concat(F.when(F.col("c_custkey") % 7 == 0, F.lit("no")).otherwise(F.lit("")), "c_custkey", F.lit(","), F.coalesce(mail, F.lit("none")))
+    lines = table(spark, root, "customer").select(F.col("c_nationkey").alias("nation"), record.alias("line"))
+    write_lines(lines, source, partition_by=["nation"])
+    stream = stream_files(spark, f"{source}/nation=*", "id long, t string", maxFilesPerTrigger=100)
+    scrub_batches(stream, out, mark, ["t"]).awaitTermination()
+    return out
+
+
+def _nation():
+    return F.regexp_extract("file", "nation=([0-9]+)", 1).cast("long").alias("nation")
+
+
+_GOOD = "from customer where c_custkey % 7 <> 0"
+
+
+@query(
+    "stream_good_rows",
+    "select c_nationkey::bigint as nation, c_custkey::bigint as id, case when c_custkey % 3 = 0 then 'to u***@mail.example.com from ***.***.***.***' "
+    f"else 'none' end as t {_GOOD}",
+)
+def stream_good_rows(spark, root):
+    """The rows of a stream that could be read, scrubbed; broken records among them stop nothing."""
+    return batch_rows(spark, _customer_batches(spark, root)).select(_nation(), "id", "t")
+
+
+@query(
+    "stream_dead_letters",
+    "select c_nationkey::bigint as nation, 'no' || c_custkey || ',' || case when c_custkey % 3 = 0 then 'to user' || c_custkey || "
+    "'@mail.example.com from 10.0.0.1' else 'none' end as record, 'The record does not fit the schema' as error "
+    "from customer where c_custkey % 7 = 0",
+)
+def stream_dead_letters(spark, root):
+    """The records of a stream that could not be read, as they came."""
+    return dead_letters(spark, _customer_batches(spark, root)).select(_nation(), F.col("_corrupt").alias("record"), "error")
+
+
+@query(
+    "stream_file_totals",
+    "select c_nationkey::bigint as nation, 2 * sum((c_custkey % 3 = 0)::int)::bigint as pii_found, count(*)::bigint as rows_processed, "
+    f"sum((c_custkey % 3 = 0)::int)::bigint as rows_affected, sum((c_custkey % 3 = 0)::int)::bigint as cells_affected {_GOOD} group by 1",
+)
+def stream_file_totals(spark, root):
+    """Totals by file of a stream: what each batch added, summed."""
+    totals = running_totals(spark, _customer_batches(spark, root)).withColumn("nation", _nation())
+    names = ("pii_found", "rows_processed", "rows_affected", "cells_affected")
+    return totals.groupBy("nation").agg(*[F.sum(n).alias(n) for n in names])
+
+
+@query(
+    "stream_file_types",
+    f"select c_nationkey::bigint as nation, k as pii_type, count(*)::bigint as n from (select *, unnest(['Email Address', 'IP Address']) as k {_GOOD} "
+    "and c_custkey % 3 = 0) group by 1, 2",
+)
+def stream_file_types(spark, root):
+    """Findings of a stream by file and type."""
+    types = running_types(spark, _customer_batches(spark, root)).withColumn("nation", _nation())
+    return types.groupBy("nation", "pii_type").agg(F.sum("n").alias("n"))
