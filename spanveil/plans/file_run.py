@@ -15,6 +15,7 @@ from ..operators.model import detect_with_model, model_cell_spans
 from ..operators.scrub import scrub_cells, scrub_detected, scrub_marked
 from ..operators.stats import totals_of_marks, totals_of_tables, types_of_marks
 from ..sources.files import AT, FILE, list_files, read_csv_records, read_lines, read_texts
+from ..sources.manifest import write_manifest
 from ..sources.sinks import csv_array_record, preview_records, write_lines
 from ..sources.workbook import read_workbooks
 from ..sources.workspace import small_side, staged
@@ -55,6 +56,12 @@ class FileScrub:
         if self.lines is not None:
             write_lines(_in_order(kept(self.lines), AT), f"{path}/lines", partition_by=["of", "out_file"])
 
+    def save_with_manifest(self, path: str) -> None:
+        """:meth:`save_successful`, then the manifest of what was written, which makes the output whole."""
+        self.save_successful(path)
+        shapes = {"tables": self.tables, "workbooks": self.workbooks, "texts": self.texts, "lines": self.lines}
+        write_manifest(self.report.sparkSession, path, [k for k, rows in shapes.items() if rows is not None])
+
 
 def _folder_tag(file: str) -> Column:
     return F.substring(F.sha2(F.regexp_replace(file, "[^/]*$", ""), 256), 1, 8)

@@ -49,6 +49,7 @@ from ..sources.files import (
     route_units,
     without_files,
 )
+from ..sources.manifest import damaged_parts, read_by_manifest
 from ..sources.sinks import failed, successful, write_csv, write_lines, write_texts
 from ..sources.workbook import parse_workbooks
 from ..sources.workspace import fresh_path, small_side, table
@@ -1177,6 +1178,36 @@ def huge_file_findings(spark, root):
     return findings_in_files(spark, path).groupBy("pii_type", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+def _saved_with_manifest(spark, root) -> str:
+    """Customers as one text file for each nation, scrubbed by line and saved with a manifest; gives the folder."""
+    source, saved = fresh_path(spark, "in"), fresh_path(spark, "saved")
+    line = F.concat_ws(" ", F.lit("nation"), "c_nationkey", F.lit("customer"), "c_custkey", F.lit("mail a@b.com"))
+    rows = table(spark, root, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", line.alias("line"))
+    write_lines(rows.repartition("nation").sortWithinPartitions("nation", "c_custkey"), source, partition_by=["nation"])
+    scrub_files(spark, [source], types=["email"], text_mode="line").save_with_manifest(saved)
+    return saved
+
+
+@query(
+    "manifest_lines",
+    "select c_nationkey::bigint as nation, (row_number() over (partition by c_nationkey order by c_custkey) - 1)::bigint as line_no, "
+    "'nation ' || c_nationkey || ' customer ' || c_custkey || ' mail ***@b.com' as line from customer",
+)
+def manifest_lines(spark, root):
+    """Lines of saved files in the order of their input, by the manifest."""
+    lines = read_by_manifest(spark, _saved_with_manifest(spark, root))
+    return lines.select(F.regexp_extract("line", "nation ([0-9]+)", 1).cast("long").alias("nation"), "line_no", "line")
+
+
+@query("manifest_check", "select c_nationkey::bigint as nation, count(*)::bigint as n from customer group by 1")
+def manifest_check(spark, root):
+    """Lines by nation of the saved parts that are as the manifest has them."""
+    saved = _saved_with_manifest(spark, root)
+    sound = read_by_manifest(spark, saved).join(damaged_parts(spark, saved), "part", "left_anti")
+    return sound.groupBy(F.regexp_extract("line", "nation ([0-9]+)", 1).cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "stream_lines",
     ORACLES["text_write"].replace("'#' || sha256(v)[1:12]", "'[' || upper(k) || ' REMOVED]'"),
