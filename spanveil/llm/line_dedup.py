@@ -7,8 +7,8 @@ share a variant with one word deleted at the same place, or if one is the other'
    sends one row for each task).
 2. Within one edit, the words before or the words after the middle stay equal. Lines that share neither half with
    another line have no partner and need no variants; this drops nothing that could match.
-3. The others emit every one-word deletion as a hashed key: two sums of position-dependent word hashes, so each
-   variant costs the same whatever the length of the line.
+3. The others emit every one-word deletion as a hashed key: two sums (exclusive or) of position-dependent word hashes,
+   made inside the row, so each variant costs the same whatever the length of the line.
 4. Equal keys meet in a group, which names its earliest line; no pairs within a group are formed.
 5. Each line's earliest partner is verified word by word, and the later line goes.
 """
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanveil.sources.workspace import staged
 
@@ -27,7 +26,11 @@ MIN_WORDS = 8
 _BLANKS = "[\\t\\x0B\\f\\r]"  # other blanks than a space
 _GAPS = "[ \\t\\x0B\\f\\r]+"
 _LINES = 1 << 31  # more than any text has lines
-_MASK = (1 << 48) - 1  # a line's sum of so small hashes does not overflow
+# The exclusive or of each prefix of an array, by doubling: a fold that appends would copy what it has at every step.
+_PREFIXES = (
+    "aggregate(transform(sequence(0, cast(ceil(log2(n)) as int)), k -> shiftleft(1, k)), {0}, "
+    "(acc, g) -> transform(acc, (x, i) -> if(i >= g, x ^ acc[i - g], x)))"
+)
 
 
 def _words(line: Column) -> Column:
@@ -101,34 +104,24 @@ def _variants(lines: DataFrame) -> DataFrame:
     """(place, kind, n, at, a, b): every one-word deletion of each line, and the lines themselves.
 
     kind 0: the word at ``at`` deleted, for lines of equal length; kind 1: a word deleted, to meet a line of one
-    word less; kind 2: a line as it is, to meet those.
+    word less; kind 2: a line as it is, to meet those. A key is the exclusive or of hashes of (word, position): with
+    a word deleted, the words after it stand one place earlier, so the key of the next deletion differs by two hashes.
     """
-    whole = Window.partitionBy("place")
-    before = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    words = lines.select("place", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-
-    def term(seed: int, at: Column) -> Column:
-        return F.xxhash64(F.lit(seed), "word", at).bitwiseAND(F.lit(_MASK))
-
-    sums = words
+    keys = lines.select("place", "words", F.size("words").cast("int").alias("n"))
     for name, seed in (("a", 1), ("b", 2)):
-        sums = sums.withColumn(f"{name}_here", term(seed, F.col("at"))).withColumn(f"{name}_back", term(seed, F.col("at") - 1))
-    for name in ("a", "b"):
-        sums = (
-            sums.withColumn(f"{name}_all", F.sum(f"{name}_here").over(whole))
-            .withColumn(f"{name}_head", F.coalesce(F.sum(f"{name}_here").over(before), F.lit(0)))
-            .withColumn(f"{name}_tail", F.sum(f"{name}_back").over(whole) - F.coalesce(F.sum(f"{name}_back").over(before), F.lit(0)) - F.col(f"{name}_back"))
+        here, back = (f"transform(words, (w, i) -> xxhash64({seed}, w, i - {shift}))" for shift in (0, 1))
+        whole = "aggregate({0}, 0L, (s, x) -> s ^ x)"
+        moves = f"transform({name}_back, (x, i) -> if(i = 0, x ^ {name}_moved, x ^ {name}_here[i - 1]))"
+        keys = (
+            keys.withColumns({f"{name}_here": F.expr(here), f"{name}_back": F.expr(back)})
+            .withColumns({f"{name}_all": F.expr(whole.format(f"{name}_here")), f"{name}_moved": F.expr(whole.format(f"{name}_back"))})
+            .withColumn(f"{name}_cut", F.expr(_PREFIXES.format(moves)))
         )
-
-    def key(kind: int, n: Column, at: Column, a: Column, b: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("n"), at.cast("int").alias("at"), a.alias("a"), b.alias("b"))
-
-    keys = F.array(
-        key(0, F.col("n"), F.col("at"), F.col("a_all") - F.col("a_here"), F.col("b_all") - F.col("b_here")),
-        key(1, F.col("n") - 1, F.lit(-1), F.col("a_head") + F.col("a_tail"), F.col("b_head") + F.col("b_tail")),
-        F.when(F.col("at") == 0, key(2, F.col("n"), F.lit(-1), F.col("a_all"), F.col("b_all"))),
-    )
-    return sums.select("place", F.explode(keys).alias("key")).where("key is not null").select("place", "key.*")
+    key = "named_struct('kind', {0}, 'n', {1}, 'at', {2}, 'a', {3}, 'b', {4})"
+    alike = "transform(a_here, (x, i) -> " + key.format(0, "n", "i", "a_all ^ x", "b_all ^ b_here[i]") + ")"
+    longer = "transform(a_cut, (x, i) -> " + key.format(1, "n - 1", -1, "x", "b_cut[i]") + ")"
+    whole_line = "array(" + key.format(2, "n", -1, "a_all", "b_all") + ")"
+    return keys.select("place", F.expr(f"inline(concat({alike}, {longer}, {whole_line}))"))
 
 
 def _partners(variants: DataFrame) -> DataFrame:
