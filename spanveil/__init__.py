@@ -12,7 +12,7 @@ from .operators.detect import as_text, detect, findings
 from .operators.limits import LIMITED, UNLIMITED, Quota
 from .operators.model import detect_with_model, predict
 from .operators.scrub import scrub, scrub_marked, scrub_names
-from .operators.stats import batch_totals, profile, stats, type_counts
+from .operators.stats import batch_totals, merge_profiles, profile, profile_sketches, save_profile, saved_profile, stats, type_counts
 from .plans.file_run import FileScrub, scrub_files
 from .streaming.scrub import running_type_counts, scrub_stream
 
@@ -23,6 +23,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 __all__ = [
     "ALL_TYPES", "METHODS", "PATTERN_TYPES", "LIMITED", "UNLIMITED", "FileScrub", "Quota",
     "as_text", "batch_totals", "candidate_spans", "detect", "detect_with_model", "find_spans", "findings",
-    "parse_method", "parse_types", "predict", "profile", "register", "running_type_counts", "scrub", "scrub_files",
-    "scrub_marked", "scrub_names", "scrub_stream", "scrub_text", "splice", "stats", "type_catalog", "type_counts",
+    "merge_profiles", "parse_method", "parse_types", "predict", "profile", "profile_sketches", "register", "running_type_counts",
+    "save_profile", "saved_profile", "scrub", "scrub_files", "scrub_marked", "scrub_names", "scrub_stream", "scrub_text", "splice", "stats", "type_catalog", "type_counts",
 ]

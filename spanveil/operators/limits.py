@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.workspace import small_side
 
@@ -72,6 +73,24 @@ def validate_files(files: DataFrame, quota: Quota) -> DataFrame:
     return files.select("file", "size_bytes", error.isNull().alias("success"), error.alias("error"))
 
 
+def stop_at_quota(rows: DataFrame, quota: Quota, at: list[str], file: str = "file") -> DataFrame:
+    """The first rows of each file by ``at``, at most one more than the row quota: enough to judge and to fail a file.
+
+    Each task drops what exceeds the quota before anything is sent, so costly work that follows is done for no more than
+    the quota's rows of a file. A task sends at most quota + 1 rows of a file, however large the file is.
+    """
+    if quota.max_rows_per_file is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy(file).orderBy(*at))
+    return rows.withColumn("_place", place).where(F.col("_place") <= quota.max_rows_per_file + 1).drop("_place")
+
+
+def stopped_error(rows: Column, quota: Quota) -> Column:
+    """Message for a file that :func:`stop_at_quota` stopped: its rows were not all read, so it names no count."""
+    text = F.format_string("Row count exceeds the limit (%d)", F.lit(quota.max_rows_per_file or 0))
+    return _error(rows, quota.max_rows_per_file, text)
+
+
 def type_error(requested: Column, quota: Quota) -> Column:
     """Message for a canonical type id outside the allowed list, otherwise NULL."""
     if quota.allowed_types is None:

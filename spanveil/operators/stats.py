@@ -7,7 +7,7 @@ row per task through the shuffle, not its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import display_name, parse_types
@@ -94,6 +94,40 @@ def profile(df: DataFrame, columns=None, types=None) -> DataFrame:
     )
 
 
+# Sketches of 2^12 counters: a relative standard error of about 1.6 %, at most some kilobytes for each column and type.
+SKETCH_BITS = 12
+
+
+def profile_sketches(df: DataFrame, columns=None, types=None, by=()) -> DataFrame:
+    """:func:`profile` in a form that can be added up later: ``by``, column, pii_type, n and a sketch of the values.
+
+    Unlike exact distinct counts, sketches are built in each task, so values are never shuffled.
+    """
+    found = findings(df, columns, types, keys=by)
+    return found.groupBy(*by, "column", "pii_type").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("value", SKETCH_BITS).alias("sketch")
+    )
+
+
+def merge_profiles(sketches: DataFrame, by=()) -> DataFrame:
+    """``by``, column, pii_type, n and an estimate of n_values over everything that was sketched."""
+    return sketches.groupBy(*by, "column", "pii_type").agg(
+        F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_values")
+    )
+
+
+def save_profile(df: DataFrame, path: str, run: str, columns=None, types=None) -> None:
+    """Keep the sketches of one run under its name; a run that is repeated replaces its own."""
+    if not run or "/" in run or "=" in run:
+        raise ValueError(f"no name for a run: {run!r}")
+    profile_sketches(df, columns, types).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def saved_profile(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`merge_profiles` of all saved runs; reads sketches, no data."""
+    return merge_profiles(spark.read.option("basePath", path).parquet(f"{path}/run=*"))
+
+
 def batch_totals(per_file: DataFrame, file: str = "file") -> DataFrame:
     """Per-file totals plus one grand-total row (file NULL)."""
     return per_file.rollup(file).agg(

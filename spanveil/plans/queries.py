@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.catalog import (
     ALIASES,
@@ -23,7 +24,17 @@ from ..functions.spans import candidate_spans, find_spans
 from ..functions.splice import scrub_text
 from ..functions.validators import digits_only, is_luhn, is_ssn, is_valid
 from ..operators.detect import as_text, explode_spans, findings
-from ..operators.limits import Quota, batch_error, cell_error, row_error, size_error, split_by_status, type_error
+from ..operators.limits import (
+    Quota,
+    batch_error,
+    cell_error,
+    row_error,
+    size_error,
+    split_by_status,
+    stop_at_quota,
+    stopped_error,
+    type_error,
+)
 from ..operators.model import (
     cell_offsets,
     decode_tokens,
@@ -37,7 +48,7 @@ from ..operators.model import (
 )
 from ..operators.pieces import findings_in_files, findings_in_pieces, scrub_in_pieces
 from ..operators.scrub import scrub, scrub_marked
-from ..operators.stats import batch_totals, profile, stats, type_counts
+from ..operators.stats import batch_totals, merge_profiles, profile, profile_sketches, stats, type_counts
 from ..sources.files import (
     named_cells,
     number_lines,
@@ -53,7 +64,7 @@ from ..sources.manifest import damaged_parts, read_by_manifest
 from ..sources.sinks import failed, successful, write_csv, write_lines, write_texts
 from ..sources.workbook import parse_workbooks
 from ..sources.workspace import fresh_path, small_side, table
-from ..streaming.batches import batch_rows, dead_letters, running_totals, running_types, scrub_batches, stream_files
+from ..streaming.batches import batch_progress, batch_rows, dead_letters, running_totals, running_types, scrub_batches, stream_files
 from ..streaming.progress import observe_batch
 from ..streaming.scrub import running_type_counts, scrub_stream, stream_lines, stream_table, write_stream
 from . import oracle as o
@@ -533,6 +544,22 @@ def profile_columns(spark, root):
     return profile(people(spark, root))
 
 
+@query(
+    "profile_merged_sketches",
+    _PEOPLE_KEPT
+    + 'select c.col as "column", k.k as pii_type, count(*)::bigint as n, count(distinct k.v)::bigint as n_values, true as within_error '
+    "from kept k join cells c using (id) group by all",
+)
+def profile_merged_sketches(spark, root):
+    """Sketches of nine parts of the table, merged: whether their estimates lie within 5 % of the exact counts."""
+    rows = people(spark, root).withColumn("part", (F.col("id") % 9).cast("int"))
+    parts = profile_sketches(rows, [c for c in rows.columns if c not in ("id", "part")], by=["part"])
+    merged = merge_profiles(parts).withColumnRenamed("n_values", "estimate").withColumnRenamed("n", "n_merged")
+    both = profile(people(spark, root)).join(merged, ["column", "pii_type"], "full")
+    close = (F.abs(F.col("estimate") - F.col("n_values")) <= F.col("n_values") * 0.05) & (F.col("n") == F.col("n_merged"))
+    return both.select("column", "pii_type", "n", "n_values", close.alias("within_error"))
+
+
 # -------------------------------------------------------------------- quotas
 
 
@@ -607,14 +634,38 @@ _MEDIAN_SOURCES = (
 )
 
 
+def _rows_by_source(spark, root) -> DataFrame:
+    return table(spark, root, "documents").groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _median_rows(spark, root) -> int:
+    median = F.expr("percentile_disc(0.5) within group (order by n_rows)").alias("m")
+    return int(_rows_by_source(spark, root).agg(median).first()["m"])
+
+
 def _within_median(spark, root) -> DataFrame:
     """Status of sources against a row quota of their median size."""
-    counted = table(spark, root, "documents").groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
-    median = counted.agg(F.expr("percentile_disc(0.5) within group (order by n_rows)").alias("m")).first()["m"]
-    error = row_error(F.col("n_rows"), Quota(max_rows_per_file=int(median)))
+    counted = _rows_by_source(spark, root)
+    error = row_error(F.col("n_rows"), Quota(max_rows_per_file=_median_rows(spark, root)))
     return counted.select("file", "n_rows", error.isNull().alias("success"), error.alias("error"))
 
 
+@query(
+    "quota_early_stop",
+    "with m as (select quantile_disc(n, 0.5)::bigint as most from (select count(*) as n from documents group by source)) "
+    "select source as file, least(count(*), any_value(most) + 1)::bigint as rows_read, count(*) <= any_value(most) as success, "
+    "case when count(*) > any_value(most) then printf('Row count exceeds the limit (%d)', any_value(most)) end as error "
+    "from documents, m group by source",
+)
+def quota_early_stop(spark, root):
+    """The statuses of a row quota, from no more than one row beyond it of each file."""
+    quota = Quota(max_rows_per_file=_median_rows(spark, root))
+    rows = table(spark, root, "documents").select(F.col("source").alias("file"), "doc_id")
+    counted = stop_at_quota(rows, quota, ["doc_id"]).groupBy("file").agg(F.count(F.lit(1)).alias("rows_read"))
+    error = stopped_error(F.col("rows_read"), quota)
+    return counted.select("file", "rows_read", error.isNull().alias("success"), error.alias("error"))
+
+
 @query("isolate_failed_files", f"select doc_id as id, source as file from documents where source in {_MEDIAN_SOURCES}")
 def isolate_failed_files(spark, root):
     """Rows of files within the row quota; failing files drop out as a whole."""
@@ -1268,16 +1319,16 @@ def progress_totals(spark, root):
     return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-def _customer_batches(spark, root) -> str:
-    """Customers as CSV files by nation, every seventh record broken, scrubbed as a stream; gives its folder."""
+def _customer_batches(spark, root, at_once: int = 100) -> tuple[str, str]:
+    """Customers as CSV files by nation, every seventh record broken, scrubbed as a stream; gives its folder and theirs."""
     source, out, mark = (fresh_path(spark, n) for n in ("in", "out", "ckpt"))
     mail = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("to user"), "c_custkey", F.lit("@mail.example.com from 10.0.0.1")))
     record = F.concat(F.when(F.col("c_custkey") % 7 == 0, F.lit("no")).otherwise(F.lit("")), "c_custkey", F.lit(","), F.coalesce(mail, F.lit("none")))
     lines = table(spark, root, "customer").select(F.col("c_nationkey").alias("nation"), record.alias("line"))
     write_lines(lines, source, partition_by=["nation"])
-    stream = stream_files(spark, f"{source}/nation=*", "id long, t string", maxFilesPerTrigger=100)
+    stream = stream_files(spark, f"{source}/nation=*", "id long, t string", maxFilesPerTrigger=at_once)
     scrub_batches(stream, out, mark, ["t"]).awaitTermination()
-    return out
+    return out, source
 
 
 def _nation():
@@ -1294,7 +1345,7 @@ _GOOD = "from customer where c_custkey % 7 <> 0"
 )
 def stream_good_rows(spark, root):
     """The rows of a stream that could be read, scrubbed; broken records among them stop nothing."""
-    return batch_rows(spark, _customer_batches(spark, root)).select(_nation(), "id", "t")
+    return batch_rows(spark, _customer_batches(spark, root)[0]).select(_nation(), "id", "t")
 
 
 @query(
@@ -1305,7 +1356,7 @@ def stream_good_rows(spark, root):
 )
 def stream_dead_letters(spark, root):
     """The records of a stream that could not be read, as they came."""
-    return dead_letters(spark, _customer_batches(spark, root)).select(_nation(), F.col("_corrupt").alias("record"), "error")
+    return dead_letters(spark, _customer_batches(spark, root)[0]).select(_nation(), F.col("_corrupt").alias("record"), "error")
 
 
 @query(
@@ -1315,7 +1366,7 @@ def stream_dead_letters(spark, root):
 )
 def stream_file_totals(spark, root):
     """Totals by file of a stream: what each batch added, summed."""
-    totals = running_totals(spark, _customer_batches(spark, root)).withColumn("nation", _nation())
+    totals = running_totals(spark, _customer_batches(spark, root)[0]).withColumn("nation", _nation())
     names = ("pii_found", "rows_processed", "rows_affected", "cells_affected")
     return totals.groupBy("nation").agg(*[F.sum(n).alias(n) for n in names])
 
@@ -1327,5 +1378,22 @@ def stream_file_totals(spark, root):
 )
 def stream_file_types(spark, root):
     """Findings of a stream by file and type."""
-    types = running_types(spark, _customer_batches(spark, root)).withColumn("nation", _nation())
+    types = running_types(spark, _customer_batches(spark, root)[0]).withColumn("nation", _nation())
     return types.groupBy("nation", "pii_type").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "stream_progress",
+    "select true as rises, 100.0::double as percent, 'complete' as phase, count(*)::bigint as rows_processed, "
+    f"2 * sum((c_custkey % 3 = 0)::int)::bigint as pii_found {_GOOD}",
+)
+def stream_progress(spark, root):
+    """Progress by batch, nine files at a time: it only rises, and ends with every byte and every good row."""
+    out, source = _customer_batches(spark, root, at_once=9)
+    steps = batch_progress(spark, out, [f"{source}/nation=*"])
+    before = F.coalesce(F.lag("percent").over(Window.orderBy("batch")), F.lit(0.0))
+    checked = steps.withColumn("rises", F.col("percent") > before)
+    return checked.agg(
+        F.every("rises").alias("rises"), F.max("percent").alias("percent"), F.max_by("phase", "batch").alias("phase"),
+        F.max("rows_processed").alias("rows_processed"), F.max("pii_found").alias("pii_found"),
+    )

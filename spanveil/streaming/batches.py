@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..functions.catalog import display_name, parse_types
 from ..operators.scrub import scrub_marked
 from ..operators.stats import totals_of_marks
+from ..sources.files import file_name, list_files
 from .scrub import stream_table
 
 FILE, ERROR = "file", "error"
@@ -96,3 +98,37 @@ def running_types(spark: SparkSession, path: str) -> DataFrame:
     """Spans by file and type so far: file, pii_type, n."""
     added = _all_batches(spark, path, TOTALS).select(FILE, F.inline("types"))
     return added.groupBy(FILE, "pii_type").agg(F.sum("n").alias("n"))
+
+
+def _same_file(column: str | Column) -> Column:
+    """A path as listings and streams both write it."""
+    return F.regexp_replace(column, "^(\\w+):/+", "$1:/")
+
+
+def batch_progress(spark: SparkSession, path: str, sources) -> DataFrame:
+    """How far each batch brought the run: batch, phase, percent, and files, bytes, rows and findings so far.
+
+    ``sources`` are the paths that the stream reads. A file counts as done with the first batch that has any row of it,
+    good or refused: a batch takes whole files. Percent is bytes done of the bytes that are listed now, so it falls when files
+    arrive; files without bytes count as done from the start. The running sums are over one row for each batch.
+    """
+    listed = list_files(spark, sources).select(_same_file(FILE).alias(FILE), "size_bytes")
+    all_bytes, empty = listed.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)), F.count_if(F.col("size_bytes") == 0)).first()
+    counts = _all_batches(spark, path, TOTALS).select("batch", FILE, "rows_processed", "pii_found")
+    refused = dead_letters(spark, path).select("batch", FILE).distinct().select("batch", FILE, F.lit(0).alias("rows_processed"), F.lit(0).alias("pii_found"))
+    per_file = (
+        counts.unionByName(refused).groupBy(FILE)
+        .agg(F.min("batch").alias("batch"), F.sum("rows_processed").alias("rows_processed"), F.sum("pii_found").alias("pii_found"))
+        .withColumn(FILE, _same_file(file_name(F.col(FILE))))
+    )
+    per_batch = per_file.join(listed, FILE, "left").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"),
+        F.sum("rows_processed").alias("rows_processed"), F.sum("pii_found").alias("pii_found"),
+    )
+    so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = per_batch.select("batch", *[F.sum(c).over(so_far).alias(c) for c in ("files", "bytes", "rows_processed", "pii_found")])
+    percent = F.col("bytes") * 100.0 / all_bytes if all_bytes else F.lit(100.0)
+    return sums.select(
+        "batch", F.when(F.col("bytes") < all_bytes, "scanning").otherwise("complete").alias("phase"),
+        percent.cast("double").alias("percent"), (F.col("files") + empty).alias("files"), "bytes", "rows_processed", "pii_found",
+    )

@@ -4,7 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanveil import scrub, stats, type_counts
-from spanveil.streaming.batches import batch_rows, dead_letters, running_totals, running_types, scrub_batches, stream_files
+from spanveil.streaming.batches import (
+    batch_progress,
+    batch_rows,
+    dead_letters,
+    running_totals,
+    running_types,
+    scrub_batches,
+    stream_files,
+)
 
 SCHEMA = "id int, t string"
 FILES = {
@@ -70,3 +78,17 @@ def test_own_reasons_and_clean_streams(spark, source, tmp_path):
     dead = dead_letters(spark, out).groupBy("error").count().collect()
     assert {r.error: r["count"] for r in dead} == {"too long": 1, "The record does not fit the schema": 2}
     assert batch_rows(spark, out).count() == 5
+
+
+def test_progress_rises_to_every_byte_and_row(spark, source, tmp_path):
+    (source / "empty.csv").write_text("")
+    start(spark, source, tmp_path)
+    steps = batch_progress(spark, str(tmp_path / "out"), [str(source)]).orderBy("batch").collect()
+    percents = [s.percent for s in steps]
+    assert percents == sorted(percents) and percents[-1] == 100.0
+    assert [s.phase for s in steps] == ["scanning"] * 3 + ["complete"]
+    assert steps[-1].files == len(FILES) + 1 and steps[-1].bytes == sum(map(len, FILES.values()))
+    assert steps[-1].rows_processed == len(GOOD)
+    (source / "late.csv").write_text("8,more@x.org\n")
+    late = batch_progress(spark, str(tmp_path / "out"), [str(source)]).orderBy("batch").collect()
+    assert late[-1].phase == "scanning" and late[-1].percent < 100.0
