@@ -63,7 +63,7 @@ from ..sources.files import (
 from ..sources.manifest import damaged_parts, read_by_manifest
 from ..sources.sinks import failed, successful, write_csv, write_lines, write_texts
 from ..sources.workbook import parse_workbooks
-from ..sources.workspace import fresh_path, small_side, table
+from ..sources.workspace import fresh_path, small_side, spread, table
 from ..streaming.batches import batch_progress, batch_rows, dead_letters, running_totals, running_types, scrub_batches, stream_files
 from ..streaming.progress import observe_batch
 from ..streaming.scrub import running_type_counts, scrub_stream, stream_lines, stream_table, write_stream
@@ -395,7 +395,7 @@ _NAMES = "names as (select c_custkey as id, concat(c_name, ' user', cast(c_custk
 )
 def scrub_header(spark, root):
     """Header cells as rows, as ``scrub_names`` treats them."""
-    names = table(spark, root, "customer").select(
+    names = spread(table(spark, root, "customer").select("c_custkey", "c_name")).select(
         F.col("c_custkey").alias("id"),
         F.concat("c_name", F.lit(" user"), "c_custkey", F.lit("@mail.example.com")).alias("name"),
     )
@@ -1273,8 +1273,10 @@ def stream_text_lines(spark, root):
 
 
 def _document_stream(spark, root):
+    # A class around the last letter makes the path a glob, which names a table that is one file as well as one that
+    # is a folder of parts; a plain path has to be a folder, and a name filter would be held against the parts.
     schema = table(spark, root, "documents").schema
-    return stream_table(spark, root, schema, glob="documents.parquet")
+    return stream_table(spark, f"{root}/documents.parque[t]", schema)
 
 
 @query("stream_table", ORACLES["scrub_documents"])

@@ -1,8 +1,11 @@
+import shutil
+
 from pyspark.sql import functions as F
 
 from spanveil import running_type_counts, scrub, scrub_stream
 from spanveil.operators.scrub import scrub_marked
 from spanveil.operators.stats import mark_rows
+from spanveil.plans.queries import QUERIES
 from spanveil.streaming.progress import ProgressListener, observe_batch, observe_stream
 from spanveil.streaming.scrub import stream_lines, stream_table, write_stream
 
@@ -72,3 +75,19 @@ def test_progress(spark, tmp_path):
         spark.streams.removeListener(listener)
     p = listener.progress
     assert (p.phase, p.rows_processed, p.pii_found, p.rows_affected) == ("complete", 4, 4, 3)
+
+
+def test_document_streams_read_a_file_and_a_folder_of_parts(spark, tmp_path):
+    rows = [(i, LINES[i % len(LINES)], "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    docs.limit(2).write.parquet(str(folder / "pages.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    single.mkdir()
+    shutil.copy(next((tmp_path / "one").glob("part-*.parquet")), single / "documents.parquet")
+    for root in (folder, single):
+        scrubbed = scrub(docs.select(F.col("doc_id").alias("id"), "text"), ["text"])
+        assert sorted(QUERIES["stream_table"](spark, str(root)).collect()) == sorted(scrubbed.collect())
+        counts = {r.pii_type: r.n for r in QUERIES["stream_type_counts"](spark, str(root)).collect()}
+        assert counts == {"Email Address": 20, "IP Address": 20}
