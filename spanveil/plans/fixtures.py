@@ -13,18 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.workspace import table
+from ..sources.workspace import spread, table
 from .oracle import PEOPLE_COLUMNS, STUB
 
 
 def people(spark: SparkSession, root: str) -> DataFrame:
-    """One value of every pattern type per customer, some of them invalid on purpose."""
+    """One value of every pattern type per customer, some of them invalid on purpose.
+
+    A row takes some hundred times its bytes' worth of scanning, so customers are spread over tasks first.
+    """
     key = "cast(c_custkey as string)"
 
     def padded(expr: str, width: int) -> str:
         return f"lpad(cast({expr} as string), {width}, '0')"
 
-    return table(spark, root, "customer").selectExpr(
+    return spread(table(spark, root, "customer").select("c_custkey", "c_mktsegment")).selectExpr(
         "c_custkey as id",
         f"concat('user', {key}, '@mail', cast(c_custkey % 9 as string), '.example.com') as email",
         f"concat('(', {padded('200 + c_custkey % 700', 3)}, ') 555-', {padded('c_custkey % 10000', 4)}) as phone",

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # A side is broadcast only when a count shows it holds no more rows than this.
 BROADCAST_ROWS = 200_000
 
+# Rows dealt to a task by spread, and the most tasks it makes (more rows each beyond that).
+ROWS_PER_TASK, SPREAD_TASKS = 5_000, 2_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
@@ -37,6 +40,19 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The same rows dealt evenly over tasks, however few row groups or files hold them.
+
+    For narrow rows that expensive work follows: Spark divides a small file between few tasks, or none, so all the work
+    on its rows would lie in those. Counting reads no data of parquet files. The tasks are a fixed number, since Spark
+    would merge them again by their bytes.
+    """
+    rows = df.count()
+    if rows <= rows_per_task:
+        return df
+    return df.repartition(min(-(-rows // rows_per_task), SPREAD_TASKS))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast if a bounded count proves it small; otherwise leave the join to AQE."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
