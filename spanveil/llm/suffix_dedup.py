@@ -56,11 +56,12 @@ def _joined(left: np.ndarray, right: np.ndarray, offset: int) -> np.ndarray:
     return _mix(left[: len(right) - offset] * _A + right[offset:])
 
 
-def _ranks(data: np.ndarray) -> dict[int, np.ndarray]:
+def _ranks(data: np.ndarray, longest: int = 32) -> dict[int, np.ndarray]:
     """Ranks at growing lengths by doubling; at the end of the data there are fewer."""
-    made = {1: _BYTE_RANKS[data]}
-    for h in (1, 2, 4, 8, 16):
+    made, h = {1: _BYTE_RANKS[data]}, 1
+    while h < longest:
         made[2 * h] = _joined(made[h], made[h], h)
+        h *= 2
     return made
 
 
@@ -260,12 +261,21 @@ def _with_texts(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return docs.join(lists, ["doc_id", "tag"], "left")
 
 
-# Positions folded and sent together.
-_PAIRS = 1 << 20
+# Positions folded and sent together, and runs ranked together (none has more than 63 positions).
+_PAIRS, _RUNS = 1 << 20, 1 << 12
+
+
+def _laid(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range of n, end to end."""
+    stops = np.cumsum(n)
+    return np.repeat(first - (stops - n), n) + np.arange(stops[-1])
 
 
 def _asked_ranks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, doc_id, place) of the positions asked for, some at a time: ranks at 25 there and 25 bytes on."""
+    """(a, b, doc_id, place) of the positions asked for, some at a time: ranks at 25 there and 25 bytes on.
+
+    The bytes under each run are laid end to end and ranked once for all its positions.
+    """
     half = LENGTH // 2
     for i in range(batch.num_rows):
         if not batch.column("asked")[i].is_valid:
@@ -274,12 +284,12 @@ def _asked_ranks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         data = np.frombuffer(_bytes(batch.column("text").slice(i, 1))[0], np.uint8)
         doc, tag = batch.column("doc_id")[i].as_py(), batch.column("tag")[i].as_py()
         first, n = (asked.field(c).to_numpy().astype(np.int64) for c in ("first", "n"))
-        stops = np.cumsum(n)
-        at = np.repeat(first - (stops - n), n) + np.arange(stops[-1])
-        for some in np.array_split(at, -(-len(at) // 65536)):
-            ranks = _row_ranks(data[some[:, None] + np.arange(LENGTH)])
-            a, b = (_mix(ranks[16][:, offset] * _A + ranks[16][:, offset + half - 16]) for offset in (0, half))
-            yield a, b, np.full(len(some), doc, np.int64), some.astype(np.uint64) << np.uint64(_TAG_BITS) | np.uint64(tag)
+        for at in range(0, len(first), _RUNS):
+            some, strings = first[at : at + _RUNS], n[at : at + _RUNS]
+            byte, own = _laid(some, strings + LENGTH - 1), _laid(np.r_[0, np.cumsum(strings + LENGTH - 1)[:-1]], strings)
+            r16 = _ranks(data[byte], 16)[16]
+            r25 = _joined(r16, r16, half - 16)
+            yield r25[own], r25[own + half], np.full(len(own), doc, np.int64), byte[own].astype(np.uint64) << np.uint64(_TAG_BITS) | np.uint64(tag)
 
 
 def _folded_pairs(pieces: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
@@ -313,14 +323,6 @@ def _pairs(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-def _row_ranks(window: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks by doubling along each row."""
-    made = {1: _BYTE_RANKS[window]}
-    for h in (1, 2, 4, 8):
-        made[2 * h] = _mix(made[h][:, :-h] * _A + made[h][:, h:])
-    return made
-
-
 def _judge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk positions sorted by rank pair and document: those whose pair is in an earlier document."""
     last = None

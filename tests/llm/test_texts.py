@@ -497,3 +497,28 @@ def test_min_words_of_line_dedup(shared):
     frame = shared.createDataFrame([(1, "one two three four"), (2, "one two three five")], "doc_id long, text string")
     removed = {m: [r.n_removed for r in line_dedup.drop_repeated_lines(frame, min_words=m).orderBy("doc_id").collect()] for m in (4, 5)}
     assert removed == {4: [0, 1], 5: [0, 0]}
+
+
+def test_positions_asked_for_are_ranked_by_their_own_bytes(monkeypatch):
+    """The ranks of a position depend on its 50 bytes alone, and a run's bytes are ranked once for all its positions."""
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 100, 9000, np.uint8)).decode()
+    first, n = np.sort(rng.choice(8900, 4500, False)), rng.integers(1, 32, 4500)
+    first[-1], n[-1] = 9000 - 50, 1
+    asked = [{"first": int(f), "n": int(k)} for f, k in zip(first, np.minimum(n, 9000 - 49 - first), strict=True)]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, 8]), pa.array([5, 6], pa.int32()), pa.array([text, None]), pa.array([asked, None], kind)], names=["doc_id", "tag", "text", "asked"]
+    )
+    ranked = []
+    whole = suffix_dedup._ranks
+    monkeypatch.setattr(suffix_dedup, "_ranks", lambda data, *more: ranked.append(len(data)) or whole(data, *more))
+    a, b, doc, place = (np.concatenate(x) for x in zip(*suffix_dedup._asked_ranks(batch), strict=True))
+    assert sum(ranked) == sum(r["n"] + 49 for r in asked)
+    assert (place >> np.uint64(10)).tolist() == [r["first"] + i for r in asked for i in range(r["n"])]
+    assert set(doc.tolist()) == {7} and set((place & np.uint64(1023)).tolist()) == {5}
+    met: dict[str, set] = {}
+    for x, y, p in zip(a.tolist(), b.tolist(), (place >> np.uint64(10)).tolist(), strict=True):
+        met.setdefault(text[p : p + 25], set()).add(x)
+        met.setdefault(text[p + 25 : p + 50], set()).add(y)
+    assert all(len(x) == 1 for x in met.values()) and len({next(iter(x)) for x in met.values()}) == len(met)
