@@ -46,3 +46,29 @@ def running_scan(items: str, state: str, next_state: str, emit: str) -> str:
         "total -> flatten(total.o))"
     )
     return let("run_items", items, f"if(size(run_items) <= {BLOCK}, {flat}, {blocks})")
+
+
+# Spans whose flags fit in the upper half of one long, next to the end of the last kept span.
+FLAG_BITS = 30
+
+
+def kept_greedily(spans: str) -> str:
+    """SQL text of the spans (a variable, sorted by start) that start at or after the end of the last one kept.
+
+    Few spans are folded into one long: a bit for each span above, the end of the last kept span below. That spares
+    the arrays and structs that a fold over more spans builds at each step.
+    """
+    last, bits = "(acc & 4294967295L)", "shiftright(acc, 32)"
+    few = (
+        f"aggregate({spans}, 0L, (acc, x) -> if(x.start >= {last}, shiftleft({bits} * 2 + 1, 32) + x.end, "
+        f"shiftleft({bits} * 2, 32) + {last}))"
+    )
+    few = let("kept_bits", few, f"filter({spans}, (r, i) -> (shiftright(kept_bits, 31 + size({spans}) - i) & 1L) = 1L)")
+    flags = running_scan(
+        f"transform({spans}, r -> named_struct('start', r.start, 'end', r.end))",
+        state="0",
+        next_state="if(x.start >= acc.s, x.end, acc.s)",
+        emit="if(x.start >= acc.s, 1, 0)",
+    )
+    many = let("flags", flags, f"filter({spans}, (r, i) -> flags[i] = 1)")
+    return f"if(size({spans}) <= {FLAG_BITS}, {few}, {many})"

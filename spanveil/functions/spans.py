@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .catalog import PATTERN_TYPES, display_name, parse_types
-from .exprs import let, running_scan, sql_str
-from .patterns import DIGIT_MARK, EMAIL_MARK, GATE_OF, PAIR_MARK, PATTERNS, RUN_MARK
-from .validators import VALID_SQL
+from .exprs import kept_greedily, let, running_scan, sql_str
+from .patterns import CODE_MARK, DIGIT_MARK, EMAIL_MARK, GATE_OF, LONG_MARK, PAIR_MARK, PATTERNS, RUN_MARK
+from .validators import VALID_SQL, valid_once
 
 SPAN_TYPE = "struct<start:int,end:int,ord:int,pii_type:string,value:string>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
@@ -45,38 +45,35 @@ def _pieces(types: dict[str, int], marks: dict[str, str]) -> str:
     return f"filter(if(contains(txt, '{_MARK}'), {marked}, array({cut})), t -> size(t.cut) > 1)"
 
 
+# Pieces whose places are added up anew for every hit; more are added up in one running sum.
+FEW_PIECES = 15
+
+
 def _positions() -> str:
     """Offsets of one type's hits (``t``): a piece starts after all earlier ones."""
-    starts = running_scan(
-        "transform(t.cut, c -> length(c))", state="0", next_state="acc.s + x", emit="acc.s"
-    )
-    spans = (
-        "transform(sequence(1, size(t.cut) - 2, 2), k -> named_struct('start', starts[k], 'ord', t.ord, "
-        "'end', starts[k + 1], 'value', t.cut[k]))"
-    )
+    starts = running_scan("widths", state="0", next_state="acc.s + x", emit="acc.s")
+    hits = "sequence(1, size(t.cut) - 2, 2)"
+    hit = "named_struct('start', {at}, 'ord', t.ord, 'end', {at} + widths[k], 'value', t.cut[k])"
     one = (
         "array(named_struct('start', length(t.cut[0]), 'ord', t.ord, "
         "'end', length(t.cut[0]) + length(t.cut[1]), 'value', t.cut[1]))"
     )
-    return f"if(size(t.cut) = 3, {one}, {let('starts', starts, spans)})"
+    summed = let("start_at", "aggregate(slice(widths, 1, k), 0, (n, x) -> n + x)", hit.format(at="start_at"))
+    few = f"transform({hits}, k -> {summed})"
+    many = let("starts", starts, f"transform({hits}, k -> {hit.format(at='starts[k]')})")
+    several = let("widths", "transform(t.cut, c -> length(c))", f"if(size(t.cut) <= {FEW_PIECES}, {few}, {many})")
+    return f"if(size(t.cut) = 3, {one}, {several})"
 
 
 def _validated(raw: str, order: dict[str, int]) -> str:
-    checks = [f"when c.ord = {order[t]} then {VALID_SQL[t].format(v='c.value')}" for t in VALID_SQL if t in order]
-    return f"filter({raw}, c -> case {' '.join(checks)} else true end)" if checks else raw
+    checks = [f"when {order[t]} then {valid_once(t, 'c.value')}" for t in VALID_SQL if t in order]
+    return f"filter({raw}, c -> case c.ord {' '.join(checks)} else true end)" if checks else raw
 
 
 def _resolved(raw: str) -> str:
     """Greedy choice: sorted by start, then type order, a span stays if it
     starts at or after the end of the last kept one (earliest wins, not longest)."""
-    flags = running_scan(
-        "transform(sorted, r -> named_struct('start', r.start, 'end', r.end))",
-        state="0",
-        next_state="if(x.start >= acc.s, x.end, acc.s)",
-        emit="if(x.start >= acc.s, 1, 0)",
-    )
-    kept = let("flags", flags, "filter(sorted, (r, i) -> flags[i] = 1)")
-    return let("sorted", f"array_sort({raw})", kept)
+    return let("sorted", f"sort_array({raw})", kept_greedily("sorted"))
 
 
 def _named(raw: str, names: list[str]) -> str:
@@ -95,13 +92,17 @@ def spans_sql(text: str, types, resolve: bool = True) -> str:
     marks = {t: GATE_OF[t] for t in order}
     raw = f"flatten(transform({_pieces(order, marks)}, t -> {_positions()}))"
     raw = _validated(raw, order)
-    done = let("raw", raw, f"if(size(raw) < 2, raw, {_resolved('raw')})") if resolve else f"array_sort({raw})"
+    done = let("raw", raw, f"if(size(raw) < 2, raw, {_resolved('raw')})") if resolve else f"sort_array({raw})"
     gates = dict.fromkeys(marks.values())
     body = f"if({' or '.join(gates)}, {_named(done, [display_name(t) for t in types])}, {_NO_SPANS})"
-    for gate, mark in (("has_run", RUN_MARK), ("has_pair", PAIR_MARK)):
+    for gate, mark in (("has_long", LONG_MARK), ("has_code", CODE_MARK)):
         if gate in gates:
-            body = let(gate, f"has_digit and txt rlike {sql_str(mark)}", body)
-    if "has_run" in gates or "has_pair" in gates:
+            body = let(gate, f"has_run and txt rlike {sql_str(mark)}", body)
+    if "has_long" in gates or "has_code" in gates:
+        body = let("has_run", f"has_digit and txt rlike {sql_str(RUN_MARK)}", body)
+    if "has_pair" in gates:
+        body = let("has_pair", f"has_digit and txt rlike {sql_str(PAIR_MARK)}", body)
+    if gates.keys() - {"has_at"}:
         body = let("has_digit", f"txt rlike {sql_str(DIGIT_MARK)}", body)
     if "has_at" in gates:
         body = let("has_at", f"contains(txt, '{EMAIL_MARK}')", body)
@@ -123,18 +124,11 @@ def quoted(column: str) -> str:
 
 def merge_spans_sql(first: str, second: str) -> str:
     """SQL text of two span arrays merged, sorted by start and resolved again."""
-    flags = running_scan(
-        "transform(both, r -> named_struct('start', r.start, 'end', r.end))",
-        state="0",
-        next_state="if(x.start >= acc.s, x.end, acc.s)",
-        emit="if(x.start >= acc.s, 1, 0)",
-    )
     ordered = (
         f"transform(array_sort(transform(concat({first}, {second}), r -> named_struct("
         "'start', r.start, 'ord', r.ord, 'r', r))), w -> w.r)"
     )
-    kept = let("flags", flags, "filter(both, (r, i) -> flags[i] = 1)")
-    return let("both", ordered, f"if(size(both) < 2, both, {kept})")
+    return let("both", ordered, f"if(size(both) < 2, both, {kept_greedily('both')})")
 
 
 def cells_spans_sql(columns, types) -> str:

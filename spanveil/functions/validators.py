@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exprs import let
+
 
 def digits_sql(v: str) -> str:
     return f"regexp_replace({v}, '[^0-9]', '')"
@@ -25,6 +27,12 @@ VALID_SQL = {
 }
 
 
+def valid_once(type_id: str, v: str) -> str:
+    """SQL text of a type's check of the value ``v``, whose digits are cut out once."""
+    rule = {"credit_card": LUHN_SQL, "ssn": SSN_SQL}[type_id]
+    return let("digits", digits_sql(v), rule.format(d="digits"))
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

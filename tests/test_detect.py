@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from spanveil import candidate_spans, detect, find_spans, findings
 from spanveil.functions.catalog import PATTERN_TYPES, display_name
+from spanveil.functions.exprs import kept_greedily, let
+from spanveil.functions.patterns import CODE_MARK, LONG_MARK, PAIR_MARK
 
 CASES = {
     "email": [
@@ -126,3 +128,34 @@ def test_findings_over_columns(spark):
     assert detect(rows).columns == ["id", "a", "b", "n", "a_spans", "b_spans"]
     with pytest.raises(ValueError):
         detect(rows, ["n"])
+
+
+def test_gates_pass_every_match_and_spare_plain_numbers(texts):
+    hits = [
+        "(555) 123-4567", "(555) 123 4567", "123 45 6789", "4111111111111111", "378282246310005",
+        "١٢٣٤-١٢٣٤-١٢٣٤-١٢٣٤",
+        "1.2.3.4", "255.255.255.255", "1/2/99", "1990-1-2", "A123456", "D12345", "kK@x.io",
+    ]
+    plain = ["in 1998 and 2004-2010", "3.14 or 12-34", "12345 67", "ABC 1234 x 56.7"]
+    for text, got in zip(hits + plain, texts(hits + plain, find_spans("t")), strict=True):
+        assert [tuple(s) for s in got] == spans(text), text
+    for mark in (LONG_MARK, CODE_MARK, PAIR_MARK):
+        assert not any(texts(plain, F.rlike(F.col("t"), F.lit(mark)))), mark
+
+
+@pytest.mark.parametrize("n", [7, 8, 30, 31])
+def test_spans_about_the_short_forms(texts, n):
+    """Hits of one type by few widths or a running sum, kept spans by bits or by a fold."""
+    text = "é 4111111111111111, A123456 " + " ".join(f"555-123-{i:04d}" for i in range(n))
+    got, raw = texts([text], find_spans("t"))[0], texts([text], candidate_spans("t"))[0]
+    assert [tuple(s) for s in got] == spans(text)
+    assert [tuple(s) for s in raw] == candidates(text)
+
+
+def test_kept_spans_fold_into_a_long(spark):
+    """Few spans build no array and no struct at each step of the fold."""
+    rows = spark.range(1).select(
+        F.expr("transform(sequence(0, 29), k -> named_struct('start', k * 70000000, 'end', k * 70000000 + if(k % 3 = 0, 70000001, 5)))").alias("r")
+    )
+    kept = rows.select(F.expr(f"transform({let('spans', 'r', kept_greedily('spans'))}, x -> x.start div 70000000)").alias("k")).first().k
+    assert kept == [k for k in range(30) if k % 3 != 1]
