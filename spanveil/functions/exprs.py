@@ -17,13 +17,18 @@ def sql_str(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_NOTHING = "cast(array() as array<int>)"
+
+
 def let(name: str, value: str, body: str) -> str:
     """Evaluate ``value`` once per row and use it by ``name`` in ``body``.
 
     A lambda variable, unlike an alias in a projection, is never inlined by
-    the optimizer, so an expensive value is not computed again per use.
+    the optimizer, so an expensive value is not computed again per use. It is the
+    result of a fold over nothing: a fold hands its result on as it is, where
+    transform copies every text and struct it returns, once for each let around it.
     """
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return f"aggregate({_NOTHING}, {value}, (same, none) -> same, {name} -> {body})"
 
 
 def running_scan(items: str, state: str, next_state: str, emit: str) -> str:

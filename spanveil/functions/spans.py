@@ -28,41 +28,46 @@ _NO_SPANS = f"cast(array() as {SPANS_TYPE})"
 _MARK = "\\u0001"
 
 
-def _pieces(types: dict[str, int], marks: dict[str, str]) -> str:
-    """Per type with hits: its ord, and the text cut into gap, hit, gap, ..., gap."""
-    cut = ", ".join(
-        f"named_struct('ord', {i}, 'cut', if({marks[t]}, split(regexp_replace(txt, {sql_str(PATTERNS[t])}, "
-        f"'{_MARK}$0{_MARK}'), '{_MARK}', -1), array(txt)))"
-        for t, i in types.items()
+def _hits(types: dict[str, int]) -> str:
+    """The hits of all types, a type after the other; a type without any costs its scan and a look for the mark."""
+    marked = ", ".join(
+        f"if({GATE_OF[t]}, regexp_replace(txt, {sql_str(PATTERNS[t])}, '{_MARK}$0{_MARK}'), '')" for t in types
     )
-    listed = ", ".join(f"named_struct('ord', {i}, 'pat', {sql_str(PATTERNS[t])})" for t, i in types.items())
+    listed = f"array({', '.join(sql_str(PATTERNS[t]) for t in types)})"
     woven = (
         "if(size(hits) = 0, array(txt), concat(flatten(zip_with(slice(gaps, 1, size(hits)), hits, "
         "(gap, hit) -> array(gap, hit))), array(element_at(gaps, -1))))"
     )
-    woven = let("hits", "regexp_extract_all(txt, p.pat, 0)", let("gaps", "split(txt, p.pat, -1)", woven))
-    marked = f"transform(array({listed}), p -> named_struct('ord', p.ord, 'cut', {woven}))"
-    return f"filter(if(contains(txt, '{_MARK}'), {marked}, array({cut})), t -> size(t.cut) > 1)"
+    woven = let("hits", "regexp_extract_all(txt, pat, 0)", let("gaps", "split(txt, pat, -1)", woven))
+    cut = f"if(holds_mark, {let('pat', f'{listed}[t]', woven)}, split(marked[t], '{_MARK}', -1))"
+    found = let("cut", cut, f"if(size(cut) > 1, {_positions(f'array({_listed(types.values())})[t]')}, {_NO_RAW})")
+    with_hits = f"filter(array({_listed(range(len(types)))}), t -> holds_mark or contains(marked[t], '{_MARK}'))"
+    raw = let("marked", f"array({marked})", f"flatten(transform({with_hits}, t -> {found}))")
+    return let("holds_mark", f"contains(txt, '{_MARK}')", raw)
+
+
+def _listed(numbers) -> str:
+    return ", ".join(map(str, numbers))
 
 
 # Pieces whose places are added up anew for every hit; more are added up in one running sum.
 FEW_PIECES = 15
 
 
-def _positions() -> str:
-    """Offsets of one type's hits (``t``): a piece starts after all earlier ones."""
+def _positions(ord_: str) -> str:
+    """Offsets of the hits in ``cut`` (gap, hit, gap, ..., gap): a piece starts after all earlier ones."""
     starts = running_scan("widths", state="0", next_state="acc.s + x", emit="acc.s")
-    hits = "sequence(1, size(t.cut) - 2, 2)"
-    hit = "named_struct('start', {at}, 'ord', t.ord, 'end', {at} + widths[k], 'value', t.cut[k])"
+    hits = "sequence(1, size(cut) - 2, 2)"
+    hit = f"named_struct('start', {{at}}, 'ord', {ord_}, 'end', {{at}} + widths[k], 'value', cut[k])"
     one = (
-        "array(named_struct('start', length(t.cut[0]), 'ord', t.ord, "
-        "'end', length(t.cut[0]) + length(t.cut[1]), 'value', t.cut[1]))"
+        f"array(named_struct('start', length(cut[0]), 'ord', {ord_}, "
+        "'end', length(cut[0]) + length(cut[1]), 'value', cut[1]))"
     )
     summed = let("start_at", "aggregate(slice(widths, 1, k), 0, (n, x) -> n + x)", hit.format(at="start_at"))
     few = f"transform({hits}, k -> {summed})"
     many = let("starts", starts, f"transform({hits}, k -> {hit.format(at='starts[k]')})")
-    several = let("widths", "transform(t.cut, c -> length(c))", f"if(size(t.cut) <= {FEW_PIECES}, {few}, {many})")
-    return f"if(size(t.cut) = 3, {one}, {several})"
+    several = let("widths", "transform(cut, c -> length(c))", f"if(size(cut) <= {FEW_PIECES}, {few}, {many})")
+    return f"if(size(cut) = 3, {one}, {several})"
 
 
 def _validated(raw: str, order: dict[str, int]) -> str:
@@ -89,11 +94,9 @@ def spans_sql(text: str, types, resolve: bool = True) -> str:
     order = {t: i for i, t in enumerate(types) if t in PATTERN_TYPES}
     if not order:
         return _NO_SPANS
-    marks = {t: GATE_OF[t] for t in order}
-    raw = f"flatten(transform({_pieces(order, marks)}, t -> {_positions()}))"
-    raw = _validated(raw, order)
+    raw = _validated(_hits(order), order)
     done = let("raw", raw, f"if(size(raw) < 2, raw, {_resolved('raw')})") if resolve else f"sort_array({raw})"
-    gates = dict.fromkeys(marks.values())
+    gates = dict.fromkeys(GATE_OF[t] for t in order)
     body = f"if({' or '.join(gates)}, {_named(done, [display_name(t) for t in types])}, {_NO_SPANS})"
     for gate, mark in (("has_long", LONG_MARK), ("has_code", CODE_MARK)):
         if gate in gates:

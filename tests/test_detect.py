@@ -8,6 +8,7 @@ from spanveil import candidate_spans, detect, find_spans, findings
 from spanveil.functions.catalog import PATTERN_TYPES, display_name
 from spanveil.functions.exprs import kept_greedily, let
 from spanveil.functions.patterns import CODE_MARK, LONG_MARK, PAIR_MARK
+from spanveil.functions.spans import spans_sql
 
 CASES = {
     "email": [
@@ -159,3 +160,9 @@ def test_kept_spans_fold_into_a_long(spark):
     )
     kept = rows.select(F.expr(f"transform({let('spans', 'r', kept_greedily('spans'))}, x -> x.start div 70000000)").alias("k")).first().k
     assert kept == [k for k in range(30) if k % 3 != 1]
+
+
+def test_a_local_name_hands_its_result_on_uncopied():
+    """transform copies each text and struct that it returns; a fold hands its result on."""
+    assert "transform" not in let("a", "t", "a")
+    assert "transform(array(" not in spans_sql("t", ["email"])
