@@ -10,6 +10,8 @@ from ..functions.catalog import parse_types
 from ..functions.spans import cells_spans_sql, find_spans, free_name, quoted
 
 
+SPAN_FIELDS = ("start", "end", "ord", "pii_type", "value")
+
 # Up to this many columns, each gets an expression of its own.
 SEPARATE_COLUMNS = 3
 
@@ -58,15 +60,19 @@ def explode_spans(df: DataFrame, spans: dict[str, str | Column], keys=()) -> Dat
     explode keeps Spark from inferring a size filter, which would push the
     span expression below the projection and evaluate it a second time.
     """
+    kept = [F.col(quoted(k)) for k in keys]
+    columns = {c: s if isinstance(s, Column) else F.col(quoted(s)) for c, s in spans.items()}
+    if len(columns) == 1:
+        ((name, column),) = columns.items()
+        rows = df.select(*kept, F.explode_outer(column).alias("_found"))
+        found = [F.lit(name).alias("column"), *[F.col(f"_found.{x}") for x in SPAN_FIELDS]]
+        return rows.where("_found.start is not null").select(*kept, *found)
 
     def tag(name: str, column: Column) -> Column:
-        fields = ("start", "end", "ord", "pii_type", "value")
-        return F.transform(column, lambda x: F.struct(F.lit(name).alias("column"), *[x[f].alias(f) for f in fields]))
+        return F.transform(column, lambda x: F.struct(F.lit(name).alias("column"), *[x[f].alias(f) for f in SPAN_FIELDS]))
 
-    tagged = [tag(c, s if isinstance(s, Column) else F.col(quoted(s))) for c, s in spans.items()]
-    kept = [F.col(quoted(k)) for k in keys]
-    merged = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    rows = df.select(*kept, F.explode_outer(merged).alias("_found"))
+    tagged = F.concat(*[tag(c, s) for c, s in columns.items()])
+    rows = df.select(*kept, F.explode_outer(tagged).alias("_found"))
     return rows.where("_found.start is not null").select(*kept, "_found.*")
 
 
@@ -75,6 +81,10 @@ def findings(df: DataFrame, columns=None, types=None, keys=()) -> DataFrame:
     names = text_columns(df, columns)
     if len(names) == 1:
         return explode_spans(df, {names[0]: find_spans(names[0], types)}, keys)
-    cells = free_name(df.columns, "_cells")
-    every = df.withColumn(cells, F.expr(cells_spans_sql(names, parse_types(types))))
-    return explode_spans(every, {c: F.col(cells)[i] for i, c in enumerate(names)}, keys)
+    kept = [F.col(quoted(k)) for k in keys]
+    # Cells are told apart by their place, so spans go from the scan into rows as they are.
+    at, cell = (free_name([*df.columns, *keys], x) for x in ("_at", "_cell"))
+    cells = df.select(*kept, F.posexplode_outer(F.expr(cells_spans_sql(names, parse_types(types)))).alias(at, cell))
+    rows = cells.select(*kept, at, F.explode_outer(cell).alias("_found")).where("_found.start is not null")
+    name = F.array(*[F.lit(c) for c in names])[F.col(at)].alias("column")
+    return rows.select(*kept, name, *[F.col(f"_found.{x}") for x in SPAN_FIELDS])

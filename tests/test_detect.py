@@ -166,3 +166,15 @@ def test_a_local_name_hands_its_result_on_uncopied():
     """transform copies each text and struct that it returns; a fold hands its result on."""
     assert "transform" not in let("a", "t", "a")
     assert "transform(array(" not in spans_sql("t", ["email"])
+
+
+def test_findings_take_spans_from_the_scan_as_they_are(spark):
+    rows = spark.createDataFrame(
+        [(1, "a@b.com 1.2.3.4", None, 7), (2, None, "call 555-123-4567", 8), (3, "x", "", 9)], "id int, a string, b string, _at int"
+    )
+    found = findings(rows, ["b", "a"], keys=["_at", "id"])
+    assert found.columns == ["_at", "id", "column", "start", "end", "ord", "pii_type", "value"]
+    cells = {(r._at, r.id, c): r[c] or "" for r in rows.collect() for c in ("b", "a")}
+    assert {tuple(r) for r in found.collect()} == {(*k, *s) for k, text in cells.items() for s in spans(text)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(column" not in plan
