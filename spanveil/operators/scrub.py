@@ -101,9 +101,11 @@ def scrub_cells(
 
 def mark_sql(span_lists: str, n_types: int) -> str:
     """SQL text of a row's mark from an array of span arrays."""
-    per_type = (
-        f"transform(sequence(0, {n_types - 1}), k -> "
-        "aggregate(sp, 0, (n, c) -> n + size(filter(c, s -> s.ord = k))))"
+    per_type = let(
+        "ords",
+        "flatten(transform(sp, c -> transform(c, s -> s.ord)))",
+        f"if(size(ords) = 0, array_repeat(0, {n_types}), "
+        f"transform(sequence(0, {n_types - 1}), k -> size(filter(ords, o -> o = k))))",
     )
     return let(
         "sp",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import display_name, parse_types
+from ..functions.exprs import let
 from ..functions.spans import cells_spans_sql
 from .detect import findings, text_columns
 from .scrub import mark_sql
@@ -69,7 +70,11 @@ def types_of_marks(df: DataFrame, types=None, by=(), mark: str = "pii") -> DataF
 
 def stats(df: DataFrame, columns=None, types=None, by=()) -> DataFrame:
     """Totals per group (or one row): found, rows processed, rows and cells affected."""
-    return totals_of_marks(mark_rows(df.select(*by, *_scanned(df, columns, by)), _names(df, columns, by), types), by)
+    rows = df.select(*by, *_scanned(df, columns, by))
+    # Totals need the spans' numbers alone, one for each cell.
+    sizes = f"transform({cells_spans_sql(_names(df, columns, by), parse_types(types))}, c -> size(c))"
+    mark = let("n", sizes, "named_struct('found', aggregate(n, 0, (a, x) -> a + x), 'cells', size(filter(n, x -> x > 0)))")
+    return totals_of_marks(rows.withColumn("pii", F.expr(mark)), by)
 
 
 def type_counts(df: DataFrame, columns=None, types=None, by=()) -> DataFrame:

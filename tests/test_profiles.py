@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanveil import Quota, merge_profiles, profile, profile_sketches, save_profile, saved_profile
+from spanveil import Quota, merge_profiles, profile, profile_sketches, save_profile, saved_profile, stats
 from spanveil.operators.limits import stop_at_quota, stopped_error
+from spanveil.operators.stats import mark_rows
 
 
 def mails(spark, first, last):
@@ -54,3 +55,20 @@ def test_the_limit_lies_below_the_exchange(spark):
     lines = plan._jdf.queryExecution().sparkPlan().toString().splitlines() + plan._jdf.queryExecution().executedPlan().toString().splitlines()
     text = "\n".join(lines[lines.index(next(x for x in lines if "Exchange" in x)) :])
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_totals_count_spans_and_no_types(spark):
+    rows = spark.createDataFrame(
+        [("f", "a@b.com 1.2.3.4", None), ("f", None, "x"), ("g", "", "555-123-4567")], "file string, a string, b string"
+    )
+    totals = stats(rows, by=["file"])
+    assert {tuple(r) for r in totals.collect()} == {("f", 2, 2, 1, 1), ("g", 1, 1, 1, 1)}
+    assert [tuple(r) for r in stats(rows.where("false"), ["a"]).collect()] == [(0, 0, 0, 0)]
+    assert "by_type" not in totals._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_of_rows_with_and_without_spans(spark):
+    rows = spark.createDataFrame([("a@b.com 1.2.3.4 c@d.org", "x"), ("", None)], "a string, b string")
+    marked = mark_rows(rows, types=["email", "ip_address"]).collect()
+    marks = [(m.pii.found, m.pii.cells, m.pii.by_type) for m in marked]
+    assert sorted(marks) == [(0, 0, [0, 0]), (3, 1, [2, 1])]
