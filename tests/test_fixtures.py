@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spanveil.plans.fixtures import corpus, people
@@ -27,6 +28,21 @@ def test_people_of_one_row_group_are_spread_over_tasks(spark, tmp_path):
         assert len([s for s in sizes if s > ROWS_PER_TASK // 2]) >= 4
 
 
+@pytest.mark.parametrize("name", ["scrub_fake"])
+def test_scrub_queries_deal_out_customers_of_one_row_group(spark, tmp_path, name):
+    n = 4 * ROWS_PER_TASK + 1
+    customers = _customers(spark, tmp_path, n)
+    spark.range(1).select(F.lit(0).alias("page_id"), F.lit("a").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.range(1).selectExpr("0 as doc_id", "'b' as text", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    scrubbed = QUERIES[name](spark, tmp_path)
+    sizes = [r["count"] for r in scrubbed.select("text", F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert sum(sizes) == n + 2
+    assert max(sizes) <= 2 * ROWS_PER_TASK
+    ids = scrubbed.select("id").exceptAll(customers.select(F.concat(F.lit("c"), "c_custkey").alias("id")))
+    assert sorted(r.id for r in ids.collect()) == ["d0", "p0"]
+    assert scrubbed.filter(F.col("text").contains(".example.com")).isEmpty()
+
+
 def test_spread_keeps_every_row(spark, tmp_path):
     rows = _customers(spark, tmp_path, 1000)
     read = spark.read.parquet(f"{tmp_path}/customer.parquet")
