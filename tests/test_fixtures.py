@@ -28,7 +28,7 @@ def test_people_of_one_row_group_are_spread_over_tasks(spark, tmp_path):
         assert len([s for s in sizes if s > ROWS_PER_TASK // 2]) >= 4
 
 
-@pytest.mark.parametrize("name", ["scrub_fake"])
+@pytest.mark.parametrize("name", ["scrub_fake", "scrub_remove"])
 def test_scrub_queries_deal_out_customers_of_one_row_group(spark, tmp_path, name):
     n = 4 * ROWS_PER_TASK + 1
     customers = _customers(spark, tmp_path, n)
